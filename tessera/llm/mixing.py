@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,6 +12,8 @@ from tessera.llm.common import cut_lineage
 
 #: Buckets of the sampling hash whose totals find where a source's fractional repetition ends.
 BUCKETS = 4096
+#: A document with more than this part of its source's words is drawn apart from the others.
+LARGE = 200
 #: So many sources at most are broadcast (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -41,13 +45,33 @@ def targets(sources: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...
     return shared.select("source", "source_size", "weight", F.when(F.col("clamped") | F.col("final").isNull(), F.col("cap")).otherwise(F.col("final") * F.col("weight")).alias("target"))
 
 
+def _take_large(aims: DataFrame, sized: DataFrame, by_bucket: DataFrame, small: Callable) -> DataFrame:
+    """`aims` with the large documents that the fractional repetition takes, and the part that is left for the others.
+
+    In the order of their draws, each is taken if it still fits in the large documents' share of the fraction.
+    """
+    others = by_bucket.groupBy(F.col("source").alias("os")).agg(F.sum("words").alias("others"))
+    listed = sized.where("large").groupBy(F.col("source").alias("ls")).agg(F.array_sort(F.collect_list(F.struct("draw", "size"))).alias("listed"))
+    both = aims.join(others, F.col("source").eqNullSafe(F.col("os")), "left").join(listed, F.col("source").eqNullSafe(F.col("ls")), "left")
+    share = F.col("rest") - F.coalesce("others", F.lit(0)) * F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
+    none = F.struct(F.lit(0).cast("long").alias("words"), F.array().cast("array<long>").alias("draws"))
+    taken = F.aggregate(
+        F.coalesce("listed", F.array().cast("array<struct<draw:long,size:long>>")),
+        none,
+        lambda a, x: F.when(a["words"] + x["size"] <= share, F.struct((a["words"] + x["size"]).alias("words"), F.concat(a["draws"], F.array(x["draw"])).alias("draws"))).otherwise(a),
+    )
+    got = both.withColumn("got", taken)
+    return cut_lineage(got.select("source", "source_size", "target", "whole", (F.col("rest") - F.col("got.words")).alias("part"), F.col("got.draws").alias("taken_large")))
+
+
 def mix(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row of `docs` with how often the mix takes it: doc_id, source, size, source_size, target, times, taken.
 
     A source is repeated floor(target / size) times whole. The fraction that is left is a seeded sample: documents in
     the order of a hash of seed, doc_id and text, up to the one where the running sum of sizes comes nearest to the
     fraction. The place is found from totals of `BUCKETS` ranges of the hash for each source, then in the one range where
-    the sum passes, so that no source is gathered in one task.
+    the sum passes, so that no source is gathered in one task. Documents of over 1/`LARGE` of their source, `LARGE` at
+    most, would make that sum coarse; they are drawn first, for their share of the fraction, and the others fill it up.
 
     Null text: size 0, taken 0. Null source: a source of its own, last. Null doc_id: an ordinary row. Equal rows are
     taken alike. Sizes all 0: targets 0. Empty input: empty result. `keep` names further columns of `docs` to carry.
@@ -55,15 +79,18 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1,
     sized = cut_lineage(
         docs.select("doc_id", "source", *keep, words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
     ).withColumn("bucket", F.shiftrightunsigned("draw", 64 - (BUCKETS.bit_length() - 1)).cast("int"))
-    by_bucket = cut_lineage(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     aims = (
-        targets(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs, weights)
+        targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs, weights)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-        .withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
+        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     )
     aims = cut_lineage(aims)
     few = aims.count() <= BROADCAST_SOURCES
     small = F.broadcast if few else (lambda x: x)
+    sized = sized.join(small(aims.select(F.col("source").alias("in"), F.col("source_size").alias("whole_size"))), F.col("source").eqNullSafe(F.col("in"))).drop("in")
+    sized = sized.withColumn("large", F.col("size") > F.col("whole_size") / LARGE)
+    by_bucket = cut_lineage(sized.where("not large").groupBy("source", "bucket").agg(F.sum("size").alias("words")))
+    aims = _take_large(aims, sized, by_bucket, small)
     running = W.partitionBy("source").orderBy("bucket")
     passes = (
         by_bucket.withColumn("upto", F.sum("words").over(running))
@@ -76,7 +103,8 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1,
     passes = cut_lineage(passes)
     within = W.partitionBy("source").orderBy("draw").rangeBetween(W.unboundedPreceding, 0)
     ends = (
-        sized.join(small(passes), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
+        sized.where("not large")
+        .join(small(passes), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
         .withColumn("upto", F.sum("size").over(within) + F.col("before"))
         .where(F.col("upto") - F.col("size") / 2 <= F.col("part"))
         .groupBy("source")
@@ -84,10 +112,11 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1,
         .select(F.col("source").alias("ended"), "last")
     )
     cut = aims.join(passes.select("of", "at"), F.col("source").eqNullSafe(F.col("of")), "left").join(ends, F.col("source").eqNullSafe(F.col("ended")), "left")
-    cut = cut.select(F.col("source").alias("of"), "source_size", "target", "whole", "part", "at", "last")
-    more = (F.col("bucket") < F.col("at")) | ((F.col("bucket") == F.col("at")) & F.coalesce(F.col("draw") <= F.col("last"), F.lit(False)))
+    cut = cut.select(F.col("source").alias("of"), "source_size", "target", "whole", "part", "taken_large", "at", "last")
+    first = (F.col("part") > 0) & (F.col("at").isNull() | (F.col("bucket") < F.col("at")) | ((F.col("bucket") == F.col("at")) & F.coalesce(F.col("draw") <= F.col("last"), F.lit(False))))
+    more = F.when(F.col("large"), F.array_contains("taken_large", F.col("draw"))).otherwise(first)
     return (
         sized.join(small(cut), F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("times", (F.col("whole") + F.when((F.col("part") > 0) & more, 1).otherwise(0)).cast("int"))
+        .withColumn("times", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int"))
         .select("doc_id", "source", *keep, "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
     )
