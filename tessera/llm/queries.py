@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import read
 from tessera.llm.mixing import mix
+from tessera.llm.pii import KINDS, digest, personal_data
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.urls import judge_urls
 
@@ -38,10 +39,23 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), rules)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of documents."""
+    found = personal_data(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(F.col("base.kind"), (lambda k: lambda x: x == k)(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        F.sha2(digest(F.col("base")), 256).alias("base_sha256"),
+        digest(F.concat("base", "added")).alias("spans"),
+        F.size("added").alias("n_added"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op7_mixing": op7_mixing,
     "op8_urls": op8_urls,
+    "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str | None] = {
