@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read
 from tessera.llm.mixing import mix
 from tessera.llm.pii import KINDS, digest, personal_data
+from tessera.llm.quality import quality
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.urls import judge_urls
 
@@ -28,6 +29,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read(spark, sf_dir, "documents"), 24)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and quality decision of all documents, under a model of all that labels call good."""
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to source weights 1, 2, 3 with three epochs at most."""
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -53,6 +59,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op7_mixing": op7_mixing,
     "op8_urls": op8_urls,
     "op9_pii": op9_pii,
