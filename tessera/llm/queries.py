@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import read
 from tessera.llm.mixing import mix
+from tessera.llm.neardup import near_duplicates
 from tessera.llm.pii import KINDS, digest, personal_data
 from tessera.llm.quality import quality
 from tessera.llm.sharding import shard_by_bytes
@@ -24,6 +25,11 @@ URL_RULES = [
 ]
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of all documents, five words and a similarity of 0.8."""
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of equal bytes."""
     return shard_by_bytes(read(spark, sf_dir, "documents"), 24)
@@ -58,6 +64,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_neardup": op3_neardup,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op7_mixing": op7_mixing,
