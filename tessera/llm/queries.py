@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import read
+from tessera.llm.decontamination import leaks
 from tessera.llm.mixing import mix
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.pii import KINDS, digest, personal_data
@@ -25,6 +26,12 @@ URL_RULES = [
 ]
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and how much of it."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near duplicates of all documents, five words and a similarity of 0.8."""
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
@@ -64,6 +71,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_neardup": op3_neardup,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
