@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W_]+")
+#: What parts words: ASCII other than letters and digits, and the blocks of Latin, general and CJK punctuation.
+GAPS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+MARKS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]")
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach to be retrieved.
 THRESHOLD = 0.6
@@ -24,22 +26,23 @@ ITEMS = 50_000
 COARSE = 32
 
 
-def terms(text: str | None) -> list[str]:
-    """Words in lower case, without punctuation."""
-    return WORD.findall((text or "").lower())
+def terms(text: str | None) -> list[bytes]:
+    """Words in lower case, without punctuation, as UTF-8."""
+    lowered = (text or "").lower()
+    return (lowered if lowered.isascii() else MARKS.sub(" ", lowered)).encode().translate(GAPS).split()
 
 
-def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """An item's last sentence is its answer; an item of one sentence ends in its answer, a third of its words."""
+def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
+    """An item's last sentence is its answer; where one of the two is but a few words, the last third of all words is."""
     parts = [p for p in re.split(r"(?<=[.!?])\s+", text.strip()) if terms(p)]
-    if len(parts) > 1 and len(terms(parts[-1])) >= 3:
+    if len(parts) > 1 and len(terms(parts[-1])) >= 3 and sum(len(terms(p)) for p in parts[:-1]) >= 5:
         return [w for p in parts[:-1] for w in terms(p)], terms(parts[-1])
     words = terms(text)
     cut = len(words) - max(1, len(words) // 3)
     return words[:cut], words[cut:]
 
 
-def trigrams(words: list[str]) -> set[tuple[str, ...]]:
+def trigrams(words: list[bytes]) -> set[tuple[bytes, ...]]:
     """Distinct trigrams; of fewer words, one gram."""
     return {tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))} if words else set()
 
@@ -62,70 +65,72 @@ class Index:
             own = sum(scores.values())
             for t, s in scores.items():
                 self.postings[self.ids[t]].append((d, s / own))
-        self.most = [max(s for _, s in p) for p in self.postings]
         self.blocks = [[(p[min(k + block, len(p)) - 1][0], max(s for _, s in p[k : k + block])) for k in range(0, len(p), block)] for p in self.postings]
         self.block = block
         self.span = max(1, math.ceil(len(self.items) / COARSE))
         self.coarse = np.zeros((len(self.ids), COARSE), np.float32)
         for t, p in enumerate(self.postings):
             for d, s in p:
-                self.coarse[t, d // self.span] = max(self.coarse[t, d // self.span], s)
+                self.coarse[t, d // self.span] = max(self.coarse[t, d // self.span], np.nextafter(np.float32(s), np.float32(2)))
+        self.tops = self.coarse.tolist()
+        self.first: list[dict[int, int]] = [{} for _ in self.ids]
+        for t, p in enumerate(self.postings):
+            for k, (d, _) in enumerate(p):
+                self.first[t].setdefault(d // self.span, k)
         self.answers = [tuple(map(trigrams, question_and_answer(t))) for _, t in self.items]
 
-    def above(self, query: list[int], least: float, first: int = 0, last: int | None = None) -> list[tuple[int, float]]:
-        """All items in [first, last) whose impacts over the distinct terms of `query` sum to `least` or more.
+    def above(self, query: list[int], least: float, coarse: int) -> list[tuple[int, float]]:
+        """All items of a coarse block whose impacts over the distinct terms of `query` sum to `least` or more.
 
-        Block-max WAND: the pivot is the first item that the terms' maxima allow; if the maxima of the blocks around it
-        don't, all move behind the nearest end of a block.
+        Block-max WAND: the pivot is the first item that the terms' maxima in the coarse block allow; if the maxima of
+        the small blocks around it don't, all move behind the nearest end of a small block.
         """
-        end = len(self.items) if last is None else last
-        cursors = []
+        end, found, cursors = (coarse + 1) * self.span, [], []
         for t in query:
-            k = next((k for k, (d, _) in enumerate(self.postings[t]) if d >= first), None) if first else 0
-            if k is not None:
-                cursors.append([self.postings[t][k][0], t, k])
-        found = []
+            at = self.first[t].get(coarse)
+            if at is not None:
+                cursors.append([self.postings[t][at][0], t, at])
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
             for n, c in enumerate(cursors):
-                bound += self.most[c[1]]
+                bound += self.tops[c[1]][coarse]
                 if bound >= least:
                     pivot = n
                     break
-            if pivot < 0 or cursors[pivot][0] >= end:
+            if pivot < 0:
                 break
             item = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             allowed, edge = 0.0, end
             for c in cursors[: pivot + 1]:
-                k = c[2] // self.block
-                while k < len(self.blocks[c[1]]) and self.blocks[c[1]][k][0] < item:
+                blocks, k = self.blocks[c[1]], c[2] // self.block
+                while k < len(blocks) and blocks[k][0] < item:
                     k += 1
-                if k < len(self.blocks[c[1]]):
-                    allowed += self.blocks[c[1]][k][1]
-                    edge = min(edge, self.blocks[c[1]][k][0] + 1)
+                if k < len(blocks):
+                    allowed += blocks[k][1]
+                    edge = min(edge, blocks[k][0] + 1)
             if allowed < least:
                 target = max(item + 1, min(edge, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end))
-                cursors = self._advance(cursors, pivot + 1, target)
+                cursors = self._advance(cursors, pivot + 1, target, end)
             elif cursors[0][0] == item:
                 score = sum(self.postings[c[1]][c[2]][1] for c in cursors[: pivot + 1])
                 if score >= least:
                     found.append((item, score))
-                cursors = self._advance(cursors, pivot + 1, item + 1)
+                cursors = self._advance(cursors, pivot + 1, item + 1, end)
             else:
-                cursors = self._advance(cursors, pivot + 1, item)
+                cursors = self._advance(cursors, pivot + 1, item, end)
         return found
 
-    def _advance(self, cursors: list, n: int, target: int) -> list:
-        """The first n cursors moved to their first posting at or behind `target`; those at their end go."""
+    def _advance(self, cursors: list, n: int, target: int, end: int) -> list:
+        """The first n cursors moved to their first posting at or behind `target`; those that come to `end` go."""
         kept = []
         for c in cursors[:n]:
             p, k = self.postings[c[1]], c[2]
             while k < len(p) and p[k][0] < target:
                 k += 1
-            if k < len(p):
+            if k < len(p) and p[k][0] < end:
                 kept.append([p[k][0], c[1], k])
         return kept + cursors[n:]
 
@@ -167,7 +172,7 @@ class Index:
             at = int(k - starts[d]) * half
             grams = None
             for c in np.flatnonzero(bound[k] >= least - 1e-4):
-                for item, score in self.above(query, least, int(c) * self.span, (int(c) + 1) * self.span):
+                for item, score in self.above(query, least, int(c)):
                     grams = trigrams(lists[d][at : at + 2 * half]) if grams is None else grams
                     question, answer = self.answers[item]
                     q = len(question & grams) / len(question) if question else 1.0
