@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import read
 from tessera.llm.decontamination import leaks
+from tessera.llm.fingerprints import fingerprints
 from tessera.llm.mixing import mix
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.pii import KINDS, digest, personal_data
@@ -47,6 +48,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents and of their edited texts."""
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to source weights 1, 2, 3 with three epochs at most."""
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neardup": op3_neardup,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op6_fingerprints": op6_fingerprints,
     "op7_mixing": op7_mixing,
     "op8_urls": op8_urls,
     "op9_pii": op9_pii,
