@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,16 +14,36 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests, a laptop) a local one."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints").rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df`, written once to the cluster's shared checkpoint folder.
+    """`df`, written once as a table in the shared folder and read again.
 
-    The folder is what spark.checkpoint.dir names; only where that is unset (tests, a laptop) a local one is set.
+    A lost executor then costs no more than a read, and later plans know the table's true size: checkpoint() would carry
+    estimates on, which are multiplied by each join and, in a loop, grow beyond all memory. What an application wrote goes
+    when it ends.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    root = f"{shared_folder(spark)}/tessera-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove, spark, root)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_ROOTS: set[str] = set()
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_key(text: Column | str) -> list[Column]:
