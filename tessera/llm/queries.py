@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read
 from tessera.llm.decontamination import leaks
 from tessera.llm.fingerprints import fingerprints
+from tessera.llm.licenses import licences
 from tessera.llm.mixing import mix
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.pii import KINDS, digest, personal_data
@@ -76,6 +77,19 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence families of all documents, and their paragraphs."""
+    docs = licences(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id",
+        F.array_join(F.array_sort(F.array_distinct("licences.family")), ",").alias("families"),
+        F.size("licences").alias("n_paragraphs"),
+        F.array_max("licences.probability").alias("probability"),
+        F.array_max("licences.overlap").alias("overlap"),
+        F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["family"], x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_neardup": op3_neardup,
@@ -85,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_urls": op8_urls,
     "op9_pii": op9_pii,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str | None] = {
