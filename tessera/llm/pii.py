@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut_lineage
+from tessera.llm.spans import MATCHES, marked_free, matches
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Marks put around matches; a text's own become HIDDEN, which no pattern knows either.
-OPEN, CLOSE, HIDDEN = "\ue000", "\ue001", "\ue002"
 #: The base patterns, written so that the matcher neither recurses nor goes back over a run: possessive where what
 #: follows can't match inside, and starting only where a run starts or the last match ended.
 BASE = {
@@ -39,33 +38,8 @@ CONTEXT = {
     "phone": (r"(?i)tel|phone|call|mobile|fax|whatsapp|anruf", r"(?i)isbn|sku|version|serial|\bid\b"),
 }
 LABELERS = ["format", "gazetteer", "context", "border"]
-#: Characters before a match in which the context labeler looks.
-WINDOW = 40
-FEATURES = [f"{v}_{n}" for v in LABELERS for n in ("no", "yes")] + ["short", "long"]
 
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
-    """Leftmost non-overlapping matches as array<struct(kind, start, stop, body, before, after)>, in code points.
-
-    Matches are wrapped in marks, the text is split at them, and lengths of the pieces give the places.
-    """
-    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), OPEN, -1)
-    row = "struct<kind:int,start:long,stop:long,body:string,before:string,after:string>"
-    zero = F.struct(
-        F.length(parts[0]).cast("long").alias("at"), F.right(parts[0], F.lit(WINDOW)).alias("tail"), F.array().cast(f"array<{row}>").alias("found")
-    )
-
-    def step(a: Column, p: Column) -> Column:
-        n = F.instr(p, CLOSE) - 1
-        found = F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), a["at"].alias("start"), (a["at"] + n).alias("stop"), F.substr(p, F.lit(1), n).alias("body"),
-            a["tail"].alias("before"), F.substr(p, n + 2, F.lit(1)).alias("after"),
-        ).cast(row)
-        whole = F.concat(a["tail"], F.translate(p, CLOSE, ""))
-        return F.struct((a["at"] + F.length(p) - 1).alias("at"), F.right(whole, F.lit(WINDOW)).alias("tail"), F.concat(a["found"], F.array(found)).alias("found"))
-
-    return F.when(F.size(parts) > 1, F.aggregate(F.slice(parts, 2, F.size(parts)), zero, step)["found"]).otherwise(F.array().cast(f"array<{row}>"))
-
 
 def digits(x: Column) -> Column:
     """The digits of a text."""
@@ -111,12 +85,11 @@ def _votes(kind: str, m: Column, base: Column) -> Column:
 
 def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Each row of `docs` with all candidate spans of its whole text, with votes, in the array `spans`."""
-    clean = F.translate(F.coalesce(F.col(text), F.lit("")), OPEN + CLOSE, HIDDEN * 2)
+    clean = marked_free(F.coalesce(F.col(text), F.lit("")))
     guards = {"email": F.col("clean").contains("@"), "ip": F.col("clean").rlike(r"[0-9]\.[0-9]"), "card": F.col("clean").rlike("[0-9][0-9 -]{10}"), "phone": F.col("clean").contains("+")}
-    empty = "array<struct<kind:int,start:long,stop:long,body:string,before:string,after:string>>"
     rows = docs.select(*keep, clean.alias("clean"))
-    rows = rows.select(*keep, *[F.when(guards[k], matches(F.col("clean"), BASE[k], k)).otherwise(F.array().cast(empty)).alias(f"m_{k}") for k in KINDS],
-                       F.when(F.col("clean").rlike(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"), matches(F.col("clean"), NATIONAL, "phone")).otherwise(F.array().cast(empty)).alias("m_national"))
+    rows = rows.select(*keep, *[F.when(guards[k], matches(F.col("clean"), BASE[k], KINDS.index(k))).otherwise(F.array().cast(MATCHES)).alias(f"m_{k}") for k in KINDS],
+                       F.when(F.col("clean").rlike(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"), matches(F.col("clean"), NATIONAL, KINDS.index("phone"))).otherwise(F.array().cast(MATCHES)).alias("m_national"))
     # digits that are no candidates for a card or phone at all: too few or too many
     sized = {"card": lambda m: F.length(digits(m["body"])).between(12, 19), "phone": lambda m: F.length(digits(m["body"])).between(7, 17)}
     voted = lambda k: lambda m: _votes(k, m, valid(k, m["body"]))

@@ -15,6 +15,7 @@ from tessera.llm.mixing import mix
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.pii import KINDS, digest, personal_data
 from tessera.llm.quality import quality
+from tessera.llm.secrets import secrets
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.urls import judge_urls
 
@@ -28,6 +29,11 @@ URL_RULES = [
 ]
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in all documents."""
+    return secrets(read(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and how much of it."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,6 +97,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_decontamination": op2_decontamination,
     "op3_neardup": op3_neardup,
     "op4_sharding": op4_sharding,
