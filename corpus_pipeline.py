@@ -1,7 +1,64 @@
-"""The corpus pipeline: quality, near duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: quality, near duplicates, decontamination, mixing to target weights, sharding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as a table in the shared folder
+and reads it again as the next stage's documents, so a lost executor repeats one stage at most.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm.common import cut_lineage, read
+from tessera.llm.decontamination import leaks
+from tessera.llm.mixing import mixed
+from tessera.llm.neardup import keep_first
+from tessera.llm.quality import accepted
+from tessera.llm.sharding import shard_by_bytes
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under the model of trusted text is within their language's threshold."""
+    return accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return keep_first(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return leaks(docs, read(spark, sf_dir, "benchmark"), into="_leaks").where("size(_leaks) = 0").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: sources weighed 1, 2, 3 in turn, three epochs at most."""
+    return mixed(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each row of the mix in 24 shards of equal bytes."""
+    return shard_by_bytes(docs, 24)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near duplicates", neardup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing to target weights", mixing_stage),
+    ("sharding", sharding_stage),
+]
+#: No stage but the last two is SQL; the tests hold the whole against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, one after the other."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+ORACLES = {"pipeline": ORACLE_SQL}

@@ -193,8 +193,8 @@ HITS = "array<struct<item_id:long,score:double,question_overlap:double,answer_ov
 _HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("word", pa.int64())]))
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """All columns of `docs` with `hits`: the items of `items` (item_id, text) that the text holds.
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, into: str = "hits") -> DataFrame:
+    """All columns of `docs` with a further one, `into`: the items of `items` (item_id, text) that the text holds.
 
     Every passage of every text queries the index. Items that reach `threshold` of their own BM25 score are verified:
     the passage must hold `overlap` of the trigrams of the item's question and of its answer. The best passage for each
@@ -202,14 +202,14 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     block, each a pass over `docs` without any shuffle.
 
     Null and empty texts hold nothing; items without words aren't searched. Repeated items and documents are each
-    answered. A column of `docs` named hits is replaced. Empty inputs: no hits.
+    answered. A column of `docs` with the name `into` is replaced. Empty inputs: no hits.
     """
     context = docs.sparkSession.sparkContext
-    rest = docs.drop("hits")
+    rest = docs.drop(into)
     names, kinds = rest.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     listed = items.select(F.col("item_id").cast("long"), "text").where("text is not null")
     blocks = max(1, math.ceil(listed.count() / ITEMS))
-    out = rest.withColumn("hits", F.array().cast(HITS))
+    out = rest.withColumn(into, F.array().cast(HITS))
     for k in range(blocks):
         mine = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         index = context.broadcast(sorted(((r.item_id, r.text) for r in mine.collect()), key=lambda r: (r[0] is None, r)))  # ITEMS or so at most
@@ -222,7 +222,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
                     found = own.search(part.column(names.index("text")).to_pylist(), threshold, overlap)
                     before = part.column(len(names)).to_pylist()
                     hits = [[*b, *({"item_id": i, "score": s, "question_overlap": q, "answer_overlap": a, "word": w} for i, s, q, a, w in f)] for b, f in zip(before, found, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(hits, _HITS)], [*names, "hits"])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(hits, _HITS)], [*names, into])
 
-        out = out.mapInArrow(run, f"{kinds}, hits {HITS}")
+        out = out.mapInArrow(run, f"{kinds}, `{into}` {HITS}")
     return out

@@ -45,13 +45,13 @@ def targets(sources: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...
     return shared.select("source", "source_size", "weight", F.when(F.col("clamped") | F.col("final").isNull(), F.col("cap")).otherwise(F.col("final") * F.col("weight")).alias("target"))
 
 
-def _take_large(aims: DataFrame, sized: DataFrame, by_bucket: DataFrame, small: Callable) -> DataFrame:
+def _take_large(aims: DataFrame, sized: DataFrame, by_bucket: DataFrame) -> DataFrame:
     """`aims` with the large documents that the fractional repetition takes, and the part that is left for the others.
 
     In the order of their draws, each is taken if it still fits in the large documents' share of the fraction.
     """
     others = by_bucket.groupBy(F.col("source").alias("os")).agg(F.sum("words").alias("others"))
-    listed = sized.where("large").groupBy(F.col("source").alias("ls")).agg(F.array_sort(F.collect_list(F.struct("draw", "size"))).alias("listed"))
+    listed = sized.where("large").groupBy(F.col("source").alias("ls")).agg(F.array_sort(F.collect_list(F.struct(F.col("_draw").alias("draw"), F.col("_words").alias("size")))).alias("listed"))
     both = aims.join(others, F.col("source").eqNullSafe(F.col("os")), "left").join(listed, F.col("source").eqNullSafe(F.col("ls")), "left")
     share = F.col("rest") - F.coalesce("others", F.lit(0)) * F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
     none = F.struct(F.lit(0).cast("long").alias("words"), F.array().cast("array<long>").alias("draws"))
@@ -64,59 +64,86 @@ def _take_large(aims: DataFrame, sized: DataFrame, by_bucket: DataFrame, small:
     return cut_lineage(got.select("source", "source_size", "target", "whole", (F.col("rest") - F.col("got.words")).alias("part"), F.col("got.draws").alias("taken_large")))
 
 
-def mix(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row of `docs` with how often the mix takes it: doc_id, source, size, source_size, target, times, taken.
+def _drawn(docs: DataFrame, seed: int) -> dict[str, Column]:
+    """What decides about a row: its words, its draw and the range that the draw is in."""
+    draw = F.xxhash64(F.lit(seed), "doc_id", "text")
+    return {"_words": words(F.col("text")), "_draw": draw, "_bucket": F.shiftrightunsigned(draw, 64 - (BUCKETS.bit_length() - 1)).cast("int")}
 
-    A source is repeated floor(target / size) times whole. The fraction that is left is a seeded sample: documents in
-    the order of a hash of seed, doc_id and text, up to the one where the running sum of sizes comes nearest to the
-    fraction. The place is found from totals of `BUCKETS` ranges of the hash for each source, then in the one range where
-    the sum passes, so that no source is gathered in one task. Documents of over 1/`LARGE` of their source, `LARGE` at
-    most, would make that sum coarse; they are drawn first, for their share of the fraction, and the others fill it up.
 
-    Null text: size 0, taken 0. Null source: a source of its own, last. Null doc_id: an ordinary row. Equal rows are
-    taken alike. Sizes all 0: targets 0. Empty input: empty result. `keep` names further columns of `docs` to carry.
-    """
-    sized = cut_lineage(
-        docs.select("doc_id", "source", *keep, words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
-    ).withColumn("bucket", F.shiftrightunsigned("draw", 64 - (BUCKETS.bit_length() - 1)).cast("int"))
+def plan(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+    """One row for each source of `docs`: its size, target, whole repetitions, and where its fractional one ends."""
+    sized = cut_lineage(docs.select(F.col("source").alias("_source"), *[c.alias(k) for k, c in _drawn(docs, seed).items()]))
     aims = (
-        targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs, weights)
+        targets(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size")), max_epochs, weights)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     )
     aims = cut_lineage(aims)
-    few = aims.count() <= BROADCAST_SOURCES
-    small = F.broadcast if few else (lambda x: x)
-    sized = sized.join(small(aims.select(F.col("source").alias("in"), F.col("source_size").alias("whole_size"))), F.col("source").eqNullSafe(F.col("in"))).drop("in")
-    sized = sized.withColumn("large", F.col("size") > F.col("whole_size") / LARGE)
-    by_bucket = cut_lineage(sized.where("not large").groupBy("source", "bucket").agg(F.sum("size").alias("words")))
-    aims = _take_large(aims, sized, by_bucket, small)
-    running = W.partitionBy("source").orderBy("bucket")
+    small = _small(aims)
+    sized = sized.join(small(aims.select("source", F.col("source_size").alias("_all"))), F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
+    sized = sized.withColumn("large", F.col("_words") > F.col("_all") / LARGE)
+    by_bucket = cut_lineage(sized.where("not large").groupBy("source", "_bucket").agg(F.sum("_words").alias("words")))
+    aims = _take_large(aims, sized, by_bucket)
     passes = (
-        by_bucket.withColumn("upto", F.sum("words").over(running))
+        by_bucket.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("_bucket")))
         .join(small(aims.select(F.col("source").alias("of"), "part")), F.col("source").eqNullSafe(F.col("of")))
         .where((F.col("upto") > F.col("part")) & (F.col("upto") - F.col("words") <= F.col("part")))
         .groupBy("of")
-        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "part")).alias("at"))
-        .select(F.col("of"), F.col("at.bucket").alias("at"), "at.before", "at.part")
+        .agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("words")).alias("before"), "part")).alias("at"))
+        .select(F.col("of"), F.col("at._bucket").alias("at"), "at.before", "at.part")
     )
     passes = cut_lineage(passes)
-    within = W.partitionBy("source").orderBy("draw").rangeBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("source").orderBy("_draw").rangeBetween(W.unboundedPreceding, 0)
     ends = (
         sized.where("not large")
-        .join(small(passes), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
-        .withColumn("upto", F.sum("size").over(within) + F.col("before"))
-        .where(F.col("upto") - F.col("size") / 2 <= F.col("part"))
+        .join(small(passes), F.col("source").eqNullSafe(F.col("of")) & (F.col("_bucket") == F.col("at")))
+        .withColumn("upto", F.sum("_words").over(within) + F.col("before"))
+        .where(F.col("upto") - F.col("_words") / 2 <= F.col("part"))
         .groupBy("source")
-        .agg(F.max("draw").alias("last"))
+        .agg(F.max("_draw").alias("last"))
         .select(F.col("source").alias("ended"), "last")
     )
     cut = aims.join(passes.select("of", "at"), F.col("source").eqNullSafe(F.col("of")), "left").join(ends, F.col("source").eqNullSafe(F.col("ended")), "left")
-    cut = cut.select(F.col("source").alias("of"), "source_size", "target", "whole", "part", "taken_large", "at", "last")
-    first = (F.col("part") > 0) & (F.col("at").isNull() | (F.col("bucket") < F.col("at")) | ((F.col("bucket") == F.col("at")) & F.coalesce(F.col("draw") <= F.col("last"), F.lit(False))))
-    more = F.when(F.col("large"), F.array_contains("taken_large", F.col("draw"))).otherwise(first)
-    return (
-        sized.join(small(cut), F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("times", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int"))
-        .select("doc_id", "source", *keep, "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
-    )
+    return cut_lineage(cut.select("source", "source_size", "target", "whole", "part", "taken_large", "at", "last"))
+
+
+def _small(sources: DataFrame) -> Callable:
+    """Broadcasting, if there are few enough sources."""
+    return F.broadcast if sources.count() <= BROADCAST_SOURCES else (lambda x: x)
+
+
+def with_times(docs: DataFrame, planned: DataFrame, seed: int = 7) -> DataFrame:
+    """`docs` with _words, and what `planned` says: _source_size, _target, and how often to take the row, _times."""
+    of = planned.select(*[F.col(c).alias(f"_{c}") for c in planned.columns])
+    rows = docs.withColumns(_drawn(docs, seed)).join(_small(planned)(of), docs["source"].eqNullSafe(of["_source"]))
+    at_end = (F.col("_bucket") == F.col("_at")) & F.coalesce(F.col("_draw") <= F.col("_last"), F.lit(False))
+    first = (F.col("_part") > 0) & (F.col("_at").isNull() | (F.col("_bucket") < F.col("_at")) | at_end)
+    more = F.when(F.col("_words") > F.col("_source_size") / LARGE, F.array_contains("_taken_large", F.col("_draw"))).otherwise(first)
+    rows = rows.withColumn("_times", (F.col("_whole") + F.when(more, 1).otherwise(0)).cast("int"))
+    return rows.select(*[docs[c] for c in docs.columns], "_words", "_source_size", "_target", "_times")
+
+
+def mix(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+    """Every row of `docs` with how often the mix takes it: doc_id, source, size, source_size, target, times, taken.
+
+    A source is repeated floor(target / size) times whole. The fraction that is left is a seeded sample: documents in
+    the order of a hash of seed, doc_id and text, up to the one where the running sum of sizes comes nearest to the
+    fraction. The place is found from totals of `BUCKETS` ranges of the hash for each source, then in the one range where
+    the sum passes, so that no source is gathered in one task. Documents of over 1/`LARGE` of their source, `LARGE` at
+    most, would make that sum coarse; they are drawn first, for their share of the fraction, and the others fill it up.
+
+    Null text: size 0, taken 0. Null source: a source of its own, last. Null doc_id: an ordinary row. Equal rows are
+    taken alike. Sizes all 0: targets 0. Empty input: empty result. Further columns of `docs` are ignored.
+    """
+    docs = docs.select("doc_id", "source", "text")
+    rows = with_times(docs, plan(docs, max_epochs, weights, seed), seed)
+    return rows.select(
+        "doc_id", "source", F.col("_words").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+        F.col("_times").alias("times"), (F.col("_words") * F.col("_times")).alias("taken"),
+    )
+
+
+def mixed(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+    """The mix itself: the rows of `docs`, all columns as they were, each as often as `mix` takes it."""
+    rows = with_times(docs, plan(docs, max_epochs, weights, seed), seed).where("_times > 0")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_turn")).drop("_turn")
