@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from tessera.plans import retrieval
+
+_MODULES: list = [retrieval]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,4 +23,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval over the documents table."""
-    raise NotImplementedError
+    return retrieval.hybrid_recall(spark, sf_dir)
