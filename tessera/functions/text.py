@@ -64,7 +64,7 @@ def kgram_coverage(a: Column, b: Column, k: int = 12) -> Column:
 
     def grams(x: Column) -> Column:
         bare = F.regexp_replace(x, r"(?U)\s+", "")
-        found = F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - k + 1, F.lit(1))), lambda i: F.substr(bare, i, F.lit(k)))
+        found = F.when(F.length(bare) <= k, F.array(bare)).otherwise(F.regexp_extract_all(bare, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
         return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(found))
 
     mine = grams(a)

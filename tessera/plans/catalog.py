@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import retrieval
+from tessera.plans import retrieval, tables
 
-_MODULES: list = [retrieval]
+_MODULES: list = [retrieval, tables]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
