@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import retrieval, tables
+from tessera.plans import documents, retrieval, tables
 
-_MODULES: list = [retrieval, tables]
+_MODULES: list = [documents, retrieval, tables]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
