@@ -12,7 +12,8 @@ from tessera.operators import semantic
 from tessera.operators import state as S
 from tessera.session import table
 
-NOW = F.timestamp_seconds(F.lit(1_700_000_000))
+#: The moment that the chunk queries take as now, in seconds.
+NOW = 1_700_000_000
 SHORT_STAGES = S.STAGES
 
 
@@ -175,7 +176,7 @@ def chunk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred chunks that have been pending longest."""
-    return C.stale(_settled(spark, sf_dir), NOW).select("chunk_id", "doc_id", "chunk_index")
+    return C.stale(_settled(spark, sf_dir), F.timestamp_seconds(F.lit(NOW))).select("chunk_id", "doc_id", "chunk_index")
 
 
 def chunk_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,14 +188,14 @@ def chunk_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points to drop by bucket when every user's first chunks are deleted."""
     t = _settled(spark, sf_dir)
-    _, points = C.delete(t, t.where("chunk_index = 0").select("chunk_id"), NOW)
+    _, points = C.delete(t, t.where("chunk_index = 0").select("chunk_id"), F.timestamp_seconds(F.lit(NOW)))
     return points.select("bucket_id", F.size("chunk_ids").alias("chunks"))
 
 
 def chunk_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after failed chunks are claimed: statuses and how many changed."""
     t = _settled(spark, sf_dir)
-    marked = C.mark(t, t.where("chunk_index % 2 = 1").select("chunk_id"), "indexed", NOW, F.col("dense_vector_status") == "FAILED")
+    marked = C.mark(t, t.where("chunk_index % 2 = 1").select("chunk_id"), "indexed", F.timestamp_seconds(F.lit(NOW)), F.col("dense_vector_status") == "FAILED")
     return marked.groupBy("dense_vector_status", "es_status", "changed").agg(F.count("*").alias("chunks"))
 
 
