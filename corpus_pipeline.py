@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import cut_lineage, read
-from tessera.llm.decontamination import leaks
+from tessera.llm.decontamination import without_leaks
 from tessera.llm.mixing import mixed
 from tessera.llm.neardup import keep_first
 from tessera.llm.quality import accepted
@@ -28,7 +28,7 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return leaks(docs, read(spark, sf_dir, "benchmark"), into="_leaks").where("size(_leaks) = 0").select(*docs.columns)
+    return without_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,12 @@ def _remove(spark: SparkSession, root: str) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shielded(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with all columns but `needed` renamed, so that none clashes with an operator's own, and what undoes it."""
+    names = [c if c in needed else f"_kept_{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda df: df.select(*names).toDF(*docs.columns)
+
+
 def text_key(text: Column | str) -> list[Column]:
     """Columns that tell texts apart (96 hash bits and the length); null counts as empty."""
     whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

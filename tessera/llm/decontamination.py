@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import shielded
+
 #: What parts words: ASCII other than letters and digits, and the blocks of Latin, general and CJK punctuation.
 GAPS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 MARKS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]")
@@ -44,7 +46,22 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
 
 def trigrams(words: list[bytes]) -> set[tuple[bytes, ...]]:
     """Distinct trigrams; of fewer words, one gram."""
-    return {tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))} if words else set()
+    return grams(words, min(3, len(words)))
+
+
+def grams(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
+    """Distinct n-grams."""
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if n else set()
+
+
+def share(part: set[tuple[bytes, ...]], passage: list[bytes], held: dict[int, set]) -> float:
+    """How much of the grams of a question or answer stands in a passage, whose grams by length are kept in `held`."""
+    if not part:
+        return 1.0
+    n = len(next(iter(part)))
+    if n not in held:
+        held[n] = grams(passage, n)
+    return len(part & held[n]) / len(part)
 
 
 class Index:
@@ -170,13 +187,10 @@ class Index:
             d, stop = owner[k], bounds[k + (2 if follows[k] else 1)]
             query = sorted(set(term[bounds[k] : stop].tolist()))
             at = int(k - starts[d]) * half
-            grams = None
+            passage, held_grams = lists[d][at : at + 2 * half], {}
             for c in np.flatnonzero(bound[k] >= least - 1e-4):
                 for item, score in self.above(query, least, int(c)):
-                    grams = trigrams(lists[d][at : at + 2 * half]) if grams is None else grams
-                    question, answer = self.answers[item]
-                    q = len(question & grams) / len(question) if question else 1.0
-                    a = len(answer & grams) / len(answer)
+                    q, a = (share(part, passage, held_grams) for part in self.answers[item])
                     if q >= overlap and a >= overlap:
                         found[d].append((self.items[item][0], score, q, a, at))
         best: list[list[tuple]] = []
@@ -226,3 +240,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
 
         out = out.mapInArrow(run, f"{kinds}, `{into}` {HITS}")
     return out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of `docs` that hold none of `items`, all columns as they were."""
+    docs, restored = shielded(docs, "text")
+    return restored(leaks(docs, items, threshold, overlap).where("size(hits) = 0"))

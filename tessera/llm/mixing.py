@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import cut_lineage
+from tessera.llm.common import cut_lineage, shielded
 
 #: Buckets of the sampling hash whose totals find where a source's fractional repetition ends.
 BUCKETS = 4096
@@ -145,5 +145,6 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1,
 
 def mixed(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """The mix itself: the rows of `docs`, all columns as they were, each as often as `mix` takes it."""
+    docs, restored = shielded(docs, "doc_id", "source", "text")
     rows = with_times(docs, plan(docs, max_epochs, weights, seed), seed).where("_times > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_turn")).drop("_turn")
+    return restored(rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_turn")))
