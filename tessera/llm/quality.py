@@ -1,19 +1,21 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text."""
+"""Quality by perplexity under interpolated modified Kneser-Ney models of trusted text, of characters and of words."""
 
 from __future__ import annotations
 
 import math
+import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.llm.common import cut_lineage, shielded
+from tessera.llm.neardup import _Hashes, mixed
 
 #: Characters are folded into so many symbols; 0 stands before a text. The model has at most SYMBOLS ** ORDER n-grams
 #: (5.3 million, 64 MB), whatever the corpus, which is what bounds its broadcast.
@@ -21,6 +23,11 @@ SYMBOLS, ORDER = 48, 4
 #: So many trusted ids at most are broadcast (under 100 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 BROADCAST_LANGUAGES = 100_000
+#: What counts as a word: a letter of a script without spaces (Thai to Khmer, kana, ideographs), a run of letters, of digits, a mark.
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[{ALONE}]|(?:(?![{ALONE}])[^\W\d_])+|\d+|[^\w\s]|_|\w")
+#: Words of which a task holds the pairs at once; the hash of what stands before a text.
+FLUSH, START = 1_000_000, 1
 
 
 def folding() -> np.ndarray:
@@ -155,60 +162,192 @@ def trusted_flag(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(small(ids), docs["doc_id"] == F.col("_id"), "left").withColumn("_trusted", F.col("_id").isNotNull()).drop("_id")
 
 
-class Judge:
-    """A fitted model with the languages' means and thresholds."""
+def tokens(text: str | None) -> list[str]:
+    """Words in their own case, numbers as their digits' count, marks one by one, and each letter of scripts without spaces."""
+    return [len(w) * "0" if w.isdigit() else w for w in TOKEN.findall(text or "")]
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float, slack: float, prior_chars: int) -> None:
-        known = trusted_flag(docs.select("doc_id", "lang", "text"), labels.select("doc_id", "quality")).where("_trusted")
-        self.model, self.prior_chars, self.slack = fit(known), prior_chars, math.log(slack)
-        scored = cut_lineage(log_perplexity(known.select("lang", "text"), self.model).where("_n > 0"))
+
+def word_grams(docs: DataFrame) -> DataFrame:
+    """(gram, context, word, texts, times): hashes of the word pairs of `docs` (key, text) and in which texts they stand.
+
+    Each task sends a pair once for every FLUSH words it reads, so a common pair gives few rows. START is the word before
+    a text.
+    """
+
+    def packed(keys: list[int], hashed: list[np.ndarray]) -> pa.RecordBatch:
+        word = np.concatenate(hashed)
+        owner = np.repeat(np.arange(len(keys)), [len(h) for h in hashed])
+        context = np.r_[np.uint64(START), word[:-1]]
+        context[np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])] = START
+        gram = mixed(context * np.uint64(0x9E3779B97F4A7C15) + word)
+        order = np.argsort(gram, kind="stable")
+        gram, owner = gram[order], owner[order]
+        fresh = np.r_[True, gram[1:] != gram[:-1]]
+        at = np.flatnonzero(fresh | np.r_[True, owner[1:] != owner[:-1]])
+        first = np.flatnonzero(fresh[at])
+        offsets = pa.array(np.r_[first, len(at)].astype(np.int32))
+        heads = at[first]
+        texts = pa.array(np.array(keys, np.int64)[owner[at]])
+        times = pa.array(np.diff(np.r_[at, len(gram)]).astype(np.int32))
+        columns = [pa.array(x.view(np.int64)) for x in (gram[heads], context[order][heads], word[order][heads])]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, texts), pa.ListArray.from_arrays(offsets, times)], ["gram", "context", "word", "texts", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, keys, hashed, held = _Hashes(), [], [], 0
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = np.array([known[w] for w in tokens(text)], np.uint64)
+                if len(found):
+                    keys.append(key)
+                    hashed.append(found)
+                    held += len(found)
+                if held > FLUSH:
+                    yield packed(keys, hashed)
+                    keys, hashed, held = [], [], 0
+        if keys:
+            yield packed(keys, hashed)
+
+    return docs.select("key", "text").mapInArrow(run, "gram long, context long, word long, texts array<long>, times array<int>")
+
+
+@dataclass
+class WordModel:
+    """Tables of an interpolated modified Kneser-Ney model of word pairs, which grow with the trusted text."""
+
+    pairs: DataFrame
+    contexts: DataFrame
+    words: DataFrame
+    unknown: float
+
+
+def fit_words(trusted: DataFrame) -> WordModel:
+    """The model of the texts of `trusted` (key, text): counts sharded by hash, joined with those of words and contexts."""
+    times = F.aggregate("times", F.lit(0).cast("long"), lambda s, x: s + x)
+    counted = word_grams(trusted).select("gram", "context", "word", times.alias("c"))
+    pairs = cut_lineage(counted.groupBy("gram", "context", "word").agg(F.sum("c").alias("c")))
+    words = pairs.groupBy("word").agg(F.count("*").alias("c"))
+    discounted = lambda t: t.withColumn("d", _discount(discounts(t)))
+    words, pairs = discounted(cut_lineage(words)), discounted(pairs)
+    row = words.agg(F.sum("c"), F.sum("d"), F.count("*")).first()
+    unknown = row[1] / row[0] / (row[2] + 1) if row[0] else 1.0
+    words = cut_lineage(words.select("word", ((F.col("c") - F.col("d")) / F.lit(row[0]) + F.lit(unknown)).alias("below")))
+    contexts = cut_lineage(pairs.groupBy("context").agg(F.sum("c").alias("all"), (F.sum("d") / F.sum("c")).alias("weight")))
+    joined = pairs.join(contexts, "context").join(words, "word")
+    pairs = cut_lineage(joined.select("gram", ((F.col("c") - F.col("d")) / F.col("all") + F.col("weight") * F.col("below")).alias("p")))
+    return WordModel(pairs, contexts.select("context", "weight"), words, unknown)
+
+
+def _discount(d: list[float]) -> Column:
+    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+
+
+def word_scores(docs: DataFrame, model: WordModel) -> DataFrame:
+    """(key, _words, _wnll) of each text of `docs` (key, text) that has words: their number and negative log probability.
+
+    Pairs are joined with the model's tables by hash and summed by text. A text that stands there more than once has as
+    many first words, by which the sums are divided.
+    """
+    joined = word_grams(docs).join(model.pairs, "gram", "left").join(model.contexts, "context", "left").join(model.words, "word", "left")
+    below = F.coalesce("weight", F.lit(1.0)) * F.coalesce("below", F.lit(model.unknown))
+    each = joined.select((-F.log(F.coalesce("p", below))).alias("cost"), (F.col("context") == START).cast("long").alias("first"), F.explode(F.arrays_zip("texts", "times")).alias("e"))
+    times = F.col("e.times")
+    sums = each.groupBy(F.col("e.texts").alias("key")).agg(F.sum(times).alias("n"), F.sum(times * F.col("cost")).alias("s"), F.sum(times * F.col("first")).alias("copies"))
+    return sums.select("key", (F.col("n") / F.col("copies")).cast("long").alias("_words"), (F.col("s") / F.col("copies")).alias("_wnll"))
+
+
+class Limits:
+    """The languages' means and thresholds of a score, found on trusted rows (lang, _n, _nll)."""
+
+    def __init__(self, scored: DataFrame, quantile: float, slack: float, prior: int) -> None:
+        self.slack, self.prior = math.log(slack), prior
         means = cut_lineage(scored.groupBy("lang").agg(F.sum("_nll").alias("s"), F.sum("_n").alias("m")))
         self.mean = means.agg(F.sum("s") / F.sum("m")).first()[0]
         self.means = means.select(F.col("lang").alias("_of"), (F.col("s") / F.col("m")).alias("_mean"))
         self.small = F.broadcast if means.count() <= BROADCAST_LANGUAGES else (lambda x: x)
         if self.mean is None:
             return
-        steps = cut_lineage(self._level(scored).groupBy("lang", F.ceil(F.col("_level") * 1000).alias("step")).count())
+        steps = cut_lineage(self._level(scored, "_n", "_nll").groupBy("lang", F.ceil(F.col("_level") * 1000).alias("step")).count())
         self.limit = _at_quantile(steps.groupBy("step").agg(F.sum("count").alias("count")), [], quantile).first()["limit"]
         self.limits = cut_lineage(_at_quantile(steps, ["lang"], quantile).select(F.col("lang").alias("_in"), F.col("limit").alias("_limit")))
 
-    def _level(self, scored: DataFrame) -> DataFrame:
-        """With the mean log perplexity of a character, `prior_chars` of the language's mean counted in."""
-        level = (F.col("_nll") + self.prior_chars * F.coalesce("_mean", F.lit(self.mean))) / (F.col("_n") + self.prior_chars)
-        return scored.join(self.small(self.means), F.col("lang").eqNullSafe(F.col("_of")), "left").withColumn("_level", F.when(F.col("_n") > 0, level)).drop("_of", "_mean")
+    def _level(self, scored: DataFrame, n: str, nll: str) -> DataFrame:
+        """With the mean negative log probability, `prior` times the language's mean counted in."""
+        level = (F.col(nll) + self.prior * F.coalesce("_mean", F.lit(self.mean))) / (F.col(n) + self.prior)
+        return scored.join(self.small(self.means), F.col("lang").eqNullSafe(F.col("_of")), "left").withColumn("_level", F.when(F.col(n) > 0, level)).drop("_of", "_mean")
 
-    def decide(self, docs: DataFrame, keep_text: bool = False) -> DataFrame:
-        """`docs` with _n, _perplexity, _threshold and _accepted."""
-        scored = log_perplexity(docs, self.model, keep_text)
+    def decide(self, scored: DataFrame, n: str, nll: str, perplexity: str, threshold: str, within: str) -> DataFrame:
+        """`scored` with three further columns; `within` is null for a row of no length. Without a threshold all are within."""
         if self.mean is None:
-            return scored.withColumns({"_perplexity": F.exp(F.col("_nll") / F.when(F.col("_n") > 0, F.col("_n"))), "_threshold": F.lit(None).cast("double"), "_accepted": F.lit(True)}).drop("_nll")
+            return scored.withColumns({perplexity: F.exp(F.col(nll) / F.when(F.col(n) > 0, F.col(n))), threshold: F.lit(None).cast("double"), within: F.lit(True)})
         limit = F.coalesce("_limit", F.lit(self.limit)) + self.slack
-        rows = self._level(scored).join(self.small(self.limits), F.col("lang").eqNullSafe(F.col("_in")), "left")
-        return rows.withColumns({"_perplexity": F.exp("_level"), "_threshold": F.exp(limit), "_accepted": F.coalesce(F.col("_level") <= limit, F.lit(False))}).drop("_in", "_limit", "_level", "_nll")
+        rows = self._level(scored, n, nll).join(self.small(self.limits), F.col("lang").eqNullSafe(F.col("_in")), "left")
+        return rows.withColumns({perplexity: F.exp("_level"), threshold: F.exp(limit), within: F.col("_level") <= limit}).drop("_in", "_limit", "_level")
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.3, prior_chars: int = 50) -> DataFrame:
-    """Every row of `docs` (doc_id, text, lang) with n_units, perplexity, threshold and the decision `accepted`.
+class Judge:
+    """The fitted models of characters and of words with the languages' thresholds."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float, slack: float, prior_chars: int) -> None:
+        known = trusted_flag(docs.select("doc_id", "lang", "text"), labels.select("doc_id", "quality")).where("_trusted")
+        self.model = fit(known)
+        self.chars = Limits(cut_lineage(log_perplexity(known.select("lang", "text"), self.model).where("_n > 0")), quantile, slack, prior_chars)
+        keyed = known.select("lang", "text", _key().alias("key"))
+        self.words = fit_words(keyed)
+        # Most pairs of words are rare, so a text that the model has counted tells nothing of others: each half is scored by the other.
+        halves = [keyed.where(F.pmod(F.xxhash64(F.lit("half"), "key"), F.lit(2)) == k) for k in (0, 1)]
+        held = [mine.select("lang", "key").join(word_scores(mine, fit_words(other)), "key") for mine, other in (halves, halves[::-1])]
+        scored = held[0].unionByName(held[1]).select("lang", F.col("_words").alias("_n"), F.col("_wnll").alias("_nll"))
+        self.pairs = Limits(cut_lineage(scored), quantile, slack, max(1, prior_chars // 5))
+
+    def decide(self, docs: DataFrame, keep_text: bool = False) -> DataFrame:
+        """`docs` with _key, _n, _perplexity, _threshold and _accepted, by characters alone."""
+        rows = self.chars.decide(log_perplexity(docs.withColumn("_key", _key()), self.model, keep_text), "_n", "_nll", "_perplexity", "_threshold", "_accepted")
+        return rows.withColumn("_accepted", F.coalesce("_accepted", F.lit(False))).drop("_nll")
+
+    def by_words(self, rows: DataFrame, docs: DataFrame) -> DataFrame:
+        """`rows` (lang, _key, ...) of texts of `docs` with _words, _word_perplexity, _word_threshold and _known."""
+        scores = word_scores(docs.select(_key().alias("key"), "text"), self.words).withColumnRenamed("key", "_key")
+        decided = self.pairs.decide(rows.join(scores, "_key", "left"), "_words", "_wnll", "_word_perplexity", "_word_threshold", "_known")
+        return decided.withColumn("_known", F.coalesce("_known", F.lit(True))).drop("_wnll")
 
-    The model is fitted to all texts that `labels` (doc_id, quality) calls good. Perplexity is for each character; a text
-    takes prior_chars more of its language's mean with it, so that a few words don't decide. A language's threshold is
-    slack times the `quantile` of its trusted documents' perplexity, found on totals of steps of 0.001 in its logarithm;
-    a language without trusted documents takes that of all. Without any trusted document all are accepted.
 
-    Null and empty text: n_units 0, perplexity null, not accepted. Null lang is a language of its own. A document that is
-    labelled twice is trusted if one label says so. Repeated rows are judged alike. Empty input: empty result. Further
-    columns of `docs` are ignored.
+def _key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.3, prior_chars: int = 50) -> DataFrame:
+    """Every row of `docs` (doc_id, text, lang) with n_units, perplexity, threshold, word_perplexity, word_threshold, accepted.
+
+    Two models are fitted to all texts that `labels` (doc_id, quality) calls good: one of folded characters, which tells
+    strange spelling, and one of words in pairs, which tells unknown words and strange order in any script and grows with
+    the trusted text. A text must be within both thresholds. Perplexities are for each character and each word; a text
+    takes prior_chars more of its language's mean with it (a fifth as many words), so that a few words don't decide. A
+    language's threshold is slack times the `quantile` of its trusted documents' perplexity, found on totals of steps of
+    0.001 in its logarithm; a language without trusted documents takes that of all. Without any trusted document all are
+    accepted.
+
+    Null and empty text: n_units 0, perplexity null, not accepted. Text without words: word_perplexity null, judged by
+    characters. Null lang is a language of its own. A document that is labelled twice is trusted if one label says so.
+    Repeated rows are judged alike. Empty input: empty result. Further columns of `docs` are ignored.
     """
     judge = Judge(docs, labels, quantile, slack, prior_chars)
-    rows = judge.decide(docs.select("doc_id", "lang", "text"))
-    return rows.select("doc_id", "lang", F.col("_n").alias("n_units"), F.col("_perplexity").alias("perplexity"), F.col("_threshold").alias("threshold"), F.col("_accepted").alias("accepted"))
+    docs = docs.select("doc_id", "lang", "text")
+    rows = judge.by_words(judge.decide(docs), docs)
+    told = [F.col(f"_{c}").alias(c) for c in ("perplexity", "threshold", "word_perplexity", "word_threshold")]
+    return rows.select("doc_id", "lang", F.col("_n").alias("n_units"), *told, (F.col("_accepted") & F.col("_known")).alias("accepted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.3, prior_chars: int = 50) -> DataFrame:
-    """The rows of `docs` that `quality` accepts, all columns as they were. No text is shuffled: rows are scored in place."""
+    """The rows of `docs` that `quality` accepts, all columns as they were.
+
+    Rows are scored in place by characters; those whose words are refused are taken out by their keys.
+    """
     docs, restored = shielded(docs, "doc_id", "lang", "text")
     judge = Judge(docs, labels, quantile, slack, prior_chars)
-    return restored(judge.decide(docs, keep_text=True).where("_accepted"))
+    refused = judge.by_words(docs.select("lang", _key().alias("_key")).distinct(), docs).where("not _known")
+    refused = cut_lineage(refused.select(F.col("lang").alias("_its"), F.col("_key").alias("_text")))
+    rows = judge.decide(docs, keep_text=True).where("_accepted")
+    return restored(rows.join(refused, (F.col("_key") == F.col("_text")) & F.col("lang").eqNullSafe(F.col("_its")), "left_anti"))
 
 
 def _at_quantile(steps: DataFrame, by: list[str], quantile: float) -> DataFrame:

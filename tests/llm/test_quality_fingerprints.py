@@ -87,6 +87,37 @@ def test_clean_stays_and_junk_goes(spark, make):
     assert scored == pytest.approx([again[0], again[1]], rel=1e-9)
 
 
+def test_word_pairs_against_plain_kneser_ney(spark):
+    docs = spark.createDataFrame(list(enumerate([*TRUSTED, TRUSTED[1]])), "key long, text string")
+    model = quality.fit_words(docs)
+    counts = Counter(p for t in [*TRUSTED, TRUSTED[1]] for p in zip([None, *quality.tokens(t)], quality.tokens(t)))
+    assert model.pairs.count() == len(counts)
+    below = Counter(w for _, w in counts)
+
+    def cut(table: Counter) -> list[float]:
+        n = [max(1, sum(c == k for c in table.values())) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
+
+    one, two = cut(below), cut(counts)
+    rest = sum(one[min(c, 3) - 1] for c in below.values()) / sum(below.values()) / (len(below) + 1)
+
+    def p(v, w) -> float:
+        low = rest + ((below[w] - one[min(below[w], 3) - 1]) / sum(below.values()) if below[w] else 0.0)
+        own = {g: c for g, c in counts.items() if g[0] == v}
+        if not own:
+            return low
+        c, total = counts[v, w], sum(own.values())
+        return ((c - two[min(c, 3) - 1]) if c else 0.0) / total + sum(two[min(x, 3) - 1] for x in own.values()) / total * low
+
+    asked = ["the river runs unknown words over the lazy fox", "fox fox fox"]
+    got = {r.key: r for r in quality.word_scores(spark.createDataFrame(list(enumerate(asked)), "key long, text string"), model).collect()}
+    for k, t in enumerate(asked):
+        ws = quality.tokens(t)
+        assert got[k]._words == len(ws)
+        assert got[k]._wnll == pytest.approx(-sum(math.log(p(v, w)) for v, w in zip([None, *ws], ws)), rel=1e-6)
+
+
 def test_quality_bears_odd_rows(spark, odd, clash):
     labels = spark.createDataFrame([(5, 1, 0), (9, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality.quality(odd, labels)
