@@ -118,6 +118,30 @@ def test_word_pairs_against_plain_kneser_ney(spark):
         assert got[k]._wnll == pytest.approx(-sum(math.log(p(v, w)) for v, w in zip([None, *ws], ws)), rel=1e-6)
 
 
+def test_known_words_repeated_or_shuffled_go(spark, make):
+    rnd = random.Random(16)
+    letters = "αβγδεζηθικλμνξοπρστυφχψω"
+    rows = []
+    for lang, sounds in (("en", ["ba", "ne", "li", "to", "ra", "su"]), ("el", ["αν", "το", "κα", "ρι", "με", "σο"])):
+        words = sorted({"".join(rnd.choice(sounds) for _ in range(rnd.randrange(2, 5))) for _ in range(300)})
+        after = {w: rnd.sample([x for x in words if x != w], 6) for w in words}
+        for k in range(400):
+            text = [rnd.choice(words)]
+            while len(text) < 80:
+                text.append(rnd.choice(after[text[-1]]))
+            if k >= 350:
+                text = [rnd.choice(words)] * 80 if k % 2 else ["".join(rnd.choice(letters) for _ in w) for w in text]
+            rows.append(((0 if lang == "en" else 1000) + k, " ".join(text), lang))
+    labels = spark.createDataFrame([(b + k, 1) for b in (0, 1000) for k in range(200)], "doc_id long, quality int")
+    docs = make(rows)
+    got = {r.doc_id: r.accepted for r in quality.quality(docs, labels).collect()}
+    assert sum(got[b + k] for b in (0, 1000) for k in range(200, 350)) >= 297
+    assert not any(got[b + k] for b in (0, 1000) for k in range(350, 400))
+    assert sorted(r.doc_id for r in quality.accepted(docs, labels).collect()) == sorted(k for k in got if got[k])
+    copies = {r.doc_id: r.word_perplexity for r in quality.quality(make([*rows, (9999, *rows[250][1:])]), labels).collect()}
+    assert copies[9999] == copies[250]
+
+
 def test_quality_bears_odd_rows(spark, odd, clash):
     labels = spark.createDataFrame([(5, 1, 0), (9, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality.quality(odd, labels)
