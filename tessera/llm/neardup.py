@@ -18,6 +18,8 @@ K, SKETCHES, TAKEN = 5, 24, 2
 SIMILARITY = 0.8
 #: How many turns lie between the two sketches by which texts are paired again, round by round.
 STEPS = (5, 11)
+#: Buckets of a bag of words, its fullest bucket, and texts in a block of those that share a sketch.
+BUCKETS, FULL, BLOCK = 64, 65535, 1000
 KEY = ["key_hash", "key_crc", "key_bytes"]
 _RANDOM = np.random.RandomState(20240607)
 _SEEDS = _RANDOM.randint(0, 2**63, SKETCHES, dtype=np.int64).astype(np.uint64)
@@ -199,6 +201,84 @@ def _apart(distinct: DataFrame, labels: DataFrame, step: int) -> DataFrame:
     return apart.select(F.least("tid", "hub").alias("a"), F.greatest("tid", "hub").alias("b")).distinct()
 
 
+def word_bags(texts: DataFrame) -> DataFrame:
+    """(tid, n, bag): the number of words of each text of `texts` (tid, text) and how many fall into each of BUCKETS.
+
+    If a bucket is more than FULL, all are said to be: such a bag keeps no text out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for b in batches:
+            sizes, bags = [], []
+            for t in b.column(1).to_pylist():
+                hashed = np.array([known[w] for w in words(t)], np.uint64)
+                bag = np.bincount((hashed % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                bags.append((bag if bag.max() < FULL else np.full(BUCKETS, FULL)).astype(np.uint16).tobytes())
+                sizes.append(len(hashed))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(bags, pa.binary())], ["tid", "n", "bag"])
+
+    return texts.select("tid", "text").mapInArrow(run, "tid long, n long, bag binary")
+
+
+def _untried(distinct: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of texts that have a sketch in common, aren't connected yet and could be alike.
+
+    Only sketches with several components are looked at. Nothing that could be alike is left out: of two alike texts the
+    shorter has `least` of the longer's words, so both stand in one of two neighbouring bands of lengths, and their bags
+    have as many words in common. Texts of a sketch and band are dealt to blocks of BLOCK or so, each pair of blocks by
+    itself, so that no group is gathered and no pair is a row before it passes.
+    """
+    known = distinct.join(labels.withColumnRenamed("v", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+    entries = known.select("tid", "label", F.explode(F.array_distinct("sketches")).alias("sketch"))
+    several = entries.groupBy("sketch").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sketch")
+    left = cut_lineage(entries.join(several, "sketch"))
+    sized = cut_lineage(word_bags(texts.join(left.select("tid").distinct(), "tid", "left_semi")))
+    band = F.floor(F.log("n") / F.lit(-np.log(min(least, 0.99)))) if least > 0 else F.lit(0)
+    banded = left.join(sized.select("tid", "n", band.alias("at")), "tid").withColumn("band", F.explode(F.array("at", F.col("at") + 1)))
+    counts = banded.groupBy("sketch", "band").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
+    blocked = banded.join(counts.where("low <> high").select("sketch", "band", F.ceil(F.col("m") / BLOCK).alias("blocks")), ["sketch", "band"])
+    blocked = blocked.withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = ["sketch", "band", "i", "j"]
+    dealt = blocked.select("sketch", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "label", "n").join(sized.select("tid", "bag"), "tid")
+    dealt = dealt.select(*keys, "tid", "label", "n", "bag").repartition(*keys).sortWithinPartitions(*keys)
+
+    def pairs(tid: np.ndarray, label: np.ndarray, n: np.ndarray, bags: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(len(tid) - 1):
+            rest = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+            need = least * np.maximum(n[rest], n[k]) - 1e-9
+            rest, need = rest[np.minimum(n[rest], n[k]) >= need], need[np.minimum(n[rest], n[k]) >= need]
+            rest = rest[np.minimum(bags[rest], bags[k]).sum(1, dtype=np.int64) >= need]
+            if len(rest):
+                yield np.minimum(tid[rest], tid[k]), np.maximum(tid[rest], tid[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in _with_end(batches):
+            whole = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if whole is None or whole.num_rows == 0:
+                continue
+            key = np.stack([whole.column(c).to_numpy() for c in range(4)], 1)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
+            stop = len(key) if b is None else starts[-1]  # the last group may go on in the next batch
+            if stop:
+                part = whole.slice(0, stop)
+                tid, label, n = (part.column(c).to_numpy() for c in (4, 5, 6))
+                bags = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+                for lo, hi in zip(starts[starts < stop], np.r_[starts[1:], len(key)], strict=False):
+                    found = list(pairs(tid[lo:hi], label[lo:hi], n[lo:hi], bags[lo:hi]))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+            held = whole.slice(stop)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Every row of `docs` (doc_id, text) with its class: doc_id, class_id, n_links, and the text's key and its class's.
 
@@ -206,8 +286,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     with a common sketch are linked with one of them, by turns of the sketch the first, the last or one of two drawn by
     lot, so that a sketch with m texts gives m - 1 pairs and no group is gathered. Pairs are verified by banded alignment:
     `least` of the longer text's words must align. Texts that have two sketches in common but still lie in different
-    components are then paired again, once for each of STEPS, so that a text that is unlike the others of its sketch hides
-    no link. Classes are connected components; class_id is the least doc_id in the class, n_links the number of verified
+    components are then paired again, once for each of STEPS. What still lies in different components of one sketch is
+    compared pair by pair, unless lengths or bags of words show that it can't be alike, so that no text hides a link of
+    others. Classes are connected components; class_id is the least doc_id in the class, n_links the number of verified
     pairs of the text. class_doc and class_key_* name one row of the class to keep.
 
     With half of the k-mers in common, a pair has no common sketch once in 1,000; with two thirds, once in 1,000,000.
@@ -233,8 +314,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     links = cut_lineage(verified(tried, texts, least))
     labels = components(links)
     sharing = distinct.select("tid", "sketches").join(texts.select("tid"), "tid", "left_semi")
-    for step in STEPS:
-        pairs = cut_lineage(_apart(sharing, labels, step).join(tried, ["a", "b"], "left_anti"))
+    for step in (*STEPS, None):
+        found = _untried(sharing, labels, texts, least) if step is None else _apart(sharing, labels, step)
+        pairs = cut_lineage(found.join(tried, ["a", "b"], "left_anti"))
         more = cut_lineage(verified(pairs, texts, least))
         if more.limit(1).count() == 0:
             continue

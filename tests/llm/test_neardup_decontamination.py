@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 from conftest import CLASHING, rows_of
 
 from tessera.llm import decontamination, neardup
@@ -74,6 +75,22 @@ def test_classes_against_all_pairs(make):
     assert [got[k].class_id for k in range(len(rows))] == [top(k) for k in range(len(rows))]
 
 
+def test_a_shared_passage_hides_no_near_copies(make):
+    rnd = random.Random(31)
+    passage, rows = prose(rnd, 50), []
+    for k in range(400):
+        own = [f"t{k}x{i}" for i in range(60)]
+        rows.append((2 * k, " ".join(passage + own)))
+        if k % 10 == 0:  # no five words of its own part are left together
+            rows.append((2 * k + 1, " ".join(passage + [w if i % 5 else f"n{k}x{i}" for i, w in enumerate(own)])))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(make(rows)).collect()}
+    texts, hashes = dict(rows), neardup._Hashes()
+    sketches = lambda k: set(neardup.order_minhash(neardup.labelled_kmers(np.array([hashes[w] for w in texts[k].split()], np.uint64))))
+    planted = [k for k in texts if k % 2 and sketches(k) & sketches(k - 1)]
+    assert len(planted) > 25 and [got[k] for k in planted] == [k - 1 for k in planted]
+    assert all(got[k] == k for k in texts if k % 2 == 0)
+
+
 def test_keep_first_keeps_one_of_each_class(make, clash):
     rows = planted()
     docs = clash(make(rows))
