@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.spans import MATCHES, marked_free, matches
 
-#: Candidates: unbroken strings with a digit, private key headers, and what is assigned to a telling name.
+#: Candidates: unbroken strings, private key headers, and what is assigned to a telling name, in quotes or not.
 STRING = r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{16,}+"
 HEADER = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential"
-ASSIGNED = rf"(?i)(?<=(?:{NAMES})[\"']?[\x20\t]{{0,3}}[:=][\x20\t]{{0,3}}[\"'])[^\s\"']{{6,200}}+(?=[\"'])"
+_TO = rf"(?:{NAMES})[\"']?[\x20\t]{{0,3}}(?::=|=>|[:=])[\x20\t]{{0,3}}"
+ASSIGNED = rf"(?i)(?<=\")(?<={_TO}\")[^\"\r\n]++(?=\")|(?<=')(?<={_TO}')[^'\r\n]++(?=')|(?<=[:=>\x20\t])(?<={_TO})[^\s\"'=>:,;][^\s\"',;]*+"
 KINDS = ["string", "header", "assigned"]
 #: The dictionary, words and syllables that make a string look written rather than drawn.
 DICTIONARY = [
@@ -82,6 +83,21 @@ def labelled_findings(spark: SparkSession, made: int = MADE) -> DataFrame:
         (F.concat(F.base64(F.unhex("g")), F.base64(F.unhex("h"))), F.lit("data:image/png;base64,"), '"', 0, 0),
         (F.concat(word, F.lit("1")), pick('password = "', 'token = "', "secret: '"), '"', 2, 0),
         (F.concat(F.lit("<"), word, F.lit("_"), other, F.lit(">")), pick('password = "', 'token = "'), '"', 2, 0),
+        (F.concat(F.lit("AKIA"), F.translate(F.upper(F.substring("h", 1, 16)), "0123456789", "QXZKJVWYGP")), pick('key = "', "access key ", " ", 'id: "'), pick('"', " "), 0, 1),
+        (F.substr(F.regexp_replace(b64, "[0-9+/]", ""), F.lit(1), F.lit(16)), pick('token = "', "secret=", 'api_key: "', "password: "), pick('"', " "), 0, 1),
+        (F.substr(b64, F.lit(2), (F.lit(5) + F.col("id") % 10).cast("int")), pick("password=", "DB_PASSWORD: ", "pwd: ", "secret=", "PASSWD="), pick("\n", " ", ""), 2, 1),
+        (F.concat(F.initcap(word), F.substring("g", 1, 1), F.substr(b64, F.lit(9), (F.lit(1) + F.col("id") % 4).cast("int")), (F.col("id") % 89 + 10).cast("string")), pick("password=", 'password = "', "PASSWORD: ", "secret="), pick("\n", '"', " "), 2, 1),
+        (F.concat(F.translate(F.substring(word, 1, 3), "aeios", "43105"), (F.col("id") % 10).cast("string"), F.translate(F.substring(other, 1, 3), "aeios", "43105")), pick("DB_PASSWORD: ", "password=", "pwd = '"), pick("\n", " ", "'"), 2, 1),
+        (F.concat(b64, F.base64(F.unhex("g")), F.repeat(b64, 4), F.lit(".")), pick('token = "', "secret=", "token: "), pick('"', "\n"), 2, 1),
+        (F.repeat(pick("=", "-", "_", "=-", "+", "/"), 40), pick("", " ", "\n"), pick("\n", " "), 0, 0),
+        (F.concat(word, other, F.repeat(word, 2)), pick("the ", "function ", "", "see "), pick(" ", ".", ","), 0, 0),
+        (F.concat_ws("_", word, other, F.lit("value"), word), pick("the ", "call ", ' "', "= "), pick(" ", "(", '"'), 0, 0),
+        (F.concat_ws("/", word, F.concat(other, word), F.lit("content"), other), pick("a ", "https://a.example/", "path/"), pick(" ", "."), 0, 0),
+        (word, pick("password: ", "token: ", "the secret: ", "api key = ", "credential: "), pick(" ", ".", ","), 2, 0),
+        (pick("please", "enter", "must", "ask", "forgot", "change", "cannot", "reset", "required", "longer", "it", "a", "be", "their", "when", "choose", "between", "none", "optional", "through", "keep", "strong"), pick("Your password: ", "the token: ", "A secret: ", "api key = ", "credential: "), pick(" ", ".", ","), 2, 0),
+        (F.concat(word, pick(".", "?", "!", ")")), pick("password: ", "token: ", "secret = "), pick(" ", "\n"), 2, 0),
+        (F.concat_ws(" ", word, other, word, F.lit("please")), pick('password: "', "secret = '"), pick('"', "'"), 2, 0),
+        (F.concat(pick("os.environ[", "getenv(", "config.", "${", "self."), word, pick("]", ")", "", "}", "")), pick("password=", "token = ", "secret: ", "api_key="), pick("\n", " "), 2, 0),
     ]
     column = lambda x: x if isinstance(x, Column) else F.lit(x)
     rows = [
@@ -102,19 +118,19 @@ def candidates(docs: DataFrame, path: str = "source", keep: tuple[str, ...] = ("
     """One row for each candidate of each whole text: `keep`, path, kind, start, stop, body, before, after."""
     rows = docs.select(*keep, F.coalesce(F.col(path), F.lit("")).alias("path"), marked_free(F.coalesce("text", F.lit(""))).alias("clean"))
     none = F.array().cast(MATCHES)
-    strings = F.filter(matches(F.col("clean"), STRING, 0), lambda m: m["body"].rlike("[0-9]"))
+    strings = matches(F.col("clean"), STRING, 0)
     named = F.when(F.col("clean").contains("PRIVATE KEY"), matches(F.col("clean"), HEADER, 1)).otherwise(none)
     assigned = F.when(F.col("clean").rlike(f"(?i){NAMES}"), matches(F.col("clean"), ASSIGNED, 2)).otherwise(none)
     listed = rows.select(*keep, "path", F.concat(strings, named).alias("sure"), assigned.alias("more"))
-    free = F.filter("more", lambda e: ~F.exists("sure", lambda b: (b["start"] < e["stop"]) & (e["start"] < b["stop"])))
+    free = F.filter("more", lambda e: ~F.exists("sure", lambda b: (b["start"] == e["start"]) & (b["stop"] == e["stop"])))
     return listed.select(*keep, "path", F.explode(F.concat("sure", free)).alias("m")).select(*keep, "path", "m.*")
 
 
 def secrets(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, path: str = "source") -> DataFrame:
     """The secrets in `docs` (doc_id, text, and a path): doc_id, kind, start, stop (code points), digest, probability.
 
-    Candidates are unbroken strings of 16 or more with a digit, private key headers, and quoted values assigned to a
-    telling name. The forest, trained from `findings` (body, before, after, path, kind, label), removes those under
+    Candidates are all unbroken strings of 16 or more, private key headers, and all values assigned to a telling name,
+    quoted or not and of any length; a string within a longer value is judged by itself too. The forest, trained from `findings` (body, before, after, path, kind, label), removes those under
     `threshold`. The secret itself isn't told, but its SHA-256. There is no shuffle.
 
     Null and empty texts hold none. Null path counts as empty. A null doc_id is carried. Repeated rows give repeated

@@ -102,6 +102,25 @@ def test_secrets_held_out(make):
     assert len(told & real) > 0.9 * len(real) and len(told & fake) < 0.1 * len(fake)
 
 
+def test_secrets_without_digits_quotes_or_bounds(make):
+    rnd = random.Random(19)
+    upper, letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    draw = lambda n, of: "".join(rnd.choice(of) for _ in range(n))
+    rows, real = [], {}
+    for k in range(160):
+        s = ["AKIA" + draw(16, upper), draw(16, letters), draw(9, letters + digits), draw(240, letters + digits + "!.")][k % 4]
+        rows.append((k, [f'key = "{s}" and', f'token = "{s}" and', f"DB_PASSWORD: {s}\nnext: 1", f'secret = "{s}" and'][k % 4]))
+        real[k] = digest(s)
+    rows += [(200, "password=Hunter2abc\n"), (201, "DB_PASSWORD: s3cr3t\n")]
+    real |= {200: digest("Hunter2abc"), 201: digest("s3cr3t")}
+    rows += [(300 + k, t) for k, t in enumerate(["=" * 60, "the internationalizationofproducts is done", "Your password: please change it.", "forgot the token: ask the user", "see content/section/product/view here"])]
+    found = {(r.doc_id, r.digest) for r in secrets.secrets(make(rows)).collect()}
+    for kind in range(4):
+        assert sum((k, real[k]) in found for k in range(kind, 160, 4)) >= 36
+    assert all((k, real[k]) in found for k in (200, 201))
+    assert not [k for k, _ in found if k >= 300]
+
+
 def test_secrets_place_and_odd_rows(make, odd, clash):
     text = "\U0001f600  token = \"Zk83hQpX0vTn2LwYc7RbDfGm5JsA9eUi4HqN1xBo\" end"
     (r,) = secrets.secrets(make([(4, text)])).collect()
