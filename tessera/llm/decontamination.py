@@ -6,13 +6,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shielded
+from tessera.llm.common import cut_lineage, shielded
 
 #: What parts words: ASCII other than letters and digits, and the blocks of Latin, general and CJK punctuation.
 GAPS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -64,17 +65,28 @@ def share(part: set[tuple[bytes, ...]], passage: list[bytes], held: dict[int, se
     return len(part & held[n]) / len(part)
 
 
+@dataclass
+class Whole:
+    """What BM25 and the passages take from all items: their number, words, longest, and the items of each term asked for."""
+
+    items: int
+    words: int
+    longest: int
+    df: dict[bytes, int]
+
+
 class Index:
     """Postings of the items' terms with BM25 impacts as a share of the item's own score, in blocks with their maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], block: int = 16) -> None:
+    def __init__(self, items: list[tuple[int, str]], block: int = 16, whole: Whole | None = None) -> None:
         self.items = [(i, t) for i, t in items if terms(t)]
         bags = [Counter(terms(t)) for _, t in self.items]
         lengths = [sum(b.values()) for b in bags]
-        self.longest = max(lengths, default=0)
-        mean = sum(lengths) / max(1, len(lengths))
-        df = Counter(t for b in bags for t in b)
-        idf = {t: math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        if whole is None:
+            whole = Whole(len(bags), sum(lengths), max(lengths, default=0), Counter(t for b in bags for t in b))
+        count, self.longest, df = whole.items, whole.longest, whole.df
+        mean = whole.words / max(1, count)
+        idf = {t: math.log(1 + (count - n + 0.5) / (n + 0.5)) for t, n in df.items()}
         self.ids = {t: k for k, t in enumerate(sorted(df))}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.ids]
         for d, (bag, n) in enumerate(zip(bags, lengths, strict=True)):
@@ -199,7 +211,7 @@ class Index:
             for h in hits:
                 if h[0] not in one or (h[2] + h[3], h[1]) > (one[h[0]][2] + one[h[0]][3], one[h[0]][1]):
                     one[h[0]] = h
-            best.append(sorted(one.values()))
+            best.append(sorted(one.values(), key=lambda h: (h[0] is None, h[0] or 0)))
         return best
 
 
@@ -207,13 +219,50 @@ HITS = "array<struct<item_id:long,score:double,question_overlap:double,answer_ov
 _HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("word", pa.int64())]))
 
 
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+
+
+def _counted(items: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """(term, n, words, longest), n items of each term, with null as the term for all items; and (block, term) that occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for block, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = terms(text)
+                if found:
+                    rows += [(block, None, 1, len(found), len(found)), *((block, t, 1, 0, 0) for t in set(found))]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["block", "term", "n", "words", "longest"])
+
+    each = items.select(_block(blocks).alias("block"), "text").mapInArrow(run, "block long, term binary, n long, words long, longest long")
+    counted = cut_lineage(each.groupBy("block", "term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest")))
+    return counted, counted.where("term is not null").select("block", "term")
+
+
+def _merged(before: list[dict], more: list[dict]) -> list[dict]:
+    """Hits of several blocks, the best passage for each item."""
+    if not before:
+        return more
+    best = {h["item_id"]: h for h in before}
+    for h in more:
+        old = best.get(h["item_id"])
+        rank = lambda x: (x["question_overlap"] + x["answer_overlap"], x["score"])
+        if old is None or rank(h) > rank(old):
+            best[h["item_id"]] = h
+    return sorted(best.values(), key=lambda h: (h["item_id"] is None, h["item_id"] or 0))
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, into: str = "hits") -> DataFrame:
     """All columns of `docs` with a further one, `into`: the items of `items` (item_id, text) that the text holds.
 
     Every passage of every text queries the index. Items that reach `threshold` of their own BM25 score are verified:
     the passage must hold `overlap` of the trigrams of the item's question and of its answer. The best passage for each
     item is told. The index is broadcast; it holds ITEMS items at most, and a larger benchmark is searched block by
-    block, each a pass over `docs` without any shuffle.
+    block, each a pass over `docs` without any shuffle. Frequencies and lengths are those of all items, so blocks change no
+    hit.
 
     Null and empty texts hold nothing; items without words aren't searched. Repeated items and documents are each
     answered. A column of `docs` with the name `into` is replaced. Empty inputs: no hits.
@@ -223,19 +272,26 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     names, kinds = rest.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     listed = items.select(F.col("item_id").cast("long"), "text").where("text is not null")
     blocks = max(1, math.ceil(listed.count() / ITEMS))
+    if blocks > 1:
+        counted, used = _counted(listed, blocks)
+        total = counted.where("term is null").agg(F.sum("n"), F.sum("words"), F.max("longest")).first()
+        df = counted.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
+        used = cut_lineage(used.join(df, "term"))
     out = rest.withColumn(into, F.array().cast(HITS))
     for k in range(blocks):
-        mine = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = context.broadcast(sorted(((r.item_id, r.text) for r in mine.collect()), key=lambda r: (r[0] is None, r)))  # ITEMS or so at most
+        mine = listed if blocks == 1 else listed.where(_block(blocks) == k)
+        whole = None if blocks == 1 else Whole(total[0] or 0, total[1] or 0, total[2] or 0, {bytes(r.term): r.n for r in used.where(F.col("block") == k).collect()})
+        rows = sorted(((r.item_id, r.text) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))  # ITEMS or so at most
+        index = context.broadcast((rows, whole))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = Index(index.value)
+            own = Index(index.value[0], whole=index.value[1])
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     found = own.search(part.column(names.index("text")).to_pylist(), threshold, overlap)
                     before = part.column(len(names)).to_pylist()
-                    hits = [[*b, *({"item_id": i, "score": s, "question_overlap": q, "answer_overlap": a, "word": w} for i, s, q, a, w in f)] for b, f in zip(before, found, strict=True)]
+                    hits = [_merged(b, [{"item_id": i, "score": s, "question_overlap": q, "answer_overlap": a, "word": w} for i, s, q, a, w in f]) for b, f in zip(before, found, strict=True)]
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(hits, _HITS)], [*names, into])
 
         out = out.mapInArrow(run, f"{kinds}, `{into}` {HITS}")

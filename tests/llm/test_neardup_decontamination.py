@@ -171,6 +171,17 @@ def test_leaks_in_blocks_are_the_same(spark, make, monkeypatch):
     assert found == sum(bool(v) for v in whole.values()) == 100
 
 
+def test_blocks_change_no_hit(spark, make, monkeypatch):
+    items, docs = items_and_docs()
+    items += [(100 + k, f"Which {items[k][1].split()[3]} is {' '.join(prose(random.Random(k), 4 + k, 40))}? It is {items[k][1].split()[-1]}") for k in range(40)]
+    docs += [(1000 + k, " ".join(t.split()[k % 3 : -1 - k % 4])) for k, (_, t) in enumerate(items)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    hits = lambda: {r.doc_id: r.hits for r in decontamination.leaks(make(docs), table).collect()}
+    whole = hits()
+    monkeypatch.setattr(decontamination, "ITEMS", 9)
+    assert hits() == whole and sum(map(bool, whole.values())) > 120
+
+
 def test_leaks_bear_odd_rows(spark, odd, clash):
     table = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six seven"), (3, "one two three four five six seven"), (None, "null source")], "item_id long, text string")
     wide = clash(odd)
