@@ -218,16 +218,55 @@ _FOUND = pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float64
 
 
 def scan(text: str | None, model: Classifier) -> list[dict]:
-    """The confirmed licence paragraphs of a text: family, probability, overlap, number, place in characters."""
+    """The confirmed licence paragraphs of a text: family, probability, overlap, number of the first line, place in characters."""
     if not text:
         return []
-    found, at, listed, rows = [], 0, [], []
-    for k, paragraph in enumerate(text.split("\n")):
-        start, at = at, at + len(paragraph) + 1
-        tokens = words(paragraph)
+    lines, at = [], 0
+    for k, line in enumerate(text.split("\n")):
+        lines.append((k, at, at + len(line), words(line)))
+        at += len(line) + 1
+    found = confirmed([[x] for x in lines], model)
+    taken = {f["paragraph"] for f in found}
+    joined = confirmed(wrapped([x for x in lines if x[0] not in taken]), model)
+    for f in sorted(joined, key=lambda f: (-f["overlap"], f["stop"] - f["start"], f["start"])):
+        if all(f["stop"] <= o["start"] or o["stop"] <= f["start"] for o in found):
+            found.append(f)
+    return sorted(found, key=lambda f: f["start"])
+
+
+def wrapped(lines: list[tuple]) -> list[list[tuple]]:
+    """Stretches of two and more lines that follow each other without a blank one, all with bigrams of templates.
+
+    A bigram may lie across two lines. From every line a stretch of each of the lengths 2, 3, 4, 6, 8, 12, ... begins.
+    """
+    stretches: list[list[tuple]] = []
+    run: list[tuple] = []
+    for x in lines:
+        tokens = x[3]
+        follows = bool(run) and bool(tokens) and run[-1][0] + 1 == x[0]
+        across = follows and (run[-1][3][-1], tokens[0]) in _BIGRAMS
+        if not across and not any(b in _BIGRAMS for b in zip(tokens, tokens[1:], strict=False)):
+            tokens = []  # ends the run
+        if run and not (follows and tokens):
+            stretches.append(run)
+            run = []
+        if x[3]:
+            run = [*run, x] if run else [x]
+    stretches.append(run)
+    out = []
+    for run in stretches:
+        widths = {len(run)} | {w for e in range(1, len(run).bit_length()) for w in (2**e, 3 * 2 ** (e - 1)) if w <= len(run)}
+        out += [run[k : k + w] for w in sorted(widths) if w > 1 for k in range(len(run) - w + 1)]
+    return out
+
+
+def confirmed(stretches: list[list[tuple]], model: Classifier) -> list[dict]:
+    """Those of `stretches` of lines (number, start, stop, words) that are a licence's."""
+    found, listed, rows, ids = [], [], [], model.ids
+    for lines in stretches:
+        tokens = [w for x in lines for w in x[3]]
         if sum(b in _BIGRAMS for b in zip(tokens, tokens[1:], strict=False)) >= _LEAST:
-            listed.append((k, start, start + len(paragraph), tokens))
-            ids = model.ids
+            listed.append((lines[0][0], lines[0][1], lines[-1][2], tokens))
             rows.append(sorted({ids[g] for g in grams(tokens) if g in ids}))
     if not rows:
         return []
@@ -243,7 +282,7 @@ def scan(text: str | None, model: Classifier) -> list[dict]:
 def licences(docs: DataFrame) -> DataFrame:
     """All columns of `docs` with `licences`: the licence paragraphs of each whole text.
 
-    Paragraphs are lines. The classifier is fitted on the driver to a bounded set of labelled paragraphs, made from the
+    Paragraphs are lines, or lines that follow each other where none of them is one by itself. The classifier is fitted on the driver to a bounded set of labelled paragraphs, made from the
     templates here with a fixed seed, and broadcast (some thousand n-grams). A family counts if its calibrated
     probability is SURE or more, above unknown's, and a template of it confirms: CONFIRM of the bigrams in common.
 

@@ -145,3 +145,21 @@ def test_licences(make, odd, clash):
     out = licenses.licences(wide)
     assert sorted(out.columns) == sorted(wide.columns) and out.count() == odd.count()
     assert licenses.licences(odd.limit(0)).count() == 0
+
+
+def test_licences_over_several_lines():
+    model = licenses.fit()
+    text = "Some \U0001f600 prose first.\n\nLicensed under the\nApache License, Version 2.0.\n\nMore prose."
+    (one,) = licenses.scan(text, model)
+    assert one["family"] == "apache-2.0" and text[one["start"] : one["stop"]] == "Licensed under the\nApache License, Version 2.0."
+    wanted = right = 0
+    for family, notices in licenses.TEMPLATES.items():
+        for t in notices:
+            ws = t.split()
+            if len(ws) < 8:
+                continue
+            body = "\n".join(" ".join(ws[k : k + 4]) for k in range(0, len(ws), 4))
+            wanted += 1
+            right += family in {f["family"] for f in licenses.scan(f"Prose.\n\n{body}\n\nProse.", model)}
+    assert right >= 0.9 * wanted
+    assert not any(licenses.scan("\n".join(t.split()), model) for t in licenses.PLAIN)
