@@ -1,81 +1,167 @@
-"""Quality by perplexity under interpolated modified Kneser-Ney models of trusted text, of characters and of words."""
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text, by whole code points."""
 
 from __future__ import annotations
 
 import math
-import re
-import string
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from tessera.llm.common import cut_lineage, shielded
-from tessera.llm.neardup import _Hashes, mixed
 
-#: Characters are folded into so many symbols; 0 stands before a text. The model has at most SYMBOLS ** ORDER n-grams
-#: (5.3 million, 64 MB), whatever the corpus, which is what bounds its broadcast.
-SYMBOLS, ORDER = 48, 4
-#: So many trusted ids at most are broadcast (under 100 MB); more are joined by a shuffle.
+#: Code points of an n-gram, so that it reaches over the border of most words; what stands before a text, and for U+0000.
+ORDER = 5
+START, NUL = 0xFDD0, 0xFDD1
+#: Code points that are laid end to end at once, and of the texts that ask the model together.
+PIECE, CHUNK = 1_000_000, 32_000_000
+#: Different n-grams that a counting task holds before it sends them.
+HELD = 2_000_000
+#: One trusted text in so many isn't counted: thresholds come from those.
+PARTS = 3
+#: Code points of a window that counts as repeated where its text has held it before; a power of two.
+WINDOW = 16
+#: So many ids or keys at most are broadcast (under 100 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 BROADCAST_LANGUAGES = 100_000
-#: What counts as a word: a letter of a script without spaces (Thai to Khmer, kana, ideographs), a run of letters, of digits, a mark.
-ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff"
-TOKEN = re.compile(rf"[{ALONE}]|(?:(?![{ALONE}])[^\W\d_])+|\d+|[^\w\s]|_|\w")
-#: Words of which a task holds the pairs at once; the hash of what stands before a text.
-FLUSH, START = 1_000_000, 1
-
-
-def folding() -> np.ndarray:
-    """Symbol of each UTF-16 code unit: letters by themselves, capitals as one, accented ones in eight, marks by use."""
-    table = np.full(65536, 46, np.uint8)
-    table[0xC0:0x250] = 28 + (np.arange(0xC0, 0x250) | 32) % 8
-    for k, c in enumerate(string.ascii_lowercase):
-        table[ord(c)] = 1 + k
-    groups = [(27, string.ascii_uppercase), (36, string.digits), (37, " "), (38, "\n\r\t\v\f"), (39, "."), (40, ","), (41, "'\"-"), (42, "!?"), (43, ":;"), (44, "()[]{}<>"), (45, "#$%&*|@^~`+=_\\/")]
-    for k, chars in groups:
-        table[[ord(c) for c in chars]] = k
-    return table
-
-
-FOLDING = folding()
-
-
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the ORDER-grams of several texts, one ending at each character, and each text's first and last + 1."""
-    pieces, starts, sizes, at = [], [], [], 0
-    pad = np.zeros(ORDER - 1, np.uint8)
-    for t in texts:
-        units = FOLDING[np.frombuffer((t or "").encode("utf-16-le", "surrogatepass"), np.uint16)]
-        pieces += [pad, units]
-        starts.append(at)
-        sizes.append(len(units))
-        at += len(units) + ORDER - 1
-    line = np.concatenate(pieces).astype(np.int32) if pieces else np.zeros(0, np.int32)
-    codes = np.zeros(max(0, len(line) - ORDER + 1), np.int32)
-    for k in range(ORDER):
-        codes = codes * SYMBOLS + line[k : len(line) - ORDER + 1 + k]
-    starts = np.array(starts, np.int64)
-    return codes, starts, starts + np.array(sizes, np.int64)
+_FACTORS = np.random.RandomState(20240611).randint(0, 2**63, ORDER, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def pieces(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(line, at, owner): code points of texts laid end to end, where the windows of ORDER begin, and whose each is.
+
+    A long text goes on in the next piece, so memory is bounded by PIECE.
+    """
+    held, owners, total = [], [], 0
+
+    def laid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(p) for p in held])
+        line = np.concatenate(held)
+        line = np.where(line == 0, np.uint32(NUL), line)
+        inside = np.ones(len(line), bool)
+        for k in range(1, ORDER):
+            inside[np.cumsum(sizes) - k] = False
+        return line, np.flatnonzero(inside), np.repeat(owners, sizes - ORDER + 1)
+
+    for k, t in enumerate(texts):
+        units = np.frombuffer((chr(START) * (ORDER - 1) + (t or "")).encode("utf-32-le", "surrogatepass"), np.uint32)
+        for low in range(0, len(units) - ORDER + 1, PIECE):
+            part = units[low : low + PIECE + ORDER - 1]
+            held.append(part)
+            owners.append(k)
+            total += len(part)
+            if total >= PIECE:
+                yield laid()
+                held, owners, total = [], [], 0
+    if held:
+        yield laid()
+
+
+def hashed(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams of up to ORDER code points, given by place; the last place has the last factor."""
+    total = np.zeros(len(columns[0]) if columns else 1, np.uint64)
+    for c, f in zip(columns, _FACTORS[ORDER - len(columns) :], strict=True):
+        total += c.astype(np.uint64) * f
+    return total
+
+
+class Grams:
+    """The different windows of some texts, with their counts."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, line: np.ndarray, at: np.ndarray) -> None:
+        key = hashed([line[at + k] for k in range(ORDER)])
+        code, unique = pd.factorize(key)
+        first = np.empty(len(unique), np.int64)
+        first[code[::-1]] = at[::-1]
+        self.parts.append((unique, np.bincount(code, minlength=len(unique)), line[first[:, None] + np.arange(ORDER)]))
+        self.size += len(unique)
+        if self.size > 2 * HELD:
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        """(points, counts), each window once."""
+        if not self.parts:
+            return np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
+        key, count, points = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        code, unique = pd.factorize(key)
+        first = np.empty(len(unique), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        self.parts = [(unique, np.bincount(code, count, len(unique)).astype(np.int64), points[first])]
+        self.size = len(unique)
+        return self.parts[0][2], self.parts[0][1]
+
+
+def repeats(texts: list[str | None]) -> np.ndarray:
+    """For each text, how many of its windows of WINDOW code points stand in it further ahead as well."""
+    units = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    sizes = np.array([len(u) for u in units], np.int64)
+    key = np.concatenate(units).astype(np.uint64) if units else np.zeros(0, np.uint64)
+    if len(key) < WINDOW:
+        return np.zeros(len(texts), np.int64)
+    step = 1
+    while step < WINDOW:
+        key = key[: len(key) - step] * _FACTORS[step % ORDER] + (key[step:] ^ (key[step:] >> np.uint64(29)))
+        step *= 2
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    inside = np.flatnonzero(np.arange(len(owner)) + WINDOW <= np.cumsum(sizes)[owner])
+    owner = owner[inside]
+    again = pd.Series(key[inside] + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).duplicated().to_numpy()
+    return np.bincount(owner[again], minlength=len(texts))
+
+
+def strings(points: np.ndarray) -> list[str]:
+    """Rows of code points as strings."""
+    n, k = points.shape
+    return np.ascontiguousarray(points).view(f"<U{k}").ravel().tolist() if k else [""] * n
+
+
+def by_context(points: np.ndarray, counts: np.ndarray | None = None) -> tuple[list[str], list[str], list[np.ndarray]]:
+    """n-grams (each once) by what stands before the last code point: contexts, all that follow each, and their counts."""
+    key = hashed(list(points[:, :-1].T)) if points.shape[1] > 1 else np.zeros(len(points), np.uint64)
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(key)] if len(key) else starts
+    following = np.ascontiguousarray(points[order, -1]).tobytes().decode("utf-32-le", "surrogatepass")
+    sliced = [following[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return strings(points[order[starts], :-1]), sliced, [] if counts is None else np.split(counts[order], starts[1:])
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """(code, c): how often each ORDER-gram occurs in the column `text`; each task sends its own totals once."""
+    """(ctx, next, c): how often `next` follows the ORDER - 1 code points of `ctx` in the column `text`.
+
+    Each task sends a context once, with all that follows it, for HELD different n-grams it has met.
+    """
+
+    def sent(found: Grams) -> Iterator[pa.RecordBatch]:
+        points, counts = found.merged()
+        ctx, following, each = by_context(points, counts)
+        for k in range(0, len(ctx), 50_000):
+            lists = [pa.array(each[k : k + 50_000], pa.list_(pa.int64())), pa.array([list(x) for x in following[k : k + 50_000]], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[k : k + 50_000]), *lists], ["ctx", "cs", "nexts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
+        found = Grams()
         for b in batches:
-            codes, _, _ = grams(b.column(0).to_pylist())
-            codes = codes[codes % SYMBOLS != 0]  # what ends in padding lies between two texts
-            total += np.bincount(codes, minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["code", "c"])
+            for line, at, _ in pieces(b.column(0).to_pylist()):
+                found.add(line, at)
+                if found.size > HELD:
+                    yield from sent(found)
+                    found = Grams()
+        yield from sent(found)
 
-    return texts.select("text").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    sent_once = texts.select("text").mapInArrow(run, "ctx string, cs array<long>, nexts array<string>").repartition("ctx")
+    each = sent_once.select("ctx", F.explode(F.arrays_zip("nexts", "cs")).alias("e"))
+    return each.groupBy("ctx", F.col("e.nexts").alias("next")).agg(F.sum("e.cs").alias("c"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -88,265 +174,276 @@ def discounts(counts: DataFrame) -> list[float]:
 
 @dataclass
 class Model:
-    """Probabilities of the n-grams seen and back-off weights of their contexts, for each order from 1."""
+    """One row for each context of 0 to ORDER - 1 code points: ctx, its back-off weight, what follows it and with what probability.
 
-    seen: list[tuple[np.ndarray, np.ndarray]]
-    backoff: list[tuple[np.ndarray, np.ndarray]]
+    The table grows with the trusted text; `unknown` is the probability of a code point that it hasn't, before back-off, and 1 if it has none at all.
+    """
 
-    def logs(self) -> np.ndarray:
-        """Log probability of every ORDER-gram."""
-        p = np.full(1, 1 / SYMBOLS)
-        for k in range(ORDER):
-            weight = np.ones(SYMBOLS**k)
-            weight[self.backoff[k][0]] = self.backoff[k][1]
-            lower = p if k == 0 else np.tile(p.reshape(-1, SYMBOLS), (SYMBOLS, 1)) if k > 1 else np.tile(p, (SYMBOLS, 1))
-            p = (weight[:, None] * (lower if k else np.full((1, SYMBOLS), p[0]))).ravel()
-            p[self.seen[k][0]] = self.seen[k][1]
-        return np.log(p).astype(np.float32)
+    table: DataFrame
+    unknown: float
 
 
 def fit(trusted: DataFrame) -> Model:
     """The model of the column `text` of `trusted`.
 
-    Counts are sharded by n-gram; lower orders count the different symbols before a gram. Each order's counts are joined
-    with the totals of their contexts and with the next lower order's probabilities, each by the hash of its code.
+    Counts are sharded by context. Lower orders count the different code points before a gram. Each order's counts are
+    joined with the next lower order's probabilities of the same code point after the shorter context.
     """
     counts = [cut_lineage(count_grams(trusted))]
-    for k in range(ORDER - 1, 0, -1):
-        counts.insert(0, counts[0].groupBy((F.col("code") % SYMBOLS**k).alias("code")).agg(F.count("*").alias("c")))
-    lower, seen, backoff = None, [], []
-    for k, table in enumerate(counts):
+    for _ in range(ORDER - 1):
+        counts.insert(0, cut_lineage(counts[0].groupBy(F.substring("ctx", 2, ORDER).alias("ctx"), "next").agg(F.count("*").alias("c"))))
+    unknown = 1 / (counts[0].count() + 1)
+    lower, rows = None, []
+    for table in counts:
         d = discounts(table)
-        table = table.withColumn("context", F.floor(F.col("code") / SYMBOLS)).withColumn("d", F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2]))
-        contexts = table.groupBy("context").agg(F.sum("c").alias("all"), (F.sum("d") / F.sum("c")).alias("weight"))
-        joined = table.join(contexts, "context")
         if lower is None:
-            joined = joined.withColumn("below", F.lit(1 / SYMBOLS))
+            joined = table.withColumn("below", F.lit(unknown))
         else:
-            joined = joined.withColumn("short", F.col("code") % SYMBOLS**k).join(lower.select(F.col("code").alias("short"), F.col("p").alias("below")), "short")
-        lower = cut_lineage(joined.select("code", ((F.col("c") - F.col("d")) / F.col("all") + F.col("weight") * F.col("below")).alias("p")))
-        seen.append(_arrays(lower, "code", "p"))  # at most SYMBOLS ** ORDER rows
-        backoff.append(_arrays(contexts, "context", "weight"))
-    return Model(seen, backoff)
-
-
-def _arrays(df: DataFrame, code: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    rows = df.select(code, value).collect()
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
-
-
-def log_perplexity(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
-    """`docs` with _n (characters, as UTF-16 units) and _nll (sum of negative log probabilities) of the text, which goes."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at = names.index("text")
-    out = [k for k in range(len(names)) if keep_text or k != at]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = shared.value.logs()
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                codes, start, stop = grams(part.column(at).to_pylist())
-                sums = np.concatenate([[0.0], np.cumsum(logs[codes], dtype=np.float64)])
-                yield pa.RecordBatch.from_arrays([*[part.column(j) for j in out], pa.array(stop - start, pa.int64()), pa.array(sums[start] - sums[stop])], [*[names[j] for j in out], "_n", "_nll"])
-
-    kinds = "".join(f"`{docs.schema[j].name}` {docs.schema[j].dataType.simpleString()}, " for j in out)
-    return docs.mapInArrow(run, f"{kinds}_n long, _nll double")
-
-
-def trusted_flag(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` with `_trusted`: whether a label calls the document good."""
-    ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    small = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda x: x)
-    return docs.join(small(ids), docs["doc_id"] == F.col("_id"), "left").withColumn("_trusted", F.col("_id").isNotNull()).drop("_id")
-
-
-def tokens(text: str | None) -> list[str]:
-    """Words in their own case, numbers as their digits' count, marks one by one, and each letter of scripts without spaces."""
-    return [len(w) * "0" if w.isdigit() else w for w in TOKEN.findall(text or "")]
-
-
-def word_grams(docs: DataFrame) -> DataFrame:
-    """(gram, context, word, texts, times): hashes of the word pairs of `docs` (key, text) and in which texts they stand.
-
-    Each task sends a pair once for every FLUSH words it reads, so a common pair gives few rows. START is the word before
-    a text.
-    """
-
-    def packed(keys: list[int], hashed: list[np.ndarray]) -> pa.RecordBatch:
-        word = np.concatenate(hashed)
-        owner = np.repeat(np.arange(len(keys)), [len(h) for h in hashed])
-        context = np.r_[np.uint64(START), word[:-1]]
-        context[np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])] = START
-        gram = mixed(context * np.uint64(0x9E3779B97F4A7C15) + word)
-        order = np.argsort(gram, kind="stable")
-        gram, owner = gram[order], owner[order]
-        fresh = np.r_[True, gram[1:] != gram[:-1]]
-        at = np.flatnonzero(fresh | np.r_[True, owner[1:] != owner[:-1]])
-        first = np.flatnonzero(fresh[at])
-        offsets = pa.array(np.r_[first, len(at)].astype(np.int32))
-        heads = at[first]
-        texts = pa.array(np.array(keys, np.int64)[owner[at]])
-        times = pa.array(np.diff(np.r_[at, len(gram)]).astype(np.int32))
-        columns = [pa.array(x.view(np.int64)) for x in (gram[heads], context[order][heads], word[order][heads])]
-        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, texts), pa.ListArray.from_arrays(offsets, times)], ["gram", "context", "word", "texts", "times"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, keys, hashed, held = _Hashes(), [], [], 0
-        for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = np.array([known[w] for w in tokens(text)], np.uint64)
-                if len(found):
-                    keys.append(key)
-                    hashed.append(found)
-                    held += len(found)
-                if held > FLUSH:
-                    yield packed(keys, hashed)
-                    keys, hashed, held = [], [], 0
-        if keys:
-            yield packed(keys, hashed)
-
-    return docs.select("key", "text").mapInArrow(run, "gram long, context long, word long, texts array<long>, times array<int>")
-
-
-@dataclass
-class WordModel:
-    """Tables of an interpolated modified Kneser-Ney model of word pairs, which grow with the trusted text."""
-
-    pairs: DataFrame
-    contexts: DataFrame
-    words: DataFrame
-    unknown: float
-
-
-def fit_words(trusted: DataFrame) -> WordModel:
-    """The model of the texts of `trusted` (key, text): counts sharded by hash, joined with those of words and contexts."""
-    times = F.aggregate("times", F.lit(0).cast("long"), lambda s, x: s + x)
-    counted = word_grams(trusted).select("gram", "context", "word", times.alias("c"))
-    pairs = cut_lineage(counted.groupBy("gram", "context", "word").agg(F.sum("c").alias("c")))
-    words = pairs.groupBy("word").agg(F.count("*").alias("c"))
-    discounted = lambda t: t.withColumn("d", _discount(discounts(t)))
-    words, pairs = discounted(cut_lineage(words)), discounted(pairs)
-    row = words.agg(F.sum("c"), F.sum("d"), F.count("*")).first()
-    unknown = row[1] / row[0] / (row[2] + 1) if row[0] else 1.0
-    words = cut_lineage(words.select("word", ((F.col("c") - F.col("d")) / F.lit(row[0]) + F.lit(unknown)).alias("below")))
-    contexts = cut_lineage(pairs.groupBy("context").agg(F.sum("c").alias("all"), (F.sum("d") / F.sum("c")).alias("weight")))
-    joined = pairs.join(contexts, "context").join(words, "word")
-    pairs = cut_lineage(joined.select("gram", ((F.col("c") - F.col("d")) / F.col("all") + F.col("weight") * F.col("below")).alias("p")))
-    return WordModel(pairs, contexts.select("context", "weight"), words, unknown)
-
-
-def _discount(d: list[float]) -> Column:
-    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-
-
-def word_scores(docs: DataFrame, model: WordModel) -> DataFrame:
-    """(key, _words, _wnll) of each text of `docs` (key, text) that has words: their number and negative log probability.
-
-    Pairs are joined with the model's tables by hash and summed by text. A text that stands there more than once has as
-    many first words, by which the sums are divided.
+            joined = table.withColumn("short", F.substring("ctx", 2, ORDER)).join(lower, ["short", "next"])
+        cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        many = [F.sum((F.least("c", F.lit(3)) == k).cast("long")) * d[k - 1] for k in (1, 2, 3)]
+        grouped = joined.groupBy("ctx").agg(
+            F.sum("c").alias("all"), (many[0] + many[1] + many[2]).alias("mass"), F.collect_list(F.struct("next", (F.col("c") - cut).alias("own"), "below")).alias("e")
+        )  # no more follow a context than there are code points
+        weight = F.col("mass") / F.col("all")
+        packed = grouped.select(
+            "ctx", weight.alias("weight"), F.col("e.next").alias("nexts"), F.transform("e", lambda x: x["own"] / F.col("all") + weight * x["below"]).alias("ps")
+        )
+        rows.append(cut_lineage(packed))
+        lower = rows[-1].select(F.col("ctx").alias("short"), F.explode(F.arrays_zip("nexts", "ps")).alias("x")).select("short", F.col("x.nexts").alias("next"), F.col("x.ps").alias("below"))
+    table = rows[0]
+    for r in rows[1:]:
+        table = table.unionByName(r)
+    return Model(table, unknown)
+
+
+def _chunked(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The task's rows with the number of their chunk: texts of CHUNK code points or so, and a longer one by itself."""
+    first, chunk, held = TaskContext.get().partitionId() << 32, 0, 0
+    for b in batches:
+        sizes = [len(t or "") for t in b.column(at).to_pylist()]
+        low, part = 0, 0
+        for k, n in enumerate(sizes):
+            if held and held + n > CHUNK or part > PIECE:
+                if k > low:
+                    yield first + chunk, b.slice(low, k - low)
+                low, part = k, 0
+                if held + n > CHUNK:
+                    chunk, held = chunk + 1, 0
+            held, part = held + n, part + n
+        if len(sizes) > low:
+            yield first + chunk, b.slice(low)
+
+
+class Asked:
+    """What the model answered to a chunk: log probabilities of n-grams and back-off weights of contexts, by hash."""
+
+    def __init__(self, answers: pa.Table, unknown: float) -> None:
+        ctx, nexts = answers.column("ctx").to_pylist(), answers.column("nexts").to_pylist()
+        logw = answers.column("logw").to_numpy()
+        lists = answers.column("logps").combine_chunks()
+        offsets, logp = lists.offsets.to_numpy(), lists.values.to_numpy()
+        length = np.array([len(c) for c in ctx])
+        self.unknown, self.grams, self.weights = math.log(unknown), [], []
+        for k in range(ORDER):
+            rows = np.flatnonzero(length == k)
+            points = np.array([ctx[r] for r in rows], f"<U{k}").view(np.uint32).reshape(len(rows), k) if k and len(rows) else np.zeros((len(rows), k), np.uint32)
+            own = hashed(list(points.T)) if k else np.zeros(len(rows), np.uint64)
+            self.weights.append(_sorted(own, logw[rows]))
+            many = np.array([len(nexts[r]) for r in rows], np.int64)
+            after = np.frombuffer("".join([nexts[r] for r in rows]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            spread = np.repeat(points, many, 0)
+            values = np.concatenate([logp[offsets[r] : offsets[r + 1]] for r in rows]) if len(rows) else np.zeros(0)
+            self.grams.append(_sorted(hashed([*spread.T, after]), values))
+
+    def logs(self, points: np.ndarray) -> np.ndarray:
+        """Log probability of the last code point of each window after the others."""
+        total, left = np.zeros(len(points)), np.arange(len(points))
+        for k in range(ORDER - 1, -1, -1):
+            seen, value = _found(self.grams[k], hashed(list(points[left, ORDER - 1 - k :].T)))
+            total[left[seen]] += value[seen]
+            left = left[~seen]
+            if len(left) == 0:
+                return total
+            known, weight = _found(self.weights[k], hashed(list(points[left, ORDER - 1 - k : ORDER - 1].T)) if k else np.zeros(len(left), np.uint64))
+            total[left[known]] += weight[known]
+        total[left] += self.unknown
+        return total
+
+
+def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], np.asarray(values, np.float64)[order]
+
+
+def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if len(table[0]) == 0:
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    return table[0][at] == keys, table[1][at]
+
+
+def log_perplexity(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` with _n (code points), _nll (sum of negative log probabilities) and _again (`repeats`) of the text, which goes.
+
+    Texts of a task form chunks of CHUNK code points. A chunk asks the model once for each different context of its
+    texts; the answers come by a join on the context, and the chunk's rows, packed, meet them by a cogroup on the chunk.
+    So what is shuffled is each text once, compressed, and the different n-grams of each chunk, never those of each text,
+    and no part of the model is gathered. `docs` is read twice and must give the same rows in the same tasks, as a table
+    does; a chunk without answers ends the job.
     """
-    joined = word_grams(docs).join(model.pairs, "gram", "left").join(model.contexts, "context", "left").join(model.words, "word", "left")
-    below = F.coalesce("weight", F.lit(1.0)) * F.coalesce("below", F.lit(model.unknown))
-    each = joined.select((-F.log(F.coalesce("p", below))).alias("cost"), (F.col("context") == START).cast("long").alias("first"), F.explode(F.arrays_zip("texts", "times")).alias("e"))
-    times = F.col("e.times")
-    sums = each.groupBy(F.col("e.texts").alias("key")).agg(F.sum(times).alias("n"), F.sum(times * F.col("cost")).alias("s"), F.sum(times * F.col("first")).alias("copies"))
-    return sums.select("key", (F.col("n") / F.col("copies")).cast("long").alias("_words"), (F.col("s") / F.col("copies")).alias("_wnll"))
+    names, at = docs.columns, docs.columns.index("text")
+    rest = [n for n in names if n != "text"]
+    unknown, told = model.unknown, [*rest, "_n", "_nll", "_again"]
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(chunk: int, found: Grams) -> Iterator[pa.RecordBatch]:
+            points, _ = found.merged()
+            for k in range(ORDER):
+                _, first = np.unique(hashed(list(points[:, k:].T)), return_index=True)
+                ctx, following, _ = by_context(points[first, k:])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ctx), chunk)), pa.array(ctx, pa.string()), pa.array(following, pa.string())], ["chunk", "ctx", "asked"])
+
+        before, found = None, Grams()
+        for chunk, b in _chunked(batches, 0):
+            if before is not None and chunk != before:
+                yield from sent(before, found)
+                found = Grams()
+            before = chunk
+            for line, where, _ in pieces(b.column(0).to_pylist()):
+                found.add(line, where)
+        if before is not None and found.parts:
+            yield from sent(before, found)
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for chunk, b in _chunked(batches, at):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=options) as out:
+                out.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        packed = [pa.ipc.open_stream(r).read_all() for r in left.column("rows").to_pylist()]
+        sizes = [[len(t or "") for t in p.column(at).to_pylist()] for p in packed]
+        if right.num_rows == 0 and unknown < 1 and any(map(any, sizes)):
+            raise ValueError("a chunk found no answers: the documents were not the same when read again")
+        found, asked = Grams(), Asked(right, unknown)
+        for p in packed:
+            for line, where, _ in pieces(p.column(at).to_pylist()):
+                found.add(line, where)
+        points, _ = found.merged()
+        values = asked.logs(points)
+        index = pd.Index(found.parts[0][0]) if found.parts else None
+        out = []
+        for p, n in zip(packed, sizes, strict=True):
+            cost = np.zeros(p.num_rows)
+            for line, where, owner in pieces(p.column(at).to_pylist()):
+                which = index.get_indexer(hashed([line[where + k] for k in range(ORDER)]))
+                cost -= np.bincount(owner, values[which], p.num_rows)
+            out.append(pa.table([*[p.column(c) for c in rest], pa.array(n, pa.int64()), pa.array(cost), pa.array(repeats(p.column(at).to_pylist()), pa.int64())], told))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in kinds_of], told)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds_of = [*[to_arrow_type(docs.schema[c].dataType) for c in rest], pa.int64(), pa.float64(), pa.int64()]
+    wanted = docs.select("text").mapInArrow(asks, "chunk long, ctx string, asked string")
+    kept = F.filter(F.arrays_zip("nexts", "ps"), lambda e: F.contains(F.col("asked"), e["nexts"]))
+    answers = wanted.join(model.table, "ctx").select(
+        "chunk", "ctx", F.log("weight").cast("float").alias("logw"), F.array_join(F.transform(kept, lambda e: e["nexts"]), "").alias("nexts"), F.transform(kept, lambda e: F.log(e["ps"]).cast("float")).alias("logps")
+    )
+    packed = docs.mapInArrow(packs, "chunk long, rows binary")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, f"{kinds}_n long, _nll double, _again long")
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """Marked for a broadcast, if it has no more rows than `most`."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(_id): the documents that a label calls good."""
+    return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
 
 
 class Limits:
-    """The languages' means and thresholds of a score, found on trusted rows (lang, _n, _nll)."""
+    """The languages' means and thresholds of a cost for each code point, found on rows (lang, _n, cost) of trusted texts."""
 
-    def __init__(self, scored: DataFrame, quantile: float, slack: float, prior: int) -> None:
-        self.slack, self.prior = math.log(slack), prior
-        means = cut_lineage(scored.groupBy("lang").agg(F.sum("_nll").alias("s"), F.sum("_n").alias("m")))
+    def __init__(self, scored: DataFrame, cost: str, quantile: float, slack: float, prior: int) -> None:
+        self.cost, self.slack, self.prior = cost, math.log(slack), prior
+        means = cut_lineage(scored.groupBy("lang").agg(F.sum(cost).alias("s"), F.sum("_n").alias("m")))
         self.mean = means.agg(F.sum("s") / F.sum("m")).first()[0]
         self.means = means.select(F.col("lang").alias("_of"), (F.col("s") / F.col("m")).alias("_mean"))
-        self.small = F.broadcast if means.count() <= BROADCAST_LANGUAGES else (lambda x: x)
         if self.mean is None:
             return
-        steps = cut_lineage(self._level(scored, "_n", "_nll").groupBy("lang", F.ceil(F.col("_level") * 1000).alias("step")).count())
+        steps = cut_lineage(self._level(scored).groupBy("lang", F.ceil(F.col("_level") * 1000).alias("step")).count())
         self.limit = _at_quantile(steps.groupBy("step").agg(F.sum("count").alias("count")), [], quantile).first()["limit"]
         self.limits = cut_lineage(_at_quantile(steps, ["lang"], quantile).select(F.col("lang").alias("_in"), F.col("limit").alias("_limit")))
 
-    def _level(self, scored: DataFrame, n: str, nll: str) -> DataFrame:
-        """With the mean negative log probability, `prior` times the language's mean counted in."""
-        level = (F.col(nll) + self.prior * F.coalesce("_mean", F.lit(self.mean))) / (F.col(n) + self.prior)
-        return scored.join(self.small(self.means), F.col("lang").eqNullSafe(F.col("_of")), "left").withColumn("_level", F.when(F.col(n) > 0, level)).drop("_of", "_mean")
+    def _level(self, scored: DataFrame) -> DataFrame:
+        """With the mean cost, `prior` times the language's mean counted in."""
+        level = (F.col(self.cost) + self.prior * F.coalesce("_mean", F.lit(self.mean))) / (F.col("_n") + self.prior)
+        means = _small(self.means, BROADCAST_LANGUAGES)
+        return scored.join(means, F.col("lang").eqNullSafe(F.col("_of")), "left").withColumn("_level", F.when(F.col("_n") > 0, level)).drop("_of", "_mean")
 
-    def decide(self, scored: DataFrame, n: str, nll: str, perplexity: str, threshold: str, within: str) -> DataFrame:
-        """`scored` with three further columns; `within` is null for a row of no length. Without a threshold all are within."""
+    def decide(self, scored: DataFrame, level: str, most: str, within: str) -> DataFrame:
+        """`scored` with three further columns. Without trusted text all texts that aren't empty are within."""
         if self.mean is None:
-            return scored.withColumns({perplexity: F.exp(F.col(nll) / F.when(F.col(n) > 0, F.col(n))), threshold: F.lit(None).cast("double"), within: F.lit(True)})
+            return scored.withColumns({level: F.col(self.cost) / F.when(F.col("_n") > 0, F.col("_n")), most: F.lit(None).cast("double"), within: F.col("_n") > 0})
         limit = F.coalesce("_limit", F.lit(self.limit)) + self.slack
-        rows = self._level(scored, n, nll).join(self.small(self.limits), F.col("lang").eqNullSafe(F.col("_in")), "left")
-        return rows.withColumns({perplexity: F.exp("_level"), threshold: F.exp(limit), within: F.col("_level") <= limit}).drop("_in", "_limit", "_level")
+        rows = self._level(scored).join(_small(self.limits, BROADCAST_LANGUAGES), F.col("lang").eqNullSafe(F.col("_in")), "left")
+        return rows.withColumns({level: F.col("_level"), most: limit, within: F.coalesce(F.col("_level") <= limit, F.lit(False))}).drop("_in", "_limit", "_level")
 
 
-class Judge:
-    """The fitted models of characters and of words with the languages' thresholds."""
+def _key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float, slack: float, prior_chars: int) -> None:
-        known = trusted_flag(docs.select("doc_id", "lang", "text"), labels.select("doc_id", "quality")).where("_trusted")
-        self.model = fit(known)
-        self.chars = Limits(cut_lineage(log_perplexity(known.select("lang", "text"), self.model).where("_n > 0")), quantile, slack, prior_chars)
-        keyed = known.select("lang", "text", _key().alias("key"))
-        self.words = fit_words(keyed)
-        # Most pairs of words are rare, so a text that the model has counted tells nothing of others: each half is scored by the other.
-        halves = [keyed.where(F.pmod(F.xxhash64(F.lit("half"), "key"), F.lit(2)) == k) for k in (0, 1)]
-        held = [mine.select("lang", "key").join(word_scores(mine, fit_words(other)), "key") for mine, other in (halves, halves[::-1])]
-        scored = held[0].unionByName(held[1]).select("lang", F.col("_words").alias("_n"), F.col("_wnll").alias("_nll"))
-        self.pairs = Limits(cut_lineage(scored), quantile, slack, max(1, prior_chars // 5))
 
-    def decide(self, docs: DataFrame, keep_text: bool = False) -> DataFrame:
-        """`docs` with _key, _n, _perplexity, _threshold and _accepted, by characters alone."""
-        rows = self.chars.decide(log_perplexity(docs.withColumn("_key", _key()), self.model, keep_text), "_n", "_nll", "_perplexity", "_threshold", "_accepted")
-        return rows.withColumn("_accepted", F.coalesce("_accepted", F.lit(False))).drop("_nll")
+def judged(docs: DataFrame, labels: DataFrame, quantile: float, slack: float, prior_chars: int) -> DataFrame:
+    """doc_id, lang, _key of each row of `docs` with _n, _perplexity, _threshold, _repeated, _most and _accepted."""
+    docs = docs.select("doc_id", "lang", "text")
+    ids = cut_lineage(trusted_ids(labels))
+    known = docs.join(_small(ids, BROADCAST_IDS), docs["doc_id"] == F.col("_id"), "left_semi")
+    held = F.pmod(F.xxhash64(F.lit("held"), F.col("_key")), F.lit(PARTS)) == 0
+    model = fit(known.withColumn("_key", _key()).where(~held))
+    scored = cut_lineage(log_perplexity(docs.withColumn("_key", _key()), model))
+    good = scored.where("_n > 0").join(_small(ids, BROADCAST_IDS), scored["doc_id"] == F.col("_id"), "left_semi")
+    calm = good.where(held)
+    calm = cut_lineage(calm if calm.limit(1).count() else good)
+    plain = Limits(calm, "_nll", quantile, slack, prior_chars).decide(scored, "_level_p", "_most_p", "_calm")
+    both = Limits(calm, "_again", quantile, slack, prior_chars).decide(plain, "_repeated", "_most", "_fresh")
+    return both.select("doc_id", "lang", "_key", "_n", F.exp("_level_p").alias("_perplexity"), F.exp("_most_p").alias("_threshold"), "_repeated", "_most", (F.col("_calm") & F.col("_fresh")).alias("_accepted"))
 
-    def by_words(self, rows: DataFrame, docs: DataFrame) -> DataFrame:
-        """`rows` (lang, _key, ...) of texts of `docs` with _words, _word_perplexity, _word_threshold and _known."""
-        scores = word_scores(docs.select(_key().alias("key"), "text"), self.words).withColumnRenamed("key", "_key")
-        decided = self.pairs.decide(rows.join(scores, "_key", "left"), "_words", "_wnll", "_word_perplexity", "_word_threshold", "_known")
-        return decided.withColumn("_known", F.coalesce("_known", F.lit(True))).drop("_wnll")
 
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.3, prior_chars: int = 50) -> DataFrame:
+    """Every row of `docs` (doc_id, text, lang) with n_units, perplexity, threshold, repeated, most_repeated, accepted.
 
-def _key() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+    The model is fitted to the texts that `labels` (doc_id, quality) calls good, all but one in PARTS, drawn by a hash of
+    the text, from which the thresholds are found. It is of whole code points, in n-grams of ORDER, and a table that grows
+    with the trusted text. Perplexity is for each code point; a text takes prior_chars more of its language's mean with
+    it, so that a few words don't decide. A language's threshold is slack times the `quantile` of the perplexity of its
+    trusted documents, found on totals of steps of 0.001 in its logarithm; a language without trusted documents takes that
+    of all. Without any trusted document all texts that aren't empty are accepted.
 
+    Such a model finds a text easy that says the same again and again. So the share of its windows of WINDOW code points
+    that it has held before, `repeated`, has a threshold of its own, found in the same way (log(slack) above the quantile).
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.3, prior_chars: int = 50) -> DataFrame:
-    """Every row of `docs` (doc_id, text, lang) with n_units, perplexity, threshold, word_perplexity, word_threshold, accepted.
-
-    Two models are fitted to all texts that `labels` (doc_id, quality) calls good: one of folded characters, which tells
-    strange spelling, and one of words in pairs, which tells unknown words and strange order in any script and grows with
-    the trusted text. A text must be within both thresholds. Perplexities are for each character and each word; a text
-    takes prior_chars more of its language's mean with it (a fifth as many words), so that a few words don't decide. A
-    language's threshold is slack times the `quantile` of its trusted documents' perplexity, found on totals of steps of
-    0.001 in its logarithm; a language without trusted documents takes that of all. Without any trusted document all are
-    accepted.
-
-    Null and empty text: n_units 0, perplexity null, not accepted. Text without words: word_perplexity null, judged by
-    characters. Null lang is a language of its own. A document that is labelled twice is trusted if one label says so.
-    Repeated rows are judged alike. Empty input: empty result. Further columns of `docs` are ignored.
+    Null and empty text: n_units 0, perplexity null, not accepted. Null lang is a language of its own. A document that is
+    labelled twice is trusted if one label says so. Repeated rows are judged alike. Empty input: empty result. Further
+    columns of `docs` are ignored. `docs` must be a table or give the same rows each time that it is read.
     """
-    judge = Judge(docs, labels, quantile, slack, prior_chars)
-    docs = docs.select("doc_id", "lang", "text")
-    rows = judge.by_words(judge.decide(docs), docs)
-    told = [F.col(f"_{c}").alias(c) for c in ("perplexity", "threshold", "word_perplexity", "word_threshold")]
-    return rows.select("doc_id", "lang", F.col("_n").alias("n_units"), *told, (F.col("_accepted") & F.col("_known")).alias("accepted"))
+    told = [F.col(f"_{c}").alias(c) for c in ("perplexity", "threshold", "repeated")]
+    rows = judged(docs, labels, quantile, slack, prior_chars)
+    return rows.select("doc_id", "lang", F.col("_n").alias("n_units"), *told, F.col("_most").alias("most_repeated"), F.col("_accepted").alias("accepted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.3, prior_chars: int = 50) -> DataFrame:
-    """The rows of `docs` that `quality` accepts, all columns as they were.
-
-    Rows are scored in place by characters; those whose words are refused are taken out by their keys.
-    """
+    """The rows of `docs` that `quality` accepts, all columns as they were: those refused are taken out by their keys."""
     docs, restored = shielded(docs, "doc_id", "lang", "text")
-    judge = Judge(docs, labels, quantile, slack, prior_chars)
-    refused = judge.by_words(docs.select("lang", _key().alias("_key")).distinct(), docs).where("not _known")
-    refused = cut_lineage(refused.select(F.col("lang").alias("_its"), F.col("_key").alias("_text")))
-    rows = judge.decide(docs, keep_text=True).where("_accepted")
+    refused = judged(docs, labels, quantile, slack, prior_chars).where("not _accepted").select(F.col("lang").alias("_its"), F.col("_key").alias("_text")).distinct()
+    refused = _small(cut_lineage(refused), BROADCAST_IDS)
+    rows = docs.withColumn("_key", _key())
     return restored(rows.join(refused, (F.col("_key") == F.col("_text")) & F.col("lang").eqNullSafe(F.col("_its")), "left_anti"))
 
 

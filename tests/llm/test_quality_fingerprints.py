@@ -15,11 +15,11 @@ from tessera.llm import fingerprints, quality
 
 
 def plain_model(texts: list[str]):
-    """Interpolated modified Kneser-Ney with dictionaries."""
-    top, s = quality.ORDER, quality.SYMBOLS
+    """Interpolated modified Kneser-Ney of code points with dictionaries."""
+    top = quality.ORDER
     counts = [Counter() for _ in range(top)]
     for t in texts:
-        line = [0] * (top - 1) + [int(x) for x in quality.FOLDING[np.frombuffer(t.encode("utf-16-le"), np.uint16)]]
+        line = [None] * (top - 1) + list(t)
         for k in range(top - 1, len(line)):
             counts[-1][tuple(line[k - top + 1 : k + 1])] += 1
     for k in range(top - 2, -1, -1):
@@ -39,7 +39,7 @@ def plain_model(texts: list[str]):
         cut.append(d)
 
     def p(g: tuple) -> float:
-        below = p(g[1:]) if len(g) > 1 else 1 / s
+        below = p(g[1:]) if len(g) > 1 else 1 / (len(counts[0]) + 1)
         k, ctx = len(g) - 1, g[:-1]
         if not totals[k].get(ctx):
             return below
@@ -53,25 +53,55 @@ def plain_model(texts: list[str]):
 TRUSTED = ["the quick brown fox jumps over the lazy dog. " * 3, "a quiet evening, and the river runs slow under the bridge.", "Numbers 12 and 34 stand here; they're few."]
 
 
-def test_model_against_plain_kneser_ney(make):
+def test_model_against_plain_kneser_ney(spark, make, monkeypatch):
+    trusted = [*TRUSTED, "Привет, мир. Добрый день, мир.", "天地玄黃，宇宙洪荒。天地日月。", "\U0001f600 and \U0001f600 or \x00 or none"]
+    p = plain_model(trusted)
+    asked = [*trusted, "the river runs слово wholly unknown 荒天地 words", "", None, "x", "tête-à-tête " * 40, "дней мирных"]
+    rows = make(list(enumerate(asked)))
+    model = quality.fit(make(list(enumerate(trusted))).select("text"))
+    for r in model.table.collect():
+        assert len(r.ctx) < quality.ORDER and sum(r.ps) < 1 + 1e-9 and len(set(r.nexts)) == len(r.nexts)
+
+    def scores():
+        return {r.doc_id: r for r in quality.log_perplexity(rows.select("doc_id", "text"), model).collect()}
+
+    got = scores()
+    for k, t in enumerate(asked):
+        line = [None] * (quality.ORDER - 1) + list(t or "")
+        want = -sum(math.log(p(tuple(line[i : i + quality.ORDER]))) for i in range(len(t or "")))
+        assert got[k]._n == len(t or "") and got[k]._nll == pytest.approx(want, rel=1e-5, abs=1e-9)
+    monkeypatch.setattr(quality, "PIECE", 37)
+    monkeypatch.setattr(quality, "CHUNK", 150)
+    pieces = scores()
+    assert all(pieces[k]._nll == pytest.approx(got[k]._nll, rel=1e-9) and pieces[k]._again == got[k]._again for k in got)
+
+
+def test_probabilities_sum_to_one(make):
     model = quality.fit(make(list(enumerate(TRUSTED))).select("text"))
-    logs, p = model.logs(), plain_model(TRUSTED)
-    rnd = random.Random(4)
-    grams = [tuple(rnd.randrange(quality.SYMBOLS) for _ in range(quality.ORDER)) for _ in range(300)]
-    codes, _, _ = quality.grams(TRUSTED)
-    for code in codes[:200]:
-        g = []
-        for _ in range(quality.ORDER):
-            g.insert(0, int(code % quality.SYMBOLS))
-            code //= quality.SYMBOLS
-        grams.append(tuple(g))
-    for g in grams:
-        at = 0
-        for x in g:
-            at = at * quality.SYMBOLS + x
-        assert logs[at] == pytest.approx(math.log(p(g)), abs=1e-4)
-    after = np.exp(logs.reshape(-1, quality.SYMBOLS).astype(float)).sum(1)
-    assert np.allclose(after, 1, atol=1e-3)
+    rows = {r.ctx: r for r in model.table.collect()}
+    symbols = rows[""].nexts
+    full = {"": dict.fromkeys([*symbols, "?"], 0.0)}
+    for s in full[""]:
+        full[""][s] = dict(zip(rows[""].nexts, rows[""].ps)).get(s, rows[""].weight * model.unknown)
+    assert sum(full[""].values()) == pytest.approx(1)
+    for ctx in sorted(rows, key=len)[1:200]:
+        own = dict(zip(rows[ctx].nexts, rows[ctx].ps))
+        full[ctx] = {s: own.get(s, rows[ctx].weight * full[ctx[1:]][s]) for s in full[""]}
+        assert sum(full[ctx].values()) == pytest.approx(1)
+
+
+def test_repeats_against_plain_python(monkeypatch):
+    rnd = random.Random(9)
+    texts = [None, "", "short", "x" * 40, "да " * 30, *["".join(rnd.choice("ab") for _ in range(rnd.randrange(900))) for _ in range(40)]]
+    want = []
+    for t in texts:
+        seen, again = set(), 0
+        for k in range(len(t or "") - quality.WINDOW + 1):
+            w = t[k : k + quality.WINDOW]
+            again += w in seen
+            seen.add(w)
+        want.append(again)
+    assert quality.repeats(texts).tolist() == want and quality.repeats([]).tolist() == []
 
 
 def test_clean_stays_and_junk_goes(spark, make):
@@ -87,37 +117,6 @@ def test_clean_stays_and_junk_goes(spark, make):
     assert scored == pytest.approx([again[0], again[1]], rel=1e-9)
 
 
-def test_word_pairs_against_plain_kneser_ney(spark):
-    docs = spark.createDataFrame(list(enumerate([*TRUSTED, TRUSTED[1]])), "key long, text string")
-    model = quality.fit_words(docs)
-    counts = Counter(p for t in [*TRUSTED, TRUSTED[1]] for p in zip([None, *quality.tokens(t)], quality.tokens(t)))
-    assert model.pairs.count() == len(counts)
-    below = Counter(w for _, w in counts)
-
-    def cut(table: Counter) -> list[float]:
-        n = [max(1, sum(c == k for c in table.values())) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
-
-    one, two = cut(below), cut(counts)
-    rest = sum(one[min(c, 3) - 1] for c in below.values()) / sum(below.values()) / (len(below) + 1)
-
-    def p(v, w) -> float:
-        low = rest + ((below[w] - one[min(below[w], 3) - 1]) / sum(below.values()) if below[w] else 0.0)
-        own = {g: c for g, c in counts.items() if g[0] == v}
-        if not own:
-            return low
-        c, total = counts[v, w], sum(own.values())
-        return ((c - two[min(c, 3) - 1]) if c else 0.0) / total + sum(two[min(x, 3) - 1] for x in own.values()) / total * low
-
-    asked = ["the river runs unknown words over the lazy fox", "fox fox fox"]
-    got = {r.key: r for r in quality.word_scores(spark.createDataFrame(list(enumerate(asked)), "key long, text string"), model).collect()}
-    for k, t in enumerate(asked):
-        ws = quality.tokens(t)
-        assert got[k]._words == len(ws)
-        assert got[k]._wnll == pytest.approx(-sum(math.log(p(v, w)) for v, w in zip([None, *ws], ws)), rel=1e-6)
-
-
 def test_known_words_repeated_or_shuffled_go(spark, make):
     rnd = random.Random(16)
     letters = "αβγδεζηθικλμνξοπρστυφχψω"
@@ -138,7 +137,7 @@ def test_known_words_repeated_or_shuffled_go(spark, make):
     assert sum(got[b + k] for b in (0, 1000) for k in range(200, 350)) >= 297
     assert not any(got[b + k] for b in (0, 1000) for k in range(350, 400))
     assert sorted(r.doc_id for r in quality.accepted(docs, labels).collect()) == sorted(k for k in got if got[k])
-    copies = {r.doc_id: r.word_perplexity for r in quality.quality(make([*rows, (9999, *rows[250][1:])]), labels).collect()}
+    copies = {r.doc_id: r.perplexity for r in quality.quality(make([*rows, (9999, *rows[250][1:])]), labels).collect()}
     assert copies[9999] == copies[250]
 
 
