@@ -164,10 +164,9 @@ def count_grams(texts: DataFrame) -> DataFrame:
     return each.groupBy("ctx", F.col("e.nexts").alias("next")).agg(F.sum("e.cs").alias("c"))
 
 
-def discounts(counts: DataFrame) -> list[float]:
-    """D1, D2, D3+ from the counts of counts (Chen and Goodman 1998); where a count is missing, it counts as 1."""
-    row = counts.agg(*[F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)]).first()
-    n = [max(1, x) for x in row]
+def discounts(counts: list[int]) -> list[float]:
+    """D1, D2, D3+ from the numbers of grams with counts 1 to 4 (Chen and Goodman 1998); where one is 0, it is taken as 1."""
+    n = [max(1, x) for x in counts]
     y = n[0] / (n[0] + 2 * n[1])
     return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
 
@@ -189,13 +188,21 @@ def fit(trusted: DataFrame) -> Model:
     Counts are sharded by context. Lower orders count the different code points before a gram. Each order's counts are
     joined with the next lower order's probabilities of the same code point after the shorter context.
     """
-    counts = [cut_lineage(count_grams(trusted))]
+    top = cut_lineage(count_grams(trusted))
+    counts = [top]
     for _ in range(ORDER - 1):
-        counts.insert(0, cut_lineage(counts[0].groupBy(F.substring("ctx", 2, ORDER).alias("ctx"), "next").agg(F.count("*").alias("c"))))
-    unknown = 1 / (counts[0].count() + 1)
+        counts.insert(0, counts[0].groupBy(F.substring("ctx", 2, ORDER).alias("ctx"), "next").agg(F.count("*").alias("c")))
+    shorter = counts[0]
+    for t in counts[1:-1]:
+        shorter = shorter.unionByName(t)
+    shorter = cut_lineage(shorter)
+    few = shorter.unionByName(top).groupBy(F.length("ctx").alias("k")).agg(F.count("*").alias("n"), *[F.sum((F.col("c") == c).cast("long")).alias(f"n{c}") for c in (1, 2, 3, 4)])
+    of = {r.k: r for r in few.collect()}  # one row for each order
+    unknown = 1 / (of[0].n + 1) if of else 1.0
     lower, rows = None, []
-    for table in counts:
-        d = discounts(table)
+    for k in range(ORDER):
+        table = top if k == ORDER - 1 else shorter.where(F.length("ctx") == k)
+        d = discounts([of[k][f"n{c}"] for c in (1, 2, 3, 4)] if k in of else [0, 0, 0, 0])
         if lower is None:
             joined = table.withColumn("below", F.lit(unknown))
         else:
@@ -368,32 +375,38 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 class Limits:
-    """The languages' means and thresholds of a cost for each code point, found on rows (lang, _n, cost) of trusted texts."""
-
-    def __init__(self, scored: DataFrame, cost: str, quantile: float, slack: float, prior: int) -> None:
-        self.cost, self.slack, self.prior = cost, math.log(slack), prior
-        means = cut_lineage(scored.groupBy("lang").agg(F.sum(cost).alias("s"), F.sum("_n").alias("m")))
-        self.mean = means.agg(F.sum("s") / F.sum("m")).first()[0]
-        self.means = means.select(F.col("lang").alias("_of"), (F.col("s") / F.col("m")).alias("_mean"))
-        if self.mean is None:
-            return
-        steps = cut_lineage(self._level(scored).groupBy("lang", F.ceil(F.col("_level") * 1000).alias("step")).count())
-        self.limit = _at_quantile(steps.groupBy("step").agg(F.sum("count").alias("count")), [], quantile).first()["limit"]
-        self.limits = cut_lineage(_at_quantile(steps, ["lang"], quantile).select(F.col("lang").alias("_in"), F.col("limit").alias("_limit")))
-
-    def _level(self, scored: DataFrame) -> DataFrame:
-        """With the mean cost, `prior` times the language's mean counted in."""
-        level = (F.col(self.cost) + self.prior * F.coalesce("_mean", F.lit(self.mean))) / (F.col("_n") + self.prior)
-        means = _small(self.means, BROADCAST_LANGUAGES)
-        return scored.join(means, F.col("lang").eqNullSafe(F.col("_of")), "left").withColumn("_level", F.when(F.col("_n") > 0, level)).drop("_of", "_mean")
+    """The languages' means and thresholds of costs for each code point, found on rows (lang, _n, costs) of trusted texts."""
 
-    def decide(self, scored: DataFrame, level: str, most: str, within: str) -> DataFrame:
-        """`scored` with three further columns. Without trusted text all texts that aren't empty are within."""
-        if self.mean is None:
-            return scored.withColumns({level: F.col(self.cost) / F.when(F.col("_n") > 0, F.col("_n")), most: F.lit(None).cast("double"), within: F.col("_n") > 0})
-        limit = F.coalesce("_limit", F.lit(self.limit)) + self.slack
-        rows = self._level(scored).join(_small(self.limits, BROADCAST_LANGUAGES), F.col("lang").eqNullSafe(F.col("_in")), "left")
-        return rows.withColumns({level: F.col("_level"), most: limit, within: F.coalesce(F.col("_level") <= limit, F.lit(False))}).drop("_in", "_limit", "_level")
+    def __init__(self, scored: DataFrame, costs: list[str], quantile: float, slack: float, prior: int) -> None:
+        self.costs, self.slack, self.prior = costs, math.log(slack), prior
+        sums = cut_lineage(scored.groupBy("lang").agg(F.sum("_n").alias("m"), *[F.sum(c).alias(f"s{k}") for k, c in enumerate(costs)]))
+        self.means = list(sums.agg(*[F.sum(f"s{k}") / F.sum("m") for k in range(len(costs))]).first())
+        if self.means[0] is None:
+            return
+        self.own = _small(sums.select(F.col("lang").alias("_of"), *[(F.col(f"s{k}") / F.col("m")).alias(f"_mean{k}") for k in range(len(costs))]), BROADCAST_LANGUAGES)
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.ceil(F.col(f"_level{k}") * 1000).alias("step")) for k in range(len(costs))]))
+        steps = cut_lineage(self._levels(scored).select("lang", each.alias("e")).groupBy("lang", "e.kind", "e.step").count())
+        self.limits = {r.kind: r.limit for r in _at_quantile(steps.groupBy("kind", "step").agg(F.sum("count").alias("count")), ["kind"], quantile).collect()}
+        found = _at_quantile(steps, ["lang", "kind"], quantile).groupBy(F.col("lang").alias("_in"))
+        self.found = _small(cut_lineage(found.agg(*[F.max(F.when(F.col("kind") == k, F.col("limit"))).alias(f"_limit{k}") for k in range(len(costs))])), BROADCAST_LANGUAGES)
+
+    def _levels(self, scored: DataFrame) -> DataFrame:
+        """With the mean of each cost, `prior` times the language's mean counted in."""
+        rows = scored.join(self.own, F.col("lang").eqNullSafe(F.col("_of")), "left")
+        level = lambda k, c: (F.col(c) + self.prior * F.coalesce(f"_mean{k}", F.lit(self.means[k]))) / (F.col("_n") + self.prior)
+        return rows.withColumns({f"_level{k}": F.when(F.col("_n") > 0, level(k, c)) for k, c in enumerate(self.costs)})
+
+    def decide(self, scored: DataFrame) -> DataFrame:
+        """`scored` with _level, _most of each cost, by number, and _accepted. Without trusted text all are accepted."""
+        kinds = range(len(self.costs))
+        if self.means[0] is None:
+            return scored.withColumns({f"_level{k}": F.col(c) / F.when(F.col("_n") > 0, F.col("_n")) for k, c in enumerate(self.costs)} | {f"_most{k}": F.lit(None).cast("double") for k in kinds} | {"_accepted": F.lit(True)})
+        rows = self._levels(scored).join(self.found, F.col("lang").eqNullSafe(F.col("_in")), "left")
+        rows = rows.withColumns({f"_most{k}": F.coalesce(f"_limit{k}", F.lit(self.limits[k])) + self.slack for k in kinds})
+        within = F.lit(True)
+        for k in kinds:
+            within = within & (F.col(f"_level{k}") <= F.col(f"_most{k}"))
+        return rows.withColumn("_accepted", F.coalesce(within, F.lit(False)))
 
 
 def _key() -> Column:
@@ -411,9 +424,9 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float, slack: float, pr
     good = scored.where("_n > 0").join(_small(ids, BROADCAST_IDS), scored["doc_id"] == F.col("_id"), "left_semi")
     calm = good.where(held)
     calm = cut_lineage(calm if calm.limit(1).count() else good)
-    plain = Limits(calm, "_nll", quantile, slack, prior_chars).decide(scored, "_level_p", "_most_p", "_calm")
-    both = Limits(calm, "_again", quantile, slack, prior_chars).decide(plain, "_repeated", "_most", "_fresh")
-    return both.select("doc_id", "lang", "_key", "_n", F.exp("_level_p").alias("_perplexity"), F.exp("_most_p").alias("_threshold"), "_repeated", "_most", (F.col("_calm") & F.col("_fresh")).alias("_accepted"))
+    rows = Limits(calm, ["_nll", "_again"], quantile, slack, prior_chars).decide(scored)
+    told = [F.exp("_level0").alias("_perplexity"), F.exp("_most0").alias("_threshold"), F.col("_level1").alias("_repeated"), F.col("_most1").alias("_most")]
+    return rows.select("doc_id", "lang", "_key", "_n", *told, "_accepted")
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.3, prior_chars: int = 50) -> DataFrame:
@@ -424,12 +437,12 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: f
     with the trusted text. Perplexity is for each code point; a text takes prior_chars more of its language's mean with
     it, so that a few words don't decide. A language's threshold is slack times the `quantile` of the perplexity of its
     trusted documents, found on totals of steps of 0.001 in its logarithm; a language without trusted documents takes that
-    of all. Without any trusted document all texts that aren't empty are accepted.
+    of all. Without any trusted document all are accepted.
 
     Such a model finds a text easy that says the same again and again. So the share of its windows of WINDOW code points
     that it has held before, `repeated`, has a threshold of its own, found in the same way (log(slack) above the quantile).
 
-    Null and empty text: n_units 0, perplexity null, not accepted. Null lang is a language of its own. A document that is
+    Null and empty text: n_units 0, perplexity null, not accepted if there is any trusted text. Null lang is a language of its own. A document that is
     labelled twice is trusted if one label says so. Repeated rows are judged alike. Empty input: empty result. Further
     columns of `docs` are ignored. `docs` must be a table or give the same rows each time that it is read.
     """
