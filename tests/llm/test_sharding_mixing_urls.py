@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -31,6 +32,62 @@ def test_shards_are_even_gapless_and_keep_copies_together(spark, make):
     assert all(len(s) == 1 for s in homes.values())
 
 
+def line_of(docs, shards: int, cells: int) -> dict:
+    """Shards computed from all rows at once."""
+    from pyspark.sql import functions as F
+
+    named = docs.select(F.monotonically_increasing_id().alias("r"), F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    groups = defaultdict(list)
+    for x in sorted(named, key=lambda x: x.r):
+        groups[x.t].append(x)
+    size = lambda t: len(t.encode()) + 8
+    many = {t: len(g) * size(t) for t, g in groups.items()}
+    target = max(1, sum(many.values())) / shards
+    line = sorted(groups, key=lambda t: (many[t] <= target, groups[t][0].h % cells, groups[t][0].h, zlib.crc32(t.encode()), size(t)))
+    lows, at = {}, 0
+    for t in line:
+        lows[t], at = at, at + many[t]
+    middles = {t: lows[t] + many[t] / 2 for t in line}
+    for t in line:
+        low, n = lows[t], many[t]
+        cut = -(-low // target) * target
+        if n <= target and low < cut < low + n:
+            for u in line:
+                if low + n <= lows[u] + many[u] / 2 < low + n + cut - low:
+                    middles[u] = lows[u] + many[u] / 2 - n
+            middles[t] = low + n / 2 + cut - low
+    shard = lambda x: min(int(x // target), shards - 1)
+    return {x.r: shard(middles[t] if many[t] <= target else lows[t] + (k + 0.5) * size(t)) for t in line for k, x in enumerate(groups[t])}
+
+
+@pytest.mark.parametrize("table", ["small", "copies", "sf0.01"])
+def test_places_are_those_of_one_line(spark, make, table):
+    rnd = random.Random(23)
+    if table.startswith("sf"):
+        docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    elif table == "small":
+        docs = make([(k, "x" * rnd.randrange(50)) for k in range(30)])
+    else:  # a third of all rows are one text, far more than a shard holds
+        docs = make([(k, "one text that very many hold" if k % 3 == 0 else f"text {k % 600} " * (1 + k % 17)) for k in range(3000)] + [(None, "one text that very many hold")] * 50)
+    docs = docs.select("doc_id", "text").repartition(7, "doc_id")
+    docs = sharding.cut_lineage(docs)
+    got = {r._row: (r.shard, r.slot) for r in sharding.placed(docs, 24).collect()}
+    assert {k: s for k, (s, _) in got.items()} == line_of(docs, 24, sharding.CELLS)
+    slots = defaultdict(list)
+    for shard, slot in got.values():
+        slots[shard].append(slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    whole = sharding.sharded(docs, 24)
+    assert Counter(whole.select("shard", "slot").collect()) == Counter(got.values()) and whole.columns == ["doc_id", "text", "shard", "slot"]
+    assert Counter(whole.select("doc_id", "text").collect()) == Counter(docs.collect())
+    if table == "copies":
+        sizes = Counter()
+        for r in sharding.shard_by_bytes(docs, 24).collect():
+            sizes[r.shard] += r["size"]
+        mean = sum(sizes.values()) / 24
+        assert max(abs(s - mean) for s in sizes.values()) < 0.04 * mean
+
+
 def test_shards_bear_odd_rows(spark, odd, clash):
     plain = sharding.shard_by_bytes(odd, 24)
     got = plain.collect()
