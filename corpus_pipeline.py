@@ -13,7 +13,7 @@ from tessera.llm.decontamination import without_leaks
 from tessera.llm.mixing import mixed
 from tessera.llm.neardup import keep_first
 from tessera.llm.quality import accepted
-from tessera.llm.sharding import shard_by_bytes
+from tessera.llm.sharding import sharded
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each row of the mix in 24 shards of equal bytes."""
-    return shard_by_bytes(docs, 24)
+    """The rows of the mix with their places in 24 shards of equal bytes."""
+    return sharded(docs, 24)
 
 
 STAGES = [
