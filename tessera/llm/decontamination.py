@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -135,8 +136,7 @@ class Index:
             allowed, edge = 0.0, end
             for c in cursors[: pivot + 1]:
                 blocks, k = self.blocks[c[1]], c[2] // self.block
-                while k < len(blocks) and blocks[k][0] < item:
-                    k += 1
+                k = bisect_left(blocks, (item,), k)
                 if k < len(blocks):
                     allowed += blocks[k][1]
                     edge = min(edge, blocks[k][0] + 1)
@@ -156,9 +156,8 @@ class Index:
         """The first n cursors moved to their first posting at or behind `target`; those that come to `end` go."""
         kept = []
         for c in cursors[:n]:
-            p, k = self.postings[c[1]], c[2]
-            while k < len(p) and p[k][0] < target:
-                k += 1
+            p = self.postings[c[1]]
+            k = bisect_left(p, (target,), c[2])
             if k < len(p) and p[k][0] < end:
                 kept.append([p[k][0], c[1], k])
         return kept + cursors[n:]

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut_lineage, shielded, text_key
 
 #: Words of a k-mer, sketches of a text, k-mers in a sketch.
-K, SKETCHES, TAKEN = 5, 24, 2
+K, SKETCHES, TAKEN = 5, 48, 2
 SIMILARITY = 0.8
 #: How many turns lie between the two sketches by which texts are paired again, round by round.
 STEPS = (5, 11)
 #: Buckets of a bag of words, its fullest bucket, and texts in a block of those that share a sketch.
-BUCKETS, FULL, BLOCK = 64, 65535, 1000
+BUCKETS, FULL, BLOCK = 256, 255, 1000
+#: So many tasks share the texts of one class when they are told its head.
+SALTS = 16
 KEY = ["key_hash", "key_crc", "key_bytes"]
 _RANDOM = np.random.RandomState(20240607)
 _SEEDS = _RANDOM.randint(0, 2**63, SKETCHES, dtype=np.int64).astype(np.uint64)
@@ -194,7 +196,7 @@ def _apart(distinct: DataFrame, labels: DataFrame, step: int) -> DataFrame:
     from those with its two sketches, so there are no more pairs than texts times SKETCHES, however many share them.
     """
     known = distinct.join(labels.withColumnRenamed("v", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
-    turns = F.array(*[F.xxhash64(F.lit(t), F.col("sketches")[t], F.col("sketches")[(t + step) % SKETCHES]) for t in range(SKETCHES)])
+    turns = F.array(*[F.xxhash64(F.lit(t), F.col("sketches")[t], F.col("sketches")[(t + step) % SKETCHES]) for t in range(0, SKETCHES, 2)])
     entries = known.where(F.size("sketches") > 0).select("tid", "label", F.explode(turns).alias("both"))
     hubs = entries.groupBy("both").agg(F.min(F.struct(F.xxhash64("both", "tid").alias("draw"), F.col("tid").alias("hub"), F.col("label").alias("its"))).alias("h"), F.min("label").alias("low"), F.max("label").alias("high"))
     apart = entries.join(hubs.where("low <> high").select("both", "h.hub", "h.its"), "both").where("label <> its")
@@ -214,7 +216,7 @@ def word_bags(texts: DataFrame) -> DataFrame:
             for t in b.column(1).to_pylist():
                 hashed = np.array([known[w] for w in words(t)], np.uint64)
                 bag = np.bincount((hashed % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                bags.append((bag if bag.max() < FULL else np.full(BUCKETS, FULL)).astype(np.uint16).tobytes())
+                bags.append((bag if bag.max() < FULL else np.full(BUCKETS, FULL)).astype(np.uint8).tobytes())
                 sizes.append(len(hashed))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(bags, pa.binary())], ["tid", "n", "bag"])
 
@@ -264,7 +266,7 @@ def _untried(distinct: DataFrame, labels: DataFrame, texts: DataFrame, least: fl
             if stop:
                 part = whole.slice(0, stop)
                 tid, label, n = (part.column(c).to_numpy() for c in (4, 5, 6))
-                bags = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+                bags = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint8).reshape(-1, BUCKETS)
                 for lo, hi in zip(starts[starts < stop], np.r_[starts[1:], len(key)], strict=False):
                     found = list(pairs(tid[lo:hi], label[lo:hi], n[lo:hi], bags[lo:hi]))
                     if found:
@@ -291,7 +293,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     others. Classes are connected components; class_id is the least doc_id in the class, n_links the number of verified
     pairs of the text. class_doc and class_key_* name one row of the class to keep.
 
-    With half of the k-mers in common, a pair has no common sketch once in 1,000; with two thirds, once in 1,000,000.
+    Texts of 100 to 1,000 words that differ in words drawn by lot were found (tests/llm) in all cases where 0.9 of the
+    words align, in 0.97 where 0.85 do, 0.91 where 0.83 do and 0.82 where 0.81 do. Texts without any run of K common words are never compared, be they alike
+    otherwise (every fifth word changed leaves 0.8): K words in a row is what near means here.
     Null text counts as empty; all texts without words that are equal are one class, others their own. Repeated rows and
     repeated doc_ids are ordinary rows. Null doc_id: class_id is null only if all in the class are. Empty input: empty
     result. Further columns are ignored.
@@ -327,16 +331,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         fresh = merged.join(known, "v", "left_anti")  # texts that had no link so far
         labels = cut_lineage(_after(labels, merged).unionByName(fresh))
     degrees = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("n_links"))
-    classed = (
-        distinct.drop("sketches")
-        .join(labels.withColumnRenamed("v", "tid"), "tid", "left")
-        .join(degrees, "tid", "left")
-        .withColumn("label", F.coalesce("label", "tid"))
-        .withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    )
-    classed = cut_lineage(classed)
-    heads = classed.groupBy("label").agg(F.min(F.struct(F.col("first_doc").isNull().alias("none"), F.col("first_doc").alias("class_doc"), *[F.col(k).alias(f"class_{k}") for k in KEY])).alias("head"))
-    final = classed.join(heads, "label").select(*KEY, "n_links", "head.class_doc", *[f"head.class_{k}" for k in KEY])
+    classed = cut_lineage(distinct.drop("sketches").join(labels.withColumnRenamed("v", "tid"), "tid", "left").join(degrees, "tid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))))
+    head = F.struct(F.col("first_doc").isNull().alias("none"), F.col("first_doc").alias("class_doc"), *[F.col(k).alias(f"class_{k}") for k in KEY])
+    members = classed.where("label is not null").withColumn("salt", F.pmod(F.xxhash64("tid"), F.lit(SALTS)).cast("int"))
+    heads = members.groupBy("label").agg(F.min(head).alias("head")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = [*KEY, "n_links", "head.class_doc", *[f"head.class_{k}" for k in KEY]]
+    final = members.join(heads, ["label", "salt"]).select(*told).unionByName(classed.where("label is null").withColumn("head", head).select(*told))
     return base.select("doc_id", *KEY).join(final, KEY).select("doc_id", F.col("class_doc").alias("class_id"), "n_links", *KEY, "class_doc", *[f"class_{k}" for k in KEY])
 
 

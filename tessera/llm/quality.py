@@ -76,7 +76,7 @@ class Grams:
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self.size = self.least = 0
 
     def add(self, line: np.ndarray, at: np.ndarray) -> None:
         key = hashed([line[at + k] for k in range(ORDER)])
@@ -85,7 +85,7 @@ class Grams:
         first[code[::-1]] = at[::-1]
         self.parts.append((unique, np.bincount(code, minlength=len(unique)), line[first[:, None] + np.arange(ORDER)]))
         self.size += len(unique)
-        if self.size > 2 * HELD:
+        if self.size > 2 * self.least + PIECE // 2:
             self.merged()
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ class Grams:
         first = np.empty(len(unique), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
         self.parts = [(unique, np.bincount(code, count, len(unique)).astype(np.int64), points[first])]
-        self.size = len(unique)
+        self.size = self.least = len(unique)
         return self.parts[0][2], self.parts[0][1]
 
 
@@ -154,7 +154,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         for b in batches:
             for line, at, _ in pieces(b.column(0).to_pylist()):
                 found.add(line, at)
-                if found.size > HELD:
+                if found.least > HELD:
                     yield from sent(found)
                     found = Grams()
         yield from sent(found)

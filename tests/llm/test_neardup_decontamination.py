@@ -91,6 +91,31 @@ def test_a_shared_passage_hides_no_near_copies(make):
     assert all(got[k] == k for k in texts if k % 2 == 0)
 
 
+def test_recall_of_aligned_pairs(make):
+    """All pairs of which 0.8 or more of the words align are the truth, without any condition on k-mers."""
+    rnd, pairs = random.Random(77), []
+    for n in (100, 300, 1000):
+        for share in (0.05, 0.1, 0.15, 0.17, 0.19):
+            for _ in range(30):
+                base = prose(rnd, n, 50_000)
+                other = list(base)
+                for i in rnd.sample(range(n), int(n * share)):
+                    other[i] = f"e{rnd.randrange(1_000_000)}"
+                pairs.append((n, share, base, other))
+    rows = [(2 * k + j, " ".join(t)) for k, p in enumerate(pairs) for j, t in enumerate(p[2:])]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(make(rows)).collect()}
+    caught, every = Counter(), Counter()
+    for k, (_, share, a, b) in enumerate(pairs):
+        if neardup.similarity(a, b):
+            every[share] += 1
+            caught[share] += got[2 * k] == got[2 * k + 1]
+    recall = {s: caught[s] / every[s] for s in every}
+    print("recall by share of changed words:", recall)
+    assert sum(every.values()) > 400 and sum(caught.values()) >= 0.9 * sum(every.values())
+    assert recall[0.05] == 1 and recall[0.1] >= 0.98 and recall[0.19] >= 0.8
+    assert all(got[2 * k] in (2 * k, 2 * k + 1) and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(len(pairs)))
+
+
 def test_keep_first_keeps_one_of_each_class(make, clash):
     rows = planted()
     docs = clash(make(rows))
