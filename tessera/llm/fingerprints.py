@@ -24,7 +24,9 @@ STEPS, MODE, LEAST = 1000, 680, 170
 RANGE_DOCS, RANGES = 4096, 65_536
 #: Bytes that are handled at once; a longer text by itself.
 CHUNK = 1 << 18
-_PLUS = np.r_[0.0, np.arange(1, 66) * np.log2(np.arange(1, 66))]
+#: n * log2(n) in units of 1 / ONE, as whole numbers, so that sums are exact whatever stands before a text.
+ONE = 1 << 32
+_PLUS = np.r_[0, np.rint(np.arange(1, 66) * np.log2(np.arange(1, 66)) * ONE)].astype(np.int64)
 _GAIN = np.diff(_PLUS)
 _INVALID = 1 << 30
 _ODD = np.random.RandomState(97).randint(0, 2**63, 8, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,8 +56,9 @@ def ranks(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     start = np.bincount(data[:WINDOW], minlength=256)
     # a byte that comes stands among the 63 before it and itself; one that leaves, among itself and the 63 after it
     moves = _GAIN[count_behind[WINDOW:] - 1] - _GAIN[count_ahead[: n - WINDOW] - 1]
-    sums = _PLUS[start].sum() + np.r_[0.0, np.cumsum(moves)]
-    step = np.rint((math.log2(WINDOW) - sums / WINDOW) * (STEPS / math.log2(WINDOW))).astype(np.int32)
+    sums = _PLUS[start].sum() + np.r_[0, np.cumsum(moves)]
+    most = WINDOW * (WINDOW.bit_length() - 1) * ONE  # of a window without a repeated byte
+    step = ((2 * STEPS * (most - sums) + most) // (2 * most)).astype(np.int32)
     rank = np.where(step < LEAST, -1, np.maximum(0, 999 - np.abs(step - MODE))).astype(np.int16)
     out[: len(rank)] = rank
     ends = np.cumsum(sizes)

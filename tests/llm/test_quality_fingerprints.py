@@ -189,6 +189,15 @@ def test_entropy_ranks_against_plain_counts():
         assert abs(int(got[k]) - want) <= 1
 
 
+def test_a_text_has_its_ranks_in_any_company():
+    rnd = random.Random(41)
+    texts = [np.array([rnd.choice([65, 66, 67, 68, 69]) if rnd.random() < 0.6 else rnd.randrange(256) for _ in range(rnd.randrange(64, 400))], np.uint8) for _ in range(200)]
+    line, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    got = np.split(fingerprints.ranks(line, sizes), np.cumsum(sizes)[:-1])
+    for t, r in zip(texts, got, strict=True):
+        assert (fingerprints.ranks(t, np.array([len(t)])) == r).all()
+
+
 def test_likeness_follows_common_text(make):
     rnd = random.Random(12)
     words = [f"word{rnd.randrange(5000)}" for _ in range(2000)]
