@@ -56,7 +56,8 @@ def lexical_terms(text: Column) -> Column:
         return F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substr(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
     grams = F.flatten(F.transform(runs, lambda r: F.concat(ngrams(r, 2), ngrams(r, 3))))
-    return F.concat(F.regexp_extract_all(low, F.lit(f"({WORD})"), F.lit(1)), grams)
+    words = F.regexp_extract_all(low, F.lit(f"({WORD})"), F.lit(1))
+    return F.when(low.rlike(CJK), F.concat(words, grams)).otherwise(words)
 
 
 def kgram_coverage(a: Column, b: Column, k: int = 12) -> Column:
@@ -110,7 +111,6 @@ def best_source(srcset: Column) -> Column:
 
     def weight(p: Column) -> Column:
         d = F.coalesce(F.get(p, 1), F.lit(""))
-        number = F.expr("try_cast('0' as double)")
         number = F.regexp_extract(d, r"^([0-9.]+)[wx]$", 1).try_cast("double")
         return F.coalesce(F.when(d.endswith("x"), number * 1000).otherwise(number), F.lit(0.0))
 

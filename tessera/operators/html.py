@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -17,6 +18,8 @@ DROPPED = frozenset("script style noscript template iframe svg nav footer header
 HINTS = re.compile(r"footer|sidebar|toc|comment|advert|\bad\b|banner|breadcrumb|cookie|promo|related|share|social|menu|navbar|popup|subscribe|newsletter|pagination", re.I)
 BLOCKS = frozenset("p div section article main h1 h2 h3 h4 h5 h6 ul ol pre blockquote table figure hr li".split())
 LEAST = 100
+#: Elements nested deeper lie beside each other, as browsers lay them; most columns and rows of a cell (HTML's own limits).
+DEPTH, COLUMNS, ROWS = 150, 1000, 65534
 
 
 class Node:
@@ -35,16 +38,22 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("root", {})
         self.open = [self.root]
+        self.flat: Counter[str] = Counter()  # open elements that are too deep to hold others
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("p", "li") and self.open[-1].tag == tag:
             self.open.pop()
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and len(self.open) < DEPTH:
             self.open.append(node)
+        elif tag not in VOID:
+            self.flat[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
+        if self.flat[tag] > 0:
+            self.flat[tag] -= 1
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
                 del self.open[k:]
@@ -95,17 +104,31 @@ def folded(text: str) -> str:
     return re.sub(r" ?\n ?", "\n", re.sub(r"[ \t\r\f]+", " ", text)).strip()
 
 
+def absolute(base: str, url: str) -> str:
+    """A url made absolute; one that can't be read stays as it is."""
+    try:
+        return urljoin(base, url)
+    except ValueError:
+        return url
+
+
+def span(node: Node, name: str, most: int) -> int:
+    """A cell's span, 1 where it isn't a positive number."""
+    value = node.attrs.get(name, "").strip()
+    return min(most, max(1, int(value[:9]))) if re.fullmatch("[0-9]+", value) else 1
+
+
 def image(node: Node, base: str) -> str:
     """A Markdown image whose url is made absolute; of a srcset the largest."""
     best, size = node.attrs.get("src", ""), -1.0
     for part in node.attrs.get("srcset", "").split(","):
         bits = part.split()
         if bits:
-            m = re.fullmatch(r"([0-9.]+)([wx])", bits[1]) if len(bits) > 1 else None
+            m = re.fullmatch(r"([0-9]+(?:\.[0-9]*)?|\.[0-9]+)([wx])", bits[1]) if len(bits) > 1 else None
             weight = float(m[1]) * (1000 if m[2] == "x" else 1) if m else 0.0
             if weight > size:
                 best, size = bits[0], weight
-    url = urljoin(base, best)
+    url = absolute(base, best)
     return f"![{node.attrs.get('alt', '')}](object://{hashlib.sha1(url.encode()).hexdigest()[:12]})" if best else ""
 
 
@@ -121,7 +144,7 @@ def inline(node: Node | str, base: str) -> str:
     marks = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`"}.get(node.tag)
     if marks and body.strip():
         return f"{marks}{body.strip()}{marks}"
-    return f"[{folded(body)}]({urljoin(base, node.attrs['href'])})" if node.tag == "a" and node.attrs.get("href") and body.strip() else body
+    return f"[{folded(body)}]({absolute(base, node.attrs['href'])})" if node.tag == "a" and node.attrs.get("href") and body.strip() else body
 
 
 def cell(node: Node, base: str) -> str:
@@ -152,10 +175,9 @@ def table(node: Node, base: str) -> str:
                 k += 1
                 continue
             value = cell(c, base)
-            span = lambda name: max(1, int(c.attrs[name])) if c.attrs.get(name, "").isdigit() else 1  # noqa: B023, E731
-            for _ in range(span("colspan")):
+            for _ in range(span(c, "colspan", COLUMNS)):
                 line.append(value)
-                carried[k] = (span("rowspan") - 1, value)
+                carried[k] = (span(c, "rowspan", ROWS) - 1, value)
                 k += 1
         grid.append(line)
     if not grid:
@@ -218,9 +240,13 @@ def blocks(node: Node, base: str) -> list[str]:
 
 
 def render(html: str | None, url: str | None) -> tuple[str | None, str, str | None]:
-    """Markdown, which part was taken, and an error for pages with too little content."""
+    """Markdown, which part was taken, and an error for pages with too little content or that can't be read at all."""
     tree = _Tree()
-    tree.feed(html or "")
+    try:
+        tree.feed(html or "")
+        tree.close()
+    except (AssertionError, ValueError):
+        return None, "none", "unreadable"
     cleaned(tree.root)
     part, level = main_part(tree.root)
     if len(re.sub(r"\s+", "", text_of(part))) < LEAST:

@@ -1,4 +1,4 @@
-"""Pipeline state as a fold over events: stages, retries, idempotency, circuit breaker, slots, configs, usage."""
+"""Pipeline state as a fold over events: stages, retries, idempotency, configs, usage."""
 
 from __future__ import annotations
 
@@ -71,43 +71,6 @@ def new_tasks(arrived: DataFrame, known: DataFrame) -> DataFrame:
     return latest(arrived, ["task_id"], [F.col("seq")]).join(known.select("task_id"), "task_id", "left_anti")
 
 
-def breaker(outcomes: DataFrame, failures: int = 5, cooldown_s: float = 30.0, probes: int = 3, successes: int = 2) -> DataFrame:
-    """A circuit breaker replayed for each key over its outcomes (key, events: array<struct(t, ok)> in order): state after each.
-
-    Closed opens after `failures` in a row; open lets calls through as probes after the cooldown; half-open closes after
-    `successes`, opens on a failure, and rejects beyond `probes` calls.
-    """
-    zero = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("bad"), F.lit(0).alias("good"), F.lit(0).alias("tried"), F.lit(0.0).alias("since"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, e: Column) -> Column:
-        waited = (a["state"] == "open") & (e["t"] - a["since"] >= cooldown_s)
-        state = F.when(waited, "half_open").otherwise(a["state"])
-        good, tried = F.when(waited, 0).otherwise(a["good"]), F.when(waited, 0).otherwise(a["tried"])
-        rejected = (state == "open") | ((state == "half_open") & (tried >= probes))
-        closes = (state == "half_open") & e["ok"] & (good + 1 >= successes)
-        opens = ((state == "half_open") & ~e["ok"]) | ((state == "closed") & ~e["ok"] & (a["bad"] + 1 >= failures))
-        after = F.when(rejected, state).when(closes, "closed").when(opens, "open").otherwise(state)
-        bad = F.when(rejected, a["bad"]).when(e["ok"] | closes, 0).otherwise(a["bad"] + 1)
-        return F.struct(
-            after.alias("state"), bad.alias("bad"), F.when(rejected, good).when(e["ok"] & (state == "half_open"), good + 1).otherwise(good).alias("good"),
-            F.when(rejected | (state != "half_open"), tried).otherwise(tried + 1).alias("tried"), F.when(~rejected & opens, e["t"]).otherwise(a["since"]).alias("since"),
-            F.concat(a["out"], F.array(F.when(rejected, "rejected").otherwise(after))).alias("out"),
-        )
-
-    return outcomes.withColumn("states", F.aggregate("events", zero, step)["out"])
-
-
-def slots(changes: Column, most: int = 3) -> Column:
-    """Whether each +1 (acquire) or -1 (release) of an ordered array goes through, with at most `most` held and never below 0."""
-    zero = F.struct(F.lit(0).alias("held"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(a: Column, c: Column) -> Column:
-        ok = (c < 0) | (a["held"] < most)
-        return F.struct(F.when(c < 0, F.greatest(F.lit(0), a["held"] - 1)).when(ok, a["held"] + 1).otherwise(a["held"]).alias("held"), F.concat(a["out"], F.array(ok)).alias("out"))
-
-    return F.aggregate(changes, zero, step)["out"]
-
-
 def usage_summary(log: DataFrame, user_id: int | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Calls and token sums of a usage log; days `start` to `end`, both in."""
     log = _between(log if user_id is None else log.where(F.col("user_id") == user_id), start, end)
@@ -121,6 +84,16 @@ def usage_by_day(log: DataFrame, start: str | None = None, end: str | None = Non
     return _between(log, start, end).groupBy("user_id", day).agg(F.count("*").alias("calls"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"))
 
 
+def usage_listing(log: DataFrame, user_id: int | None = None, start: str | None = None, end: str | None = None, limit: int = 100) -> DataFrame:
+    """Rows of a usage log, newest first, 1,000 at most."""
+    return _between(log if user_id is None else log.where(F.col("user_id") == user_id), start, end).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(min(limit, 1000))
+
+
+def usage_rows(calls: DataFrame) -> DataFrame:
+    """Calls as rows to append to a usage log, tokens that aren't known as 0."""
+    return calls.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("prompt_tokens", "completion_tokens", "total_tokens")})
+
+
 def _between(log: DataFrame, start: str | None, end: str | None) -> DataFrame:
     if start is not None:
         log = log.where(F.col("created_at") >= F.lit(start).cast("date").cast("timestamp"))

@@ -14,7 +14,7 @@ TOP_K = 20
 
 def coarse(text: Column) -> Column:
     """Search tokens as white space parts them, in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([^ \\t\\n\\r\\f]+)"), F.lit(1))
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t\\n\\r\\f]+", -1), lambda w: w != "")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,9 @@ def _bm25(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ("dataset_id",
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = retrieval.lexical_vectors(_chunks(spark, sf_dir), "chunk_id", carry=("doc_id", "dataset_id"))
-    return retrieval.sparse(retrieval.lexical_vectors(_asked(spark, sf_dir), "query_id"), index, TOP_K)
+    asked = retrieval.lexical_vectors(_asked(spark, sf_dir), "query_id")
+    index = retrieval.lexical_vectors(_chunks(spark, sf_dir), "chunk_id", carry=("doc_id", "dataset_id"), only=asked)
+    return retrieval.sparse(asked, index, TOP_K)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

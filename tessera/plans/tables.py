@@ -14,7 +14,6 @@ from tessera.session import table
 
 #: The moment that the chunk queries take as now, in seconds.
 NOW = 1_700_000_000
-SHORT_STAGES = S.STAGES
 
 
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,23 +108,6 @@ def new_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.new_tasks(e.where("event_type = 'signup'").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq")), e.where("event_type = 'purchase' and value > 98").select(F.col("user_id").alias("task_id")))
 
 
-def slot_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots of each user replayed over the event log: clicks and views take one, others give it back."""
-    e = table(spark, sf_dir, "events")
-    change = F.when(F.col("event_type").isin("click", "view"), 1).otherwise(-1)
-    listed = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", change.alias("c")))).alias("h"))
-    taken = listed.select("user_id", F.size("h").cast("long").alias("calls"), S.slots(F.col("h.c")).alias("ok"))
-    return taken.select("user_id", "calls", F.size(F.filter("ok", lambda x: ~x)).cast("long").alias("rejected"))
-
-
-def breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A circuit breaker for each user replayed over the event log."""
-    e = table(spark, sf_dir, "events")
-    listed = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("event_type") != "error").alias("ok")))).alias("h"))
-    events = listed.select("user_id", F.transform("h", lambda x: F.struct((F.unix_micros(x["ts"].cast("timestamp")).cast("double") / 1e6).alias("t"), x["ok"])).cast("array<struct<t:double,ok:boolean>>").alias("events"))
-    return S.breaker(events, failures=2, cooldown_s=3600.0).select("user_id", F.array_join("states", ",").alias("states"))
-
-
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return C.drafts(
@@ -238,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_estimate, text_digests, user_buckets, kgram_coverage, table_shapes, usage_summary, usage_by_day, latest_event, config_merge, stage_fold, task_rows, retry_lineage, new_tasks,
-        slot_replay, breaker_replay, chunk_drafts, chunk_actions, chunk_status, chunk_candidates, chunk_stale, chunk_repairs, chunk_delete, chunk_marks, chunk_validation, bulk_batches,
+        chunk_drafts, chunk_actions, chunk_status, chunk_candidates, chunk_stale, chunk_repairs, chunk_delete, chunk_marks, chunk_validation, bulk_batches,
         adjacent_distances, provider_models, tenant_join,
     )
 }
@@ -280,11 +262,6 @@ ORACLES = {
         SELECT r.task_id, retry_of_task_id, {", ".join(f"CASE WHEN {s} = 'SUCCESS' THEN 'SUCCESS' ELSE 'PENDING' END AS {s}" for s in _NAMES)}, {_RECOVER} AS recover_from_stage
         FROM r JOIN wide ON wide.task_id = retry_of_task_id""",
     "new_tasks": "SELECT user_id AS task_id, min(event_id) AS seq FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 98) GROUP BY user_id",
-    "slot_replay": """WITH RECURSIVE e AS (SELECT user_id, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-        r AS (SELECT user_id, CAST(0 AS BIGINT) AS k, 0 AS held, 0 AS rejected FROM e WHERE k = 1
-            UNION ALL SELECT r.user_id, e.k, CASE WHEN c < 0 THEN greatest(0, held - 1) WHEN held < 3 THEN held + 1 ELSE held END, rejected + CASE WHEN c > 0 AND held >= 3 THEN 1 ELSE 0 END
-            FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
-        SELECT user_id, max(k) AS calls, CAST(max(rejected) AS BIGINT) AS rejected FROM r GROUP BY user_id""",
     "chunk_drafts": f"WITH {_CH} SELECT chunk_id, doc_id, chunk_index, content_hash, chunk_type, 'PENDING' AS dense_vector_status, 'ACTIVE' AS lifecycle_status FROM c",
     "chunk_actions": f"""WITH {_CH}, j AS (SELECT c.doc_id, CASE WHEN NOT act THEN 'insert' WHEN c.chunk_index % 3 = 0 AND sha256(upper(c.content)) <> c.content_hash THEN 'reindex'
         WHEN c.chunk_index % 3 = 1 THEN 'metadata' ELSE 'noop' END AS action FROM c JOIN t USING (chunk_id)) SELECT doc_id, action, count(*) AS chunks FROM j GROUP BY ALL""",
