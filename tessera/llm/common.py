@@ -16,8 +16,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests, a laptop) a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints").rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir. A local session (tests, a laptop) may do without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+    return (folder or "/tmp/checkpoints").rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
