@@ -18,8 +18,8 @@ K, SKETCHES, TAKEN = 5, 48, 2
 SIMILARITY = 0.8
 #: How many turns lie between the two sketches by which texts are paired again, round by round.
 STEPS = (5, 11)
-#: Buckets of a bag of words, its fullest bucket, and texts in a block of those that share a sketch.
-BUCKETS, FULL, BLOCK = 256, 255, 1000
+#: Texts and words, at most about, in a block of those that share a sketch.
+BLOCK, BLOCK_WORDS = 4000, 2_000_000
 #: So many tasks share the texts of one class when they are told its head.
 SALTS = 16
 KEY = ["key_hash", "key_crc", "key_bytes"]
@@ -51,14 +51,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def labelled_kmers(hashed: np.ndarray) -> np.ndarray:
+def labelled_kmers(hashed: np.ndarray, k: int = K) -> np.ndarray:
     """Hashes of all k-mers of a sequence of words, told apart by which occurrence in the text each is.
 
-    A text of fewer than K words is one k-mer.
+    A text of fewer than k words is one k-mer.
     """
-    n = max(1, len(hashed) - K + 1)
+    n = max(1, len(hashed) - k + 1)
     total = np.zeros(n, np.uint64)
-    for j in range(min(K, len(hashed))):
+    for j in range(min(k, len(hashed))):
         total += hashed[j : j + n] * _POWERS[j]
     kmers = mixed(total)
     order = np.argsort(kmers, kind="stable")
@@ -203,56 +203,83 @@ def _apart(distinct: DataFrame, labels: DataFrame, step: int) -> DataFrame:
     return apart.select(F.least("tid", "hub").alias("a"), F.greatest("tid", "hub").alias("b")).distinct()
 
 
-def word_bags(texts: DataFrame) -> DataFrame:
-    """(tid, n, bag): the number of words of each text of `texts` (tid, text) and how many fall into each of BUCKETS.
-
-    If a bucket is more than FULL, all are said to be: such a bag keeps no text out.
-    """
+def worded(texts: DataFrame) -> DataFrame:
+    """(tid, n, held): the number of words of each text of `texts` (tid, text) with any, and 16 bits of each word's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for b in batches:
-            sizes, bags = [], []
-            for t in b.column(1).to_pylist():
-                hashed = np.array([known[w] for w in words(t)], np.uint64)
-                bag = np.bincount((hashed % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                bags.append((bag if bag.max() < FULL else np.full(BUCKETS, FULL)).astype(np.uint8).tobytes())
-                sizes.append(len(hashed))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(bags, pa.binary())], ["tid", "n", "bag"])
+            hashed = [np.array([known[w] for w in words(t)], np.uint64).astype(np.uint16) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in hashed], pa.int64()), pa.array([h.tobytes() for h in hashed], pa.binary())], ["tid", "n", "held"])
+
+    return texts.select("tid", "text").mapInArrow(run, "tid long, n long, held binary")
 
-    return texts.select("tid", "text").mapInArrow(run, "tid long, n long, bag binary")
+
+def possible(sketch: int, rows: list[list], least: float) -> Iterator[tuple[int, int]]:
+    """Pairs of ids of one group that could be alike. A row is tid, label, n, late, part, held, shared.
+
+    Pairs have different labels, are not both early, are of different parts if the group has two, and have `sketch` as the
+    least of those that they share, so that no other group tries them. If L words of two texts align, at least 3 L - 1 less
+    both lengths are followed by the next aligned word in both, so the texts have as many word pairs in common, and L words;
+    those that have are aligned. Words of equal hash only let more through.
+    """
+    rows = sorted(rows, key=lambda r: r[2])
+    tid, label, n, late, part = (np.array(x) for x in list(zip(*rows, strict=True))[:5])
+    spelt = [np.frombuffer(r[5], np.uint16) for r in rows]
+    shared = [set(r[6]) for r in rows]
+    runs = []  # of one word and of two: each text's, all in one array, and where each begins
+    for size in (1, 2):
+        own = [labelled_kmers(w.astype(np.uint64), size).astype(np.uint16) for w in spelt]
+        runs.append((own, np.concatenate(own), np.r_[0, np.cumsum([len(x) for x in own])]))
+    two = part.min() != part.max()
+    upto = np.searchsorted(n, n / least + 1e-6, "right") if least > 0 else np.full(len(n), len(n))
+    first_late = len(n) - int(late.sum())  # the late ones are the longer ones
+    has = np.zeros(1 << 16, np.uint8)
+    for k in range(len(n) - 1):
+        low = max(k + 1, 0 if late[k] else first_late)
+        differs = label[low : upto[k]] != label[k]
+        rest = np.flatnonzero(differs & (part[low : upto[k]] != part[k]) if two else differs) + low
+        if len(rest) == 0:
+            continue
+        low, high = rest[0], rest[-1] + 1
+        aligned = np.ceil(least * n[rest] - 1e-9)
+        could = np.ones(len(rest), bool)
+        for (own, flat, at), need in zip(runs, (aligned, 3 * aligned - 1 - n[rest] - n[k]), strict=True):
+            has[own[k]] = 1
+            common = np.add.reduceat(has[flat[at[low] : at[high]]], at[low:high] - at[low], dtype=np.int64)
+            has[own[k]] = 0
+            could &= common[rest - low] >= need
+        own = spelt[k].tolist()
+        for r in rest[could]:
+            if min(shared[k] & shared[r]) == sketch and (least <= 0 or similarity(own, spelt[r].tolist(), least) > 0):
+                yield min(tid[k], tid[r]), max(tid[k], tid[r])
 
 
 def _untried(distinct: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """All pairs (a, b) of texts that have a sketch in common, aren't connected yet and could be alike.
 
     Only sketches with several components are looked at. Nothing that could be alike is left out: of two alike texts the
-    shorter has `least` of the longer's words, so both stand in one of two neighbouring bands of lengths, and their bags
-    have as many words in common. Texts of a sketch and band are dealt to blocks of BLOCK or so, each pair of blocks by
-    itself, so that no group is gathered and no pair is a row before it passes.
+    shorter has `least` of the longer's words, so both stand in one of two neighbouring bands of lengths, and hashes of their
+    words align as well (see `possible`). Texts of a sketch and band are dealt to blocks of BLOCK texts or
+    BLOCK_WORDS words or so, each pair of blocks by itself, so that no group is gathered and no pair is a row before it
+    passes.
     """
     known = distinct.join(labels.withColumnRenamed("v", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     entries = known.select("tid", "label", F.explode(F.array_distinct("sketches")).alias("sketch"))
     several = entries.groupBy("sketch").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sketch")
     left = cut_lineage(entries.join(several, "sketch"))
-    sized = cut_lineage(word_bags(texts.join(left.select("tid").distinct(), "tid", "left_semi")))
-    band = F.floor(F.log("n") / F.lit(-np.log(min(least, 0.99)))) if least > 0 else F.lit(0)
+    shared = left.groupBy("tid").agg(F.collect_list("sketch").alias("shared"))  # SKETCHES at most
+    sized = cut_lineage(worded(texts.join(shared, "tid", "left_semi")).join(shared, "tid"))
+    band = F.floor(F.log("n") / F.lit(-np.log(min(least, 0.99)))) if least > 0 else F.lit(0).cast("long")
     banded = left.join(sized.select("tid", "n", band.alias("at")), "tid").withColumn("band", F.explode(F.array("at", F.col("at") + 1)))
-    counts = banded.groupBy("sketch", "band").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
-    blocked = banded.join(counts.where("low <> high").select("sketch", "band", F.ceil(F.col("m") / BLOCK).alias("blocks")), ["sketch", "band"])
+    needed = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_WORDS))
+    counts = banded.groupBy("sketch", "band").agg(needed.alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("at").alias("most"))
+    # a band without texts that are late in it has no pair of its own: they meet in the band before
+    blocked = banded.join(counts.where("low <> high and most = band").select("sketch", "band", "blocks"), ["sketch", "band"])
     blocked = blocked.withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = ["sketch", "band", "i", "j"]
-    dealt = blocked.select("sketch", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "label", "n").join(sized.select("tid", "bag"), "tid")
-    dealt = dealt.select(*keys, "tid", "label", "n", "bag").repartition(*keys).sortWithinPartitions(*keys)
-
-    def pairs(tid: np.ndarray, label: np.ndarray, n: np.ndarray, bags: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for k in range(len(tid) - 1):
-            rest = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
-            need = least * np.maximum(n[rest], n[k]) - 1e-9
-            rest, need = rest[np.minimum(n[rest], n[k]) >= need], need[np.minimum(n[rest], n[k]) >= need]
-            rest = rest[np.minimum(bags[rest], bags[k]).sum(1, dtype=np.int64) >= need]
-            if len(rest):
-                yield np.minimum(tid[rest], tid[k]), np.maximum(tid[rest], tid[k])
+    placed = blocked.select("sketch", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", (F.col("at") == F.col("band")).alias("late"), "tid", "label", "n")
+    dealt = placed.join(sized.select("tid", "held", "shared"), "tid").select(*keys, "tid", "label", "n", "late", "own", "held", "shared").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -264,13 +291,11 @@ def _untried(distinct: DataFrame, labels: DataFrame, texts: DataFrame, least: fl
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
             stop = len(key) if b is None else starts[-1]  # the last group may go on in the next batch
             if stop:
-                part = whole.slice(0, stop)
-                tid, label, n = (part.column(c).to_numpy() for c in (4, 5, 6))
-                bags = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint8).reshape(-1, BUCKETS)
-                for lo, hi in zip(starts[starts < stop], np.r_[starts[1:], len(key)], strict=False):
-                    found = list(pairs(tid[lo:hi], label[lo:hi], n[lo:hi], bags[lo:hi]))
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+                done = whole.slice(0, stop)
+                rows = list(zip(*[done.column(c).to_pylist() for c in range(4, 11)], strict=True))
+                found = [p for lo, hi in zip(starts[starts < stop], np.r_[starts[1:], len(key)], strict=False) for p in possible(int(key[lo, 0]), rows[lo:hi], least)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
             held = whole.slice(stop)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -289,8 +314,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     lot, so that a sketch with m texts gives m - 1 pairs and no group is gathered. Pairs are verified by banded alignment:
     `least` of the longer text's words must align. Texts that have two sketches in common but still lie in different
     components are then paired again, once for each of STEPS. What still lies in different components of one sketch is
-    compared pair by pair, unless lengths or bags of words show that it can't be alike, so that no text hides a link of
-    others. Classes are connected components; class_id is the least doc_id in the class, n_links the number of verified
+    compared pair by pair, unless lengths or word pairs show that it can't be alike, so that no text hides a link of others. Classes are connected components; class_id is the least doc_id in the class, n_links the number of verified
     pairs of the text. class_doc and class_key_* name one row of the class to keep.
 
     Texts of 100 to 1,000 words that differ in words drawn by lot were found (tests/llm) in all cases where 0.9 of the
