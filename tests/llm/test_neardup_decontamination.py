@@ -54,6 +54,20 @@ def test_alignment_against_the_full_table():
         assert neardup.similarity(a, b) == (want if want >= 0.8 - 1e-9 else 0.0)
 
 
+def test_possible_loses_no_alike_pair():
+    rnd = random.Random(11)
+    known = neardup._Hashes()
+    base = prose(rnd, 120)
+    texts = [edited(rnd, base, s) for s in (0.0, 0.04, 0.08, 0.12, 0.16, 0.2, 0.3, 0.5)] + [base[:96], base[:95], base * 2, base[:1], ["x"], prose(rnd, 118)]
+    rows = [[k, k, len(t), True, 0, np.array([known[w] for w in t], np.uint64).astype(np.uint16).tobytes(), [7, 9]] for k, t in enumerate(texts)]
+    alike = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if lcs(texts[a], texts[b]) >= 0.8 * max(len(texts[a]), len(texts[b])) - 1e-9}
+    found = list(neardup.possible(7, rows, 0.8))
+    assert len(found) == len(set(found)) and {(int(a), int(b)) for a, b in found} == alike and alike
+    assert not list(neardup.possible(9, rows, 0.8))  # the lesser sketch of both tries them
+    parts = [[*r[:4], r[0] % 2, *r[5:]] for r in rows]
+    assert {(int(a), int(b)) for a, b in neardup.possible(7, parts, 0.8)} == {(a, b) for a, b in alike if a % 2 != b % 2}
+
+
 def test_classes_against_all_pairs(make):
     rows = planted()
     got = {r.doc_id: r for r in neardup.near_duplicates(make(rows)).collect()}
