@@ -22,6 +22,31 @@ def truncate_tokens(text: Column, most: Column) -> Column:
     return F.when(most <= 0, "").when(count <= most, text).otherwise(F.substring(text, F.lit(1), cut))
 
 
+def first_tokens(text: Column, most: Column) -> Column:
+    """The beginning of a text, of about `most` tokens, ends stripped."""
+    return F.when(most <= 0, "").otherwise(strip(truncate_tokens(F.coalesce(text, F.lit("")), most)))
+
+
+def last_tokens(text: Column, most: int) -> Column:
+    """The longest end of a text that is estimated at `most` tokens or fewer and begins with no blank; its last character at least.
+
+    A character weighs a quarter of a token at least, so that no more than 4 * (most + 1) characters are looked at.
+    """
+    bare = strip(F.coalesce(text, F.lit("")))
+    if most <= 0:
+        return F.when(F.lit(True), "")
+    quarters = 4 * (most + 1)
+    tail = F.reverse(F.split(F.right(bare, F.lit(quarters)), ""))
+    start = F.struct(F.lit(0).alias("weight"), F.lit(0).alias("taken"))
+
+    def step(s: Column, c: Column) -> Column:
+        weight = s["weight"] + F.when(c.rlike("^[\\x00-\\x7F]"), 1).otherwise(8)
+        return F.struct(weight.alias("weight"), F.when(weight < quarters, s["taken"] + 1).otherwise(s["taken"]).alias("taken"))
+
+    fits = F.greatest(F.lit(1), F.aggregate(tail, start, step)["taken"])
+    return F.when(estimate_tokens(bare) <= most, bare).otherwise(strip(F.right(bare, fits)))
+
+
 def available_tokens(model: Column, context: Column, system: Column, reserved: Column) -> Column:
     """Tokens that a model's window leaves, not below 0."""
     return F.greatest(F.lit(0), model - context - system - reserved)
@@ -118,6 +143,58 @@ def best_source(srcset: Column) -> Column:
     return F.aggregate(ranked, F.struct(F.lit(-1.0).alias("w"), F.lit(None).cast("string").alias("u")), lambda a, x: F.when(x["w"] > a["w"], x).otherwise(a))["u"]
 
 
+#: How a line begins or ends that is taken for a heading.
+HEADING_STARTS = ["第", "一", "二", "三", "四", "五", "六", "七", "八", "九"]
+HEADING_ENDS = ["方案", "策略", "总结", "问题", "优化", "处理"]
+
+
+def heading_like(text: Column, most: int = 30) -> Column:
+    """Whether a block of a page without headings reads as one: short, and with a heading's beginning or end."""
+    bare = F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(""))
+    return (F.length(bare) <= most) & bare.rlike(f"(?s)^(?:{'|'.join(HEADING_STARTS)})|(?:{'|'.join(HEADING_ENDS)})\\z")
+
+
+def without_picture_text(markdown: Column) -> Column:
+    """Markdown without the text that was read off its pictures."""
+    mark = r"\*\*-----\s*{} of picture text\s*-----\*\*<br>"
+    return clean_markdown(F.regexp_replace(markdown, f"(?is){mark.format('Start')}\\s*.*?{mark.format('End')}", ""))
+
+
+def masked_key(key: Column) -> Column:
+    """A secret key with only its first and last four characters; one of eight or fewer is masked whole."""
+    return F.when(F.length(key) <= 8, "****").otherwise(F.concat(F.left(key, F.lit(4)), F.lit("****....****"), F.right(key, F.lit(4))))
+
+
+def sealed(value: Column, key: Column) -> Column:
+    """A value encrypted by AES (GCM, an own random vector each), in base 64. The key has 16, 24 or 32 bytes."""
+    return F.base64(F.aes_encrypt(value, key, F.lit("GCM")))
+
+
+def opened(value: Column, key: Column) -> Column:
+    """What `sealed` encrypted; null if key or value are wrong."""
+    return F.try_aes_decrypt(F.unbase64(value), key, F.lit("GCM")).cast("string")
+
+
+def canonical_name(name: Column, aliases: dict[str, str], default: str) -> Column:
+    """A name in lower case by its aliases; `default` for none."""
+    low = F.lower(F.coalesce(F.nullif(name, F.lit("")), F.lit(default)))
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else None
+    return low if known is None else F.coalesce(known[low], low)
+
+
+def first_line(text: Column) -> Column:
+    """The first line that isn't blank, stripped; empty if there is none."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), strip), lambda x: x != "")
+    return F.coalesce(F.get(lines, 0), F.lit(""))
+
+
+def image_key(prefix: Column, name: Column) -> Column:
+    """Where an image of a document is stored: beside the document, in image/ and a folder named as it is, its suffix off."""
+    stem = F.regexp_replace(F.regexp_extract(prefix, "([^/]*)$", 1), r"(?<=.)\.[^.]+$", "")
+    parent = F.regexp_extract(prefix, "^(.*/)[^/]*$", 1)
+    return F.concat(parent, F.lit("image/"), stem, F.lit("/"), name)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays, in order."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

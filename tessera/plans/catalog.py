@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import documents, retrieval, services, tables
+from tessera.plans import documents, indexing, retrieval, services, tables
 
-_MODULES: list = [documents, retrieval, services, tables]
+_MODULES: list = [documents, indexing, retrieval, services, tables]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
