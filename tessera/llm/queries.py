@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.alignment import alignment
 from tessera.llm.common import read
 from tessera.llm.decontamination import leaks
 from tessera.llm.fingerprints import fingerprints
@@ -15,8 +16,10 @@ from tessera.llm.mixing import mix
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.pii import KINDS, digest, personal_data
 from tessera.llm.quality import quality
+from tessera.llm.resampling import resampled
 from tessera.llm.secrets import secrets
 from tessera.llm.sharding import shard_by_bytes
+from tessera.llm.tokens import decoded, encoded
 from tessera.llm.urls import judge_urls
 
 #: Fixed values of the URL query: (host, path, verdict).
@@ -96,6 +99,24 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies lie on each other in all documents, and how widely each document's links are shared."""
+    return alignment(read(spark, sf_dir, "documents"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in ids of the byte-level vocabulary, and back."""
+    tokens = encoded(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "token_ids")
+    back = decoded(tokens)
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
+    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of all documents, drawn by how much their words speak for the benchmark's."""
+    return resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_decontamination": op2_decontamination,
@@ -107,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_pii": op9_pii,
     "op10_licenses": op10_licenses,
+    "op11_alignment": op11_alignment,
+    "op12_bpe": op12_bpe,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLES: dict[str, str | None] = {
