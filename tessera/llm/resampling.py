@@ -19,7 +19,7 @@ from tessera.llm.tokens import lists, pieces
 #: Buckets of features; words in the longest run; words that a document needs to be drawn; percent drawn; seed; smoothing.
 BUCKETS, RUN, WORDS, PERCENT, SEED = 10_000, 2, 20, 25, 7
 #: Rows and stored numbers of a block of the matrix at most (a row holds at most as many as there are buckets).
-BLOCK_ROWS, BLOCK_COUNTS = 2048, 1 << 20
+BLOCK_ROWS, BLOCK_COUNTS = 1024, 1 << 17
 #: Bytes of a text whose words are held at once.
 STRETCH = 1 << 20
 #: Lower case for A-Z; a space for every other ASCII character that is no digit or letter.
@@ -67,13 +67,13 @@ def matrix(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     docs = docs.select(*keep, F.col(text).alias("_text"))
     at = len(keep)
     schema = T.StructType(
-        [*[T.StructField(f.name, T.ArrayType(f.dataType)) for f in docs.schema.fields[:at]], T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.IntegerType())), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))]
+        [*[T.StructField(f.name, T.ArrayType(f.dataType)) for f in docs.schema.fields[:at]], T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.IntegerType())), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
     )
 
     def block(kept: list[pa.Array], rows: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
         whole = [pa.concat_arrays(list(parts)) for parts in zip(*kept, strict=True)]
         ends = np.cumsum([0, *[len(r[0]) for r in rows]])
-        columns = [*[pa.ListArray.from_arrays(pa.array([0, len(w)], pa.int32()), w) for w in whole], lists([np.array([r[2] for r in rows], np.int32)]), lists([ends.astype(np.int32)]), lists([np.concatenate([r[0] for r in rows])]), lists([np.concatenate([r[1] for r in rows])])]
+        columns = [*[pa.ListArray.from_arrays(pa.array([0, len(w)], pa.int32()), w) for w in whole], lists([np.array([r[2] for r in rows], np.int32)]), lists([ends.astype(np.int32)]), lists([np.concatenate([r[0] for r in rows])]), lists([np.concatenate([r[1] for r in rows]).astype(np.int32)])]
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +99,7 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             at, n = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()
-            np.add.at(total, at, n)
+            total += np.bincount(at, n, buckets).astype(np.int64)  # of a batch, exact in doubles
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
