@@ -51,17 +51,17 @@ def _take_large(aims: DataFrame, sized: DataFrame, by_bucket: DataFrame) -> Data
     In the order of their draws, each is taken if it still fits in the large documents' share of the fraction.
     """
     others = by_bucket.groupBy(F.col("source").alias("os")).agg(F.sum("words").alias("others"))
-    listed = sized.where("large").groupBy(F.col("source").alias("ls")).agg(F.array_sort(F.collect_list(F.struct(F.col("_draw").alias("draw"), F.col("_words").alias("size")))).alias("listed"))
+    listed = sized.where("large").groupBy(F.col("source").alias("ls")).agg(F.array_sort(F.collect_list(F.struct(F.col("_draw").alias("draw"), F.col("_row").alias("row"), F.col("_words").alias("size")))).alias("listed"))
     both = aims.join(others, F.col("source").eqNullSafe(F.col("os")), "left").join(listed, F.col("source").eqNullSafe(F.col("ls")), "left")
     share = F.col("rest") - F.coalesce("others", F.lit(0)) * F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
-    none = F.struct(F.lit(0).cast("long").alias("words"), F.array().cast("array<long>").alias("draws"))
+    none = F.struct(F.lit(0).cast("long").alias("words"), F.array().cast("array<long>").alias("rows"))
     taken = F.aggregate(
-        F.coalesce("listed", F.array().cast("array<struct<draw:long,size:long>>")),
+        F.coalesce("listed", F.array().cast("array<struct<draw:long,row:long,size:long>>")),
         none,
-        lambda a, x: F.when(a["words"] + x["size"] <= share, F.struct((a["words"] + x["size"]).alias("words"), F.concat(a["draws"], F.array(x["draw"])).alias("draws"))).otherwise(a),
+        lambda a, x: F.when(a["words"] + x["size"] <= share, F.struct((a["words"] + x["size"]).alias("words"), F.concat(a["rows"], F.array(x["row"])).alias("rows"))).otherwise(a),
     )
     got = both.withColumn("got", taken)
-    return cut_lineage(got.select("source", "source_size", "target", "whole", (F.col("rest") - F.col("got.words")).alias("part"), F.col("got.draws").alias("taken_large")))
+    return cut_lineage(got.select("source", "source_size", "target", "whole", (F.col("rest") - F.col("got.words")).alias("part"), F.col("got.rows").alias("taken_large")))
 
 
 def _drawn(docs: DataFrame, seed: int) -> dict[str, Column]:
@@ -72,7 +72,7 @@ def _drawn(docs: DataFrame, seed: int) -> dict[str, Column]:
 
 def plan(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """One row for each source of `docs`: its size, target, whole repetitions, and where its fractional one ends."""
-    sized = cut_lineage(docs.select(F.col("source").alias("_source"), *[c.alias(k) for k, c in _drawn(docs, seed).items()]))
+    sized = cut_lineage(docs.select(F.col("source").alias("_source"), "_row", *[c.alias(k) for k, c in _drawn(docs, seed).items()]))
     aims = (
         targets(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size")), max_epochs, weights)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -93,18 +93,37 @@ def plan(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1
         .select(F.col("of"), F.col("at._bucket").alias("at"), "at.before", "at.part")
     )
     passes = cut_lineage(passes)
+    near = sized.where("not large").join(small(passes), F.col("source").eqNullSafe(F.col("of")) & (F.col("_bucket") == F.col("at")))
+    draws = near.groupBy("source", "_draw").agg(F.sum("_words").alias("words"), F.count("*").alias("n"), F.first("before").alias("before"), F.first("part").alias("part"))
     within = W.partitionBy("source").orderBy("_draw").rangeBetween(W.unboundedPreceding, 0)
+    fits = F.when(F.col("n") == 1, F.col("upto") - F.col("words") / 2 <= F.col("part")).otherwise(F.col("upto") <= F.col("part"))
+    first = F.min(F.when(~F.col("fits"), F.struct("_draw", "n", ((F.col("part") - F.col("upto") + F.col("words")) * F.col("n") / F.col("words")).alias("of"))))
     ends = (
-        sized.where("not large")
-        .join(small(passes), F.col("source").eqNullSafe(F.col("of")) & (F.col("_bucket") == F.col("at")))
-        .withColumn("upto", F.sum("_words").over(within) + F.col("before"))
-        .where(F.col("upto") - F.col("_words") / 2 <= F.col("part"))
+        draws.withColumn("upto", F.sum("words").over(within) + F.col("before"))
+        .withColumn("fits", fits)
         .groupBy("source")
-        .agg(F.max("_draw").alias("last"))
-        .select(F.col("source").alias("ended"), "last")
+        .agg(F.max(F.when(F.col("fits"), F.col("_draw"))).alias("last"), first.alias("next"))
+        .select(F.col("source").alias("ended"), "last", F.when(F.col("next.n") > 1, F.col("next._draw")).alias("tie"), F.round(F.greatest(F.least(F.col("next.of"), F.col("next.n")), F.lit(0))).cast("long").alias("k"))
     )
-    cut = aims.join(passes.select("of", "at"), F.col("source").eqNullSafe(F.col("of")), "left").join(ends, F.col("source").eqNullSafe(F.col("ended")), "left")
-    return cut_lineage(cut.select("source", "source_size", "target", "whole", "part", "taken_large", "at", "last"))
+    ends = cut_lineage(ends)
+    cut = aims.join(passes.select("of", "at"), F.col("source").eqNullSafe(F.col("of")), "left").join(ends.select("ended", "last"), F.col("source").eqNullSafe(F.col("ended")), "left")
+    cut = cut.join(_ties(near, ends, small), F.col("source").eqNullSafe(F.col("tied")), "left")
+    return cut_lineage(cut.select("source", "source_size", "target", "whole", "part", "taken_large", "at", "last", "tie", "tie_row"))
+
+
+def _ties(near: DataFrame, ends: DataFrame, small: Callable) -> DataFrame:
+    """(tied, tie, tie_row): of the equal rows among which a source's fraction ends, those up to tie_row are taken, `k` of them.
+
+    They are counted by the partition that holds them, and only those of the one partition where the count is reached are
+    numbered, so that many equal rows never meet in one task.
+    """
+    asked = ends.where("tie is not null and k > 0").select("ended", "tie", "k")
+    equal = near.join(small(asked), F.col("source").eqNullSafe(F.col("ended")) & (F.col("_draw") == F.col("tie"))).select("ended", "tie", "k", "_row", F.shiftright("_row", 33).alias("_in"))
+    counts = equal.groupBy("ended", "_in").agg(F.count("*").alias("n"), F.first("k").alias("k"))
+    upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy("ended").orderBy("_in")))
+    found = upto.where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k"))).select(F.col("ended").alias("tied"), F.col("_in").alias("_at"), (F.col("k") - F.col("upto") + F.col("n")).alias("m"))
+    inside = equal.join(small(found), F.col("ended").eqNullSafe(F.col("tied")) & (F.col("_in") == F.col("_at"))).withColumn("r", F.row_number().over(W.partitionBy("ended", "_in").orderBy("_row")))
+    return inside.where("r = m").select("tied", "tie", F.col("_row").alias("tie_row"))
 
 
 def _small(sources: DataFrame) -> Callable:
@@ -117,8 +136,9 @@ def with_times(docs: DataFrame, planned: DataFrame, seed: int = 7) -> DataFrame:
     of = planned.select(*[F.col(c).alias(f"_{c}") for c in planned.columns])
     rows = docs.withColumns(_drawn(docs, seed)).join(_small(planned)(of), docs["source"].eqNullSafe(of["_source"]))
     at_end = (F.col("_bucket") == F.col("_at")) & F.coalesce(F.col("_draw") <= F.col("_last"), F.lit(False))
-    first = (F.col("_part") > 0) & (F.col("_at").isNull() | (F.col("_bucket") < F.col("_at")) | at_end)
-    more = F.when(F.col("_words") > F.col("_source_size") / LARGE, F.array_contains("_taken_large", F.col("_draw"))).otherwise(first)
+    in_tie = F.coalesce((F.col("_draw") == F.col("_tie")) & (F.col("_row") <= F.col("_tie_row")), F.lit(False))
+    first = (F.col("_part") > 0) & (F.col("_at").isNull() | (F.col("_bucket") < F.col("_at")) | at_end | in_tie)
+    more = F.when(F.col("_words") > F.col("_source_size") / LARGE, F.array_contains("_taken_large", F.col("_row"))).otherwise(first)
     rows = rows.withColumn("_times", (F.col("_whole") + F.when(more, 1).otherwise(0)).cast("int"))
     return rows.select(*[docs[c] for c in docs.columns], "_words", "_source_size", "_target", "_times")
 
@@ -132,10 +152,11 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1,
     the sum passes, so that no source is gathered in one task. Documents of over 1/`LARGE` of their source, `LARGE` at
     most, would make that sum coarse; they are drawn first, for their share of the fraction, and the others fill it up.
 
-    Null text: size 0, taken 0. Null source: a source of its own, last. Null doc_id: an ordinary row. Equal rows are
-    taken alike. Sizes all 0: targets 0. Empty input: empty result. Further columns of `docs` are ignored.
+    Null text: size 0, taken 0. Null source: a source of its own, last. Null doc_id: an ordinary row. Of equal
+    rows as many are taken as come nearest to the fraction. Sizes all 0: targets 0. Empty input: empty result. Further columns of `docs` are ignored.
+    `docs` is read twice and must give the same rows in the same tasks, as a table does.
     """
-    docs = docs.select("doc_id", "source", "text")
+    docs = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("_row"))
     rows = with_times(docs, plan(docs, max_epochs, weights, seed), seed)
     return rows.select(
         "doc_id", "source", F.col("_words").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
@@ -146,5 +167,6 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1,
 def mixed(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """The mix itself: the rows of `docs`, all columns as they were, each as often as `mix` takes it."""
     docs, restored = shielded(docs, "doc_id", "source", "text")
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
     rows = with_times(docs, plan(docs, max_epochs, weights, seed), seed).where("_times > 0")
     return restored(rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_turn")))

@@ -181,3 +181,21 @@ def test_urls_against_brute_force(spark):
     assert urls.judge_urls(pages.limit(0), rules).count() == 0
     doubled = pages.union(pages).withColumn("host", pages["url"]).withColumn("rule", pages["url"]).withColumn("short", pages["url"])
     assert urls.judge_urls(doubled, rules).count() == 2 * len(made)
+
+
+def test_equal_rows_are_taken_as_often_as_the_target_asks(make):
+    rows = [(None, "one two three four", "en", "a")] * 1000 + [(k, f"w{k} two three four", "en", "b") for k in range(1000)]
+    got = mixing.mix(make(rows)).collect()
+    for source, target in (("a", 8000 / 3), ("b", 16_000 / 3)):
+        mine = [r for r in got if r.source == source]
+        assert abs(mine[0].target - target) < 1e-6
+        assert abs(sum(r.taken for r in mine) - target) <= 4
+        assert max(r.taken for r in mine) <= 12
+    assert mixing.mixed(make(rows)).count() == sum(r.times for r in got)
+
+
+def test_equal_large_documents_are_drawn_one_by_one(make):
+    rows = [(7, " ".join("x" * 1 for _ in range(50)), "en", "a")] * 10 + [(k, "y " * 40, "en", "b") for k in range(10)]
+    got = mixing.mix(make(rows)).collect()
+    mine = [r for r in got if r.source == "a"]
+    assert abs(sum(r.taken for r in mine) - mine[0].target) <= 50
