@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -211,6 +212,8 @@ def template_overlap(tokens: list[str], family: str) -> float:
 
 _TEMPLATE_BIGRAMS = {f: [set(zip(w, w[1:], strict=False)) for w in map(words, ts)] for f, ts in TEMPLATES.items()}
 _BIGRAMS = frozenset().union(*(b for bs in _TEMPLATE_BIGRAMS.values() for b in bs))
+#: Words of the whole lines in a stretch: twice those of the longest template.
+INNER = 2 * max(len(words(t)) for ts in TEMPLATES.values() for t in ts)
 #: With fewer bigrams of templates than this, no template can confirm, so the paragraph isn't scored.
 _LEAST = min(math.ceil(CONFIRM * min(len(b) for bs in _TEMPLATE_BIGRAMS.values() for b in bs)), 2)
 FOUND = "array<struct<family:string,probability:double,overlap:double,paragraph:int,start:int,stop:int>>"
@@ -237,7 +240,9 @@ def scan(text: str | None, model: Classifier) -> list[dict]:
 def wrapped(lines: list[tuple]) -> list[list[tuple]]:
     """Stretches of two and more lines that follow each other without a blank one, all with bigrams of templates.
 
-    A bigram may lie across two lines. From every line a stretch of each of the lengths 2, 3, 4, 6, 8, 12, ... begins.
+    A bigram may lie across two lines. From every line a stretch of each of the lengths 2, 3, 4, 6, 8, 12, ... begins, as
+    far as the lines between its first and its last, which would lie within the licence, hold at most INNER words: that
+    is a bound of the templates, and makes the stretches of a text proportional to its lines.
     """
     stretches: list[list[tuple]] = []
     run: list[tuple] = []
@@ -251,12 +256,17 @@ def wrapped(lines: list[tuple]) -> list[list[tuple]]:
             stretches.append(run)
             run = []
         if x[3]:
-            run = [*run, x] if run else [x]
+            run.append(x)
     stretches.append(run)
     out = []
     for run in stretches:
-        widths = {len(run)} | {w for e in range(1, len(run).bit_length()) for w in (2**e, 3 * 2 ** (e - 1)) if w <= len(run)}
-        out += [run[k : k + w] for w in sorted(widths) if w > 1 for k in range(len(run) - w + 1)]
+        upto = [0, *itertools.accumulate(len(x[3]) for x in run)]
+        widths = [w for e in range(1, len(run).bit_length()) for w in (2**e, 3 * 2 ** (e - 1)) if w <= len(run)]
+        for k in range(len(run) - 1):
+            for w in widths if k else sorted({len(run), *widths}):
+                if k + w > len(run) or upto[k + w - 1] - upto[k + 1] > INNER:
+                    break
+                out.append(run[k : k + w])
     return out
 
 
@@ -282,8 +292,9 @@ def confirmed(stretches: list[list[tuple]], model: Classifier) -> list[dict]:
 def licences(docs: DataFrame) -> DataFrame:
     """All columns of `docs` with `licences`: the licence paragraphs of each whole text.
 
-    Paragraphs are lines, or lines that follow each other where none of them is one by itself. The classifier is fitted on the driver to a bounded set of labelled paragraphs, made from the
-    templates here with a fixed seed, and broadcast (some thousand n-grams). A family counts if its calibrated
+    Paragraphs are lines, or lines that follow each other where none of them is one by itself. The classifier is fitted on
+    the driver to a bounded set of labelled paragraphs, made from the templates here with a fixed seed, and broadcast (some
+    thousand n-grams). A family counts if its calibrated
     probability is SURE or more, above unknown's, and a template of it confirms: CONFIRM of the bigrams in common.
 
     Null and empty texts hold none. Repeated rows are scanned alike. A column of `docs` named licences is replaced. Empty

@@ -163,3 +163,25 @@ def test_licences_over_several_lines():
             right += family in {f["family"] for f in licenses.scan(f"Prose.\n\n{body}\n\nProse.", model)}
     assert right >= 0.9 * wanted
     assert not any(licenses.scan("\n".join(t.split()), model) for t in licenses.PLAIN)
+
+
+def test_one_text_of_many_matches_takes_time_in_proportion(spark):
+    """A hundred thousand figures in one text; a fold that carried them all would take minutes."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tessera.llm import spans
+
+    text = " ".join(str(1000 + k % 9000) for k in range(100_000))
+    start = time.time()
+    found = spark.createDataFrame([(1, text)], "doc_id long, text string").select(spans.matches(F.col("text"), "[0-9]+", 3).alias("m")).first().m
+    assert time.time() - start < 60
+    assert [m.start for m in found] == list(range(0, 500_000, 5)) and found[-1].body == text[-4:] and found[1].before == text[:5]
+
+
+def test_licence_stretches_grow_with_the_lines():
+    lines = [(k, 30 * k, 30 * k + 29, licenses.words("the terms of the house in the")) for k in range(20_000)]
+    found = licenses.wrapped(lines)
+    assert len(found) < 20 * len(lines)
+    assert [len(x) for x in licenses.wrapped(lines[:2])] == [2]
