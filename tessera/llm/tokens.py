@@ -12,6 +12,7 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 BLANKS = re.compile(r" (?=\S)")
 #: Words of a generation whose ids a worker remembers, and their most characters.
 KNOWN, KNOWN_CHARS = 300_000, 48
-#: Characters of text after which a worker hands on what it has.
+#: Bytes of text after which a worker hands on what it has.
 CHUNK = 1 << 22
 NEVER = 1 << 60
 
@@ -66,12 +67,14 @@ class Bpe:
             self.rank[made], self.left[made], self.right[made] = r, vocab[a], vocab[b]
             self.merge[vocab[a] << 32 | vocab[b]] = r
         self._pairs: dict[int, bool] = {}
+        self.byte_ids, own = [-1] * 256, {}
         self.endings = ahocorasick.Automaton()
-        own: dict[int, bool] = {}
         for k in sorted(vocab.values(), key=self.rank.__getitem__):  # parts come before what they make
             a, b, r = self.left[k], self.right[k], self.rank[k]
             own[k] = len(self.bytes_of[k]) == 1 if r < 0 else own[a] and own[b] and self.meets(a, b, r)
-            if own[k]:  # others are never the encoding of their own bytes, so they end no prefix
+            if r < 0 and own[k]:
+                self.byte_ids[self.bytes_of[k][0]] = k
+            elif own[k]:  # others are never the encoding of their own bytes, so they end no prefix
                 self.endings.add_word(self.bytes_of[k].decode("latin-1"), (k, len(self.bytes_of[k])))
         self.endings.make_automaton()
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
@@ -93,8 +96,12 @@ class Bpe:
                 return True
 
     def word(self, data: bytes) -> list[int]:
-        """Ids of one word: the unique last token of each prefix, then back from the end."""
-        size, pairs = len(data), self._pairs
+        """Ids of one word: the unique last token of each prefix, then back from the end.
+
+        The automaton reports the tokens of two and more bytes in the order of their ends. A prefix that none of them ends
+        by the time it is asked for ends with the token of its last byte.
+        """
+        size, pairs, byte_ids = len(data), self._pairs, self.byte_ids
         last = np.full(size + 1, -1, np.int32) if size > 4096 else [-1] * (size + 1)
         for end, (t, n) in self.endings.iter(data.decode("latin-1")):
             i = end + 1
@@ -103,7 +110,8 @@ class Bpe:
             if i == n:
                 last[i] = t
                 continue
-            before = int(last[i - n])
+            before = last[i - n]
+            before = byte_ids[data[i - n - 1]] if before < 0 else int(before)
             key = before << 32 | t
             known = pairs.get(key)
             if known is None:
@@ -115,6 +123,7 @@ class Bpe:
         out, i = [], size
         while i:
             t = int(last[i])
+            t = byte_ids[data[i - 1]] if t < 0 else t
             out.append(t)
             i -= len(self.bytes_of[t])
         return out[::-1]
@@ -162,7 +171,7 @@ class Words(dict):
 
     def fresh(self, text: str) -> tuple[int, ...]:
         """Ids of a stretch of text, word by word. A word without a blank before it is known by a line end before it."""
-        words = WORDS.findall(text)
+        words = [text] if text[:1] == " " and text.isascii() and text[1:].isalpha() else WORDS.findall(text)
         if len(words) == 1:
             return tuple(self.bpe.word(text.encode()))
         return tuple(itertools.chain.from_iterable(self[w[1:] if w[0] == " " and not w.isspace() else "\n" + w] for w in words))
@@ -191,15 +200,13 @@ def byte_bpe() -> str:
 
 
 def pieces(batch: pa.RecordBatch, text: int, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """A batch cut where its texts pass `most` characters, so that results are handed on in bounded portions."""
-    start, held = 0, 0
-    for k, s in enumerate(batch.column(text)):
-        held += len(s.as_py() or "") if s.is_valid else 0
-        if held > most:
-            yield batch.slice(start, k + 1 - start)
-            start, held = k + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
+    """A batch cut where its texts pass `most` bytes, so that results are handed on in bounded portions."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def encoded(docs: DataFrame, text: str = "text", path: str | None = None, specials: bool = True) -> DataFrame:
