@@ -133,7 +133,7 @@ class Bpe:
         if not specials or self.special is None:
             first, *rest = BLANKS.split(text)
             known = self.words()
-            return [*known.fresh(first), *itertools.chain.from_iterable(map(known.__getitem__, rest))]
+            return [*known.parted(first), *itertools.chain.from_iterable(map(known.__getitem__, rest))]
         out, start = [], 0
         for m in self.special.finditer(text):
             out += self.encode(text[start : m.start()], False)
@@ -151,26 +151,40 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-class Words(dict):
-    """Ids of what follows a blank, if met lately: two generations, of which the older goes when the newer is full."""
+class Known(dict):
+    """What `fresh` gave for texts met lately: two generations, of which the older goes when the newer is full."""
 
-    def __init__(self, bpe: Bpe):
+    def __init__(self):
         super().__init__()
-        self.bpe, self.older = bpe, {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def fresh(self, text: str) -> tuple[int, ...]:
+        raise NotImplementedError
 
-    def __missing__(self, rest: str) -> tuple[int, ...]:
-        ids = self.older.get(rest)
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self.older.get(text)
         if ids is None:
-            ids = tuple(self.bpe.word(rest[1:].encode())) if rest[0] == "\n" else self.fresh(" " + rest)
-        if len(rest) <= KNOWN_CHARS:
+            ids = self.fresh(text)
+        if len(text) <= KNOWN_CHARS:
             if len(self) >= KNOWN:
                 self.older = dict(self)
                 self.clear()
-            self[rest] = ids
+            self[text] = ids
         return ids
 
+
+class Words(Known):
+    """Ids of what follows a blank, which is taken with it; and of words without one, which are known by a line end before them."""
+
+    def __init__(self, bpe: Bpe):
+        super().__init__()
+        self.bpe = bpe
+
     def fresh(self, text: str) -> tuple[int, ...]:
-        """Ids of a stretch of text, word by word. A word without a blank before it is known by a line end before it."""
+        return tuple(self.bpe.word(text[1:].encode())) if text[0] == "\n" else self.parted(" " + text)
+
+    def parted(self, text: str) -> tuple[int, ...]:
+        """Ids of a stretch of text, word by word."""
         words = [text] if text[:1] == " " and text.isascii() and text[1:].isalpha() else WORDS.findall(text)
         if len(words) == 1:
             return tuple(self.bpe.word(text.encode()))
