@@ -134,21 +134,3 @@ def validation(table: DataFrame) -> DataFrame:
         F.countDistinct("chunk_id").alias("ids"), F.count_if(F.trim("content") == "").alias("blank"),
     )
     return per.withColumn("valid", (F.col("first") == 0) & (F.col("last") == F.col("n") - 1) & (F.col("indexes") == F.col("n")) & (F.col("ids") == F.col("n")) & (F.col("blank") == 0))
-
-
-def batches(docs: DataFrame, by: str, order: str, size: Column, max_bytes: int = 5 << 20, max_docs: int = 500) -> DataFrame:
-    """Documents (of one `by` at a time) with their bulk batch: cut when it is full or would go over `max_bytes`.
-
-    The greedy cut starts its sum anew, so it is a fold over the ordered documents of one `by`, which is one document's
-    chunks.
-    """
-    listed = docs.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("s")))).alias("rows"))
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<struct<o:long,batch:int>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        cut = (a["n"] > 0) & ((a["n"] >= max_docs) | (a["bytes"] + x["s"] > max_bytes))
-        batch = a["batch"] + F.when(cut, 1).otherwise(0)
-        out = F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), batch.alias("batch"))))
-        return F.struct(batch.alias("batch"), (F.when(cut, 0).otherwise(a["n"]) + 1).alias("n"), (F.when(cut, 0).otherwise(a["bytes"]) + x["s"]).alias("bytes"), out.alias("out"))
-
-    return listed.select(by, F.explode(F.aggregate("rows", zero, step)["out"]).alias("x")).select(by, F.col("x.o").alias(order), "x.batch")

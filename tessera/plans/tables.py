@@ -186,12 +186,6 @@ def chunk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.validation(_settled(spark, sf_dir)).select("doc_id", "n", "indexes", "blank", "valid")
 
 
-def bulk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy bulk batches of each conversation's turns: 3 at most, 600 bytes at most."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length(F.coalesce("text", F.lit(""))).alias("s"))
-    return C.batches(c, "conv_id", "turn", F.col("s"), 600, 3).select("conv_id", "turn", F.col("batch").cast("long").alias("batch"))
-
-
 def adjacent_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine distance of each vector to the one before it in its label, and the label's 95th percentile."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("position"), F.col("embedding").alias("vector"))
@@ -220,7 +214,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_estimate, text_digests, user_buckets, kgram_coverage, table_shapes, usage_summary, usage_by_day, latest_event, config_merge, stage_fold, task_rows, retry_lineage, new_tasks,
-        chunk_drafts, chunk_actions, chunk_status, chunk_candidates, chunk_stale, chunk_repairs, chunk_delete, chunk_marks, chunk_validation, bulk_batches,
+        chunk_drafts, chunk_actions, chunk_status, chunk_candidates, chunk_stale, chunk_repairs, chunk_delete, chunk_marks, chunk_validation,
         adjacent_distances, provider_models, tenant_join,
     )
 }
@@ -278,11 +272,6 @@ ORACLES = {
     "chunk_validation": f"""WITH {_CH} SELECT doc_id, count(*) AS n, count(DISTINCT chunk_index) AS indexes, count(*) FILTER (trim(content) = '') AS blank,
         min(chunk_index) = 0 AND max(chunk_index) = count(*) - 1 AND count(DISTINCT chunk_index) = count(*) AND count(DISTINCT chunk_id) = count(*) AND count(*) FILTER (trim(content) = '') = 0 AS valid
         FROM t WHERE act GROUP BY doc_id""",
-    "bulk_batches": """WITH RECURSIVE c AS (SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
-        r AS (SELECT conv_id, turn, k, CAST(0 AS BIGINT) AS batch, 1 AS n, s AS bytes FROM c WHERE k = 1
-            UNION ALL SELECT r.conv_id, c.turn, c.k, CASE WHEN r.n >= 3 OR r.bytes + c.s > 600 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.n >= 3 OR r.bytes + c.s > 600 THEN 1 ELSE r.n + 1 END,
-            CASE WHEN r.n >= 3 OR r.bytes + c.s > 600 THEN c.s ELSE r.bytes + c.s END FROM r JOIN c ON c.conv_id = r.conv_id AND c.k = r.k + 1)
-        SELECT conv_id, turn, batch FROM r""",
     "adjacent_distances": """WITH v AS (SELECT label AS doc_id, vec_id AS position, CAST(embedding AS DOUBLE[]) AS e, lag(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings),
         d AS (SELECT doc_id, position, 1 - list_cosine_similarity(e, p) AS distance FROM v WHERE p IS NOT NULL), q AS (SELECT doc_id, quantile_cont(distance, 0.95) AS threshold FROM d GROUP BY ALL)
         SELECT doc_id, position, round(distance, 9) AS distance, round(threshold, 9) AS threshold FROM d JOIN q USING (doc_id)""",

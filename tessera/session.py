@@ -24,18 +24,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df`, written once as a table and read again, so that what follows computes it but once.
-
-    It lies in the folder that all executors share, spark.checkpoint.dir; a local session may do without that setting.
-    """
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share, spark.checkpoint.dir; a local session may do without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         root = tempfile.gettempdir()
-    path = f"{root.rstrip('/')}/tessera-tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tessera-tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df`, written once as a table in a fresh folder and read again, so that what follows computes it but once."""
+    spark, path = df.sparkSession, fresh_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
