@@ -56,3 +56,10 @@ def batches(docs: DataFrame, by: str, order: str, size: Column, max_bytes: int =
     members = members.select(F.col("k").alias("_k"), "batch", F.explode(F.sequence(F.col("at"), F.col("next") - 1)).alias("_in"))  # max_docs at most
     found = rows.join(members, F.col("k").eqNullSafe(F.col("_k")) & (F.col("at") == F.col("_in")))
     return found.select(F.col("k").alias(by), F.col("o").alias(order), "batch")
+
+
+def pages(rows: DataFrame, by: str, item: str, most: int = 1000) -> DataFrame:
+    """by, page, ids: the items of each `by` in order, in lists of at most `most`, so that no reason's list is unbounded."""
+    placed = numbered(rows.select(F.col(by).alias("k"), F.col(item).alias("o"), F.lit(0).cast("long").alias("s")))
+    paged = placed.groupBy("k", F.floor(F.col("at") / most).alias("page")).agg(F.sort_array(F.collect_list("o")).alias("ids"))
+    return paged.select(F.col("k").alias(by), "page", "ids")

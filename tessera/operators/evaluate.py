@@ -40,4 +40,4 @@ def metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
 def median_round(rounds: DataFrame) -> DataFrame:
     """Of timed rounds (name, round, ms) the one of each name that is nearest to the median, the earliest of equals."""
     mid = rounds.groupBy("name").agg(F.percentile("ms", F.lit(0.5)).alias("median"))
-    return rounds.join(mid, "name").groupBy("name").agg(F.min_by(F.struct("round", "ms"), F.struct(F.abs(F.col("ms") - F.col("median")), "round")).alias("b"), F.first("median").alias("median")).select("name", "b.round", "b.ms", "median")
+    return rounds.join(mid, "name").groupBy("name").agg(F.min_by(F.struct("round", "ms"), F.struct(F.round(F.abs(F.col("ms") - F.col("median")), 6), "round")).alias("b"), F.first("median").alias("median")).select("name", "b.round", "b.ms", "median")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import documents, indexing, retrieval, services, stored, tables
+from tessera.plans import checks, documents, indexing, retrieval, services, stored, tables
 
-_MODULES: list = [documents, indexing, retrieval, services, stored, tables]
+_MODULES: list = [checks, documents, indexing, retrieval, services, stored, tables]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
