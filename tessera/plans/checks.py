@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions import text as T
-from tessera.operators import batching, chunks, evaluate, overlap, rerank, validator
+from tessera.operators import batching, chunks, evaluate, overlap, page_tables, rerank, validator
 from tessera.plans import retrieval as R
 from tessera.plans import tables
 from tessera.session import table
@@ -78,7 +78,21 @@ def failure_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (chunk_faults, carried_overlap, chunk_lookup, chunk_contents, degraded_order, median_rounds, failure_pages)}
+def joined_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as pipe tables under a header of their flag, with blanks and texts between some; those that belong together joined."""
+    i = table(spark, sf_dir, "lineitem")
+    cut = F.when(F.col("l_partkey") % 3 == 0, F.array(F.lit(""), F.lit(" "))).when(F.col("l_partkey") % 3 == 1, F.array(F.lit("text"))).otherwise(F.array().cast("array<string>"))
+    own = F.array(F.concat(F.lit("| "), "l_returnflag", F.when(F.col("l_suppkey") % 2 == 0, " ").otherwise("<br>"), F.lit("| part |")), F.lit("|:--- | ---:|"), F.concat(F.lit(" | x | "), F.col("l_partkey").cast("string"), F.lit(" | ")))
+    turn = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))
+    lines = i.withColumn("turn", turn).select("l_orderkey", "turn", F.posexplode(F.concat(own, cut)).alias("p", "content"))
+    lines = lines.select("l_orderkey", (F.col("turn") * 10 + F.col("p")).alias("line"), "content")
+    lines = lines.withColumn("line", F.row_number().over(W.partitionBy("l_orderkey").orderBy("line")))
+    kept = page_tables.merged(lines, "l_orderkey")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n")  # an order's
+    return kept.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.sha2(whole, 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (joined_tables, chunk_faults, carried_overlap, chunk_lookup, chunk_contents, degraded_order, median_rounds, failure_pages)}
 
 _SPACE = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Of the users that the chunk table has, their buckets, from zlib: DuckDB knows no crc32.
@@ -99,6 +113,18 @@ ORACLES = {
             UNION SELECT doc_id, 'd' || i, 'derived without source' FROM e WHERE doc_id % 7 = 5 AND i % 3 = 2
             UNION SELECT doc_id, CAST(i // 3 AS VARCHAR), 'range lines' FROM e WHERE doc_id % 7 = 6 AND i % 3 = 2)
         SELECT doc_id, fault, count(*) AS chunks FROM f GROUP BY ALL""",
+    "joined_tables": r"""WITH l AS (SELECT l_orderkey AS k, turn * 10 + unnest([0, 1, 2, 3, 4]) AS pos,
+            unnest(['| ' || l_returnflag || CASE WHEN l_suppkey % 2 = 0 THEN ' ' ELSE '<br>' END || '| part |', '|:--- | ---:|', ' | x | ' || l_partkey || ' | ',
+            CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'text' END, CASE l_partkey % 3 WHEN 0 THEN ' ' END]) AS c
+            FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS turn FROM lineitem)),
+        n AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY pos) AS line, c, starts_with(trim(c), '|') AS is_row, trim(c) <> '' AS is_full FROM l WHERE c IS NOT NULL),
+        a AS (SELECT *, is_row AND NOT coalesce(lag(is_row) OVER o, false) AS begins, max(CASE WHEN is_full THEN line END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above,
+            min(CASE WHEN is_full THEN line END) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS below FROM n WINDOW o AS (PARTITION BY k ORDER BY line)),
+        b AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY line) AS run FROM a),
+        t AS (SELECT k, run, min(line) AS first, max(line) AS last, count(*) AS n, replace(replace(arg_min(c, line), '<br>', ''), ' ', '') AS head, arg_min(above, line) AS above FROM b WHERE is_row GROUP BY k, run),
+        j AS (SELECT k, first FROM t QUALIFY lag(last) OVER (PARTITION BY k ORDER BY first) = above AND lag(head) OVER (PARTITION BY k ORDER BY first) = head),
+        m AS (SELECT b.*, j.first FROM b LEFT JOIN t ON is_row AND t.k = b.k AND t.run = b.run LEFT JOIN j ON j.k = b.k AND j.first = CASE WHEN is_row THEN t.first WHEN NOT is_full THEN below END)
+        SELECT k AS l_orderkey, count(*) AS lines, sha256(string_agg(c, chr(10) ORDER BY line)) AS text_sha256 FROM m WHERE first IS NULL OR (is_full AND line >= first + 2) GROUP BY k""",
     "chunk_lookup": f"WITH {tables._CH} SELECT doc_id AS position, chunk_id, content_hash FROM t WHERE chunk_index = 1",
     "chunk_contents": f"WITH {tables._CH} SELECT chunk_id, content_hash AS content_sha256 FROM t WHERE act AND user_id = 7 AND chunk_index % 2 = 0 AND trim(content) <> ''",
     "degraded_order": f"""WITH {R._VECTORS}, {R._dense_sql(R._EVERY)}, j AS (SELECT query_id, '{{"chunk_id":"' || chunk_id || '","doc_id":' || doc_id || ',"rrf_rank":' || source_rank || '}}' AS json FROM dense WHERE source_rank <= 8)

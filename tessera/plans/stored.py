@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessera.functions import text as T
 from tessera.operators import batching, boxes, intervals, lexical_index, replace, vector_index
@@ -66,9 +67,10 @@ def described_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each order as boxes on its page, merged where they touch."""
-    i = table(spark, sf_dir, "lineitem")
+    turn = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    i = table(spark, sf_dir, "lineitem").withColumn("turn", turn)
     x, y = F.col("l_partkey") % 700, F.col("l_suppkey") * 13 % 900
-    b = i.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("id"), x.alias("x0"), y.alias("y0"), (x + F.col("l_quantity").cast("long") * 4).alias("x1"), (y + 60).alias("y1"))
+    b = i.select(F.col("l_orderkey").alias("page"), F.col("turn").cast("long").alias("id"), x.alias("x0"), y.alias("y0"), (x + F.col("l_quantity").cast("long") * 4).alias("x1"), (y + 60).alias("y1"))
     return boxes.merged(b, 24).select("page", "x0", "y0", "x1", "y1", "parts")
 
 

@@ -10,7 +10,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import batching, markdown, overlap, retrieval, validator
+from tessera.operators import batching, markdown, overlap, page_tables, retrieval, validator
 from tessera.plans import checks, tables
 from tessera.session import table
 
@@ -101,3 +101,18 @@ def test_encoder_takes_time_in_proportion_to_a_text(spark):
 def test_carried_overlap_is_registered_with_all_turns(spark, data):
     got = checks.carried_overlap(spark, data)
     assert got.count() == table(spark, data, "conversations").count()
+
+
+def test_tables_cut_by_pages_are_joined(spark):
+    texts = {
+        1: ["a", "| x | y |", "|---|---|", "| 1 | 2 |", "", " ", "|x|y<br>|", "|:---|---:|", "| 3 | 4 |", "", "end"],
+        2: ["| x | y |", "|---|---|", "| 1 | 2 |", "text", "| x | y |", "|---|---|", "| 3 | 4 |"],
+        3: ["| x | y |", "|---|---|", "| 1 | 2 |", "", "| z | y |", "|---|---|", "| 3 | 4 |", "", "| z | y |", "|---|---|", "", "| z | y |", "|---|---|", "| 5 | 6 |"],
+        4: ["| x | y |", "| no | rule |", "", "| x | y |", "|---|---|", "| 3 | 4 |", None],
+        5: ["| odd | row |", "| x | y |", "|---|---|", "| 1 | 1 |", "", "| x | y |", "|---|---|", "| 2 | 2 |"],
+    }
+    gone = {1: [4, 5, 6, 7], 2: [], 3: [7, 8, 9, 10, 11, 12], 4: [], 5: [4, 5, 6]}
+    df = spark.createDataFrame([(d, k, x) for d, t in texts.items() for k, x in enumerate(t)], "doc_id long, line long, content string")
+    got = page_tables.merged(df).collect()
+    for d, t in texts.items():
+        assert sorted(r.line for r in got if r.doc_id == d) == [k for k in range(len(t)) if k not in gone[d]], d
