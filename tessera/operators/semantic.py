@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,32 +32,43 @@ def distances(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("_b", before).where("_b is not null").select("doc_id", "position", (1 - cosine(F.col("vector"), F.col("_b"))).alias("distance"))
 
 
-def groups(costs: Column, gaps: Column, threshold: Column, gate: float, least: int, most: int) -> Column:
-    """The group of each atom of a document: a new one where it would go over `most` tokens, or where the gap before it is
-    above threshold and gate and the group has `least` tokens. A null gap never parts."""
-    zero = F.struct(F.lit(-1).alias("group"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        far = F.coalesce((x["gap"] > threshold) & (x["gap"] > gate), F.lit(False)) & (a["size"] >= least)
-        new = (a["group"] < 0) | (a["size"] + x["cost"] > most) | far
-        group = a["group"] + F.when(new, 1).otherwise(0)
-        return F.struct(group.alias("group"), (F.when(new, 0).otherwise(a["size"]) + x["cost"]).cast("long").alias("size"), F.concat(a["out"], F.array(group)).alias("out"))
+def groups(atoms: DataFrame, gate: float, least: int, most: int) -> DataFrame:
+    """All columns of atoms (doc_id, position, cost, gap, threshold) and `chunk`, the group of each in its document.
 
-    return F.aggregate(F.zip_with(costs, gaps, lambda c, g: F.struct(c.alias("cost"), g.alias("gap"))), zero, step)["out"]
+    A new one begins where the group would go over `most` tokens, or where the gap before the atom is above threshold and
+    gate and the group has `least` tokens. A null gap never parts. A group depends on the one before it, so documents are
+    dealt out, sorted and streamed: a task holds the last group's size alone.
+    """
+    names = atoms.columns
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in atoms.schema)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, group, size = None, 0, 0
+        for f in frames:
+            out = []
+            for doc, cost, gap, threshold in zip(f["doc_id"], f["cost"], f["gap"], f["threshold"], strict=True):
+                mark = (None if pd.isna(doc) else doc,)
+                far = pd.notna(gap) and pd.notna(threshold) and gap > max(threshold, gate) and size >= least
+                if mark != at:
+                    at, group, size = mark, 0, 0
+                elif size + cost > most or far:
+                    group, size = group + 1, 0
+                size += cost
+                out.append(group)
+            yield f[names].assign(chunk=out)
+
+    return atoms.repartition("doc_id").sortWithinPartitions("doc_id", "position").mapInPandas(run, f"{kinds}, chunk long")
 
 
 def chunks(texts: DataFrame, percentile: float = 0.95, gate: float = 0.25, least: int = 1, most: int = 512) -> DataFrame:
-    """(doc_id, chunk, content) of atoms (doc_id, position, text, vector) in groups of like meaning.
+    """(doc_id, chunk, atoms, content) of atoms (doc_id, position, text, vector) in groups of like meaning.
 
-    A document one of whose vectors is missing is grouped by length alone.
+    A document one of whose vectors is missing is grouped by length alone. Null texts count as empty.
     """
-    gap = F.when(F.col("vector").isNotNull(), 1 - cosine(F.col("vector"), F.lag("vector").over(W.partitionBy("doc_id").orderBy("position"))))
-    rows = texts.withColumn("gap", gap).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", "text", "gap"))).alias("r"),
-        F.percentile("gap", F.lit(percentile)).alias("threshold"),
-        F.max(F.col("vector").isNull()).alias("broken"),
-    )
-    gaps = F.transform("r", lambda x: F.when(~F.col("broken"), x["gap"]))
-    grouped = rows.select("doc_id", "r", groups(F.transform("r", lambda x: estimate_tokens(x["text"])), gaps, F.col("threshold"), gate, least, most).alias("g"))
-    listed = grouped.select("doc_id", F.explode(F.arrays_zip("r", "g")).alias("x")).select("doc_id", F.col("x.g").alias("chunk"), "x.r.position", "x.r.text")
-    return listed.groupBy("doc_id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n\n").alias("content"))
+    before = F.lag("vector").over(W.partitionBy("doc_id").orderBy("position"))
+    rows = texts.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("gap", F.when(before.isNotNull(), 1 - cosine(F.col("vector"), before)))
+    edge = rows.groupBy(F.col("doc_id").alias("_d")).agg(F.percentile("gap", F.lit(percentile)).alias("_t"), F.max(F.col("vector").isNull()).alias("_broken"))
+    rows = rows.join(edge, F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("threshold", F.when(~F.col("_broken"), F.col("_t")))
+    grouped = groups(rows.select("doc_id", "position", "text", estimate_tokens(F.col("text")).alias("cost"), "gap", "threshold"), gate, least, most)
+    listed = F.array_sort(F.collect_list(F.struct("position", "text")))  # of one chunk, `most` tokens or one atom
+    return grouped.groupBy("doc_id", "chunk").agg(F.count("*").alias("atoms"), F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n").alias("content"))

@@ -194,6 +194,14 @@ def adjacent_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(edge, "doc_id").select("doc_id", "position", F.round("distance", 9).alias("distance"), F.round("threshold", 9).alias("threshold"))
 
 
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a vector as atoms of their label, in groups of like meaning."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("position"), F.col("label").alias("doc_id"), F.col("embedding").alias("vector"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), "text")
+    found = semantic.chunks(e.join(d, "position").select("doc_id", "position", "text", "vector"), 0.8, 0.25, 200, 2000)
+    return found.select("doc_id", "chunk", "atoms", F.sha2("content", 256).alias("content_sha256"))
+
+
 def provider_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions as providers, nations as models with capabilities."""
     p = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.col("r_regionkey").alias("priority"), F.lit(True).alias("active"))
@@ -215,7 +223,7 @@ QUERIES = {
     for f in (
         token_estimate, text_digests, user_buckets, kgram_coverage, table_shapes, usage_summary, usage_by_day, latest_event, config_merge, stage_fold, task_rows, retry_lineage, new_tasks,
         chunk_drafts, chunk_actions, chunk_status, chunk_candidates, chunk_stale, chunk_repairs, chunk_delete, chunk_marks, chunk_validation,
-        adjacent_distances, provider_models, tenant_join,
+        adjacent_distances, semantic_chunks, provider_models, tenant_join,
     )
 }
 
@@ -275,6 +283,14 @@ ORACLES = {
     "adjacent_distances": """WITH v AS (SELECT label AS doc_id, vec_id AS position, CAST(embedding AS DOUBLE[]) AS e, lag(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings),
         d AS (SELECT doc_id, position, 1 - list_cosine_similarity(e, p) AS distance FROM v WHERE p IS NOT NULL), q AS (SELECT doc_id, quantile_cont(distance, 0.95) AS threshold FROM d GROUP BY ALL)
         SELECT doc_id, position, round(distance, 9) AS distance, round(threshold, 9) AS threshold FROM d JOIN q USING (doc_id)""",
+    "semantic_chunks": f"""WITH RECURSIVE a AS (SELECT label AS doc_id, vec_id AS position, coalesce(text, '') AS text, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN documents ON vec_id = documents.doc_id),
+        g AS (SELECT *, {_TOK} AS cost, row_number() OVER w AS k, 1 - list_cosine_similarity(e, lag(e) OVER w) AS gap FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY position)),
+        q AS (SELECT doc_id, quantile_cont(gap, 0.8) AS threshold FROM g GROUP BY doc_id),
+        s AS (SELECT g.doc_id, k, position, text, cost, coalesce(gap > threshold AND gap > 0.25, false) AS far FROM g JOIN q USING (doc_id)),
+        r AS (SELECT doc_id, k, CAST(0 AS BIGINT) AS chunk, cost AS size FROM s WHERE k = 1 UNION ALL
+            SELECT s.doc_id, s.k, CASE WHEN r.size + s.cost > 2000 OR (s.far AND r.size >= 200) THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.size + s.cost > 2000 OR (s.far AND r.size >= 200) THEN s.cost ELSE r.size + s.cost END
+            FROM r JOIN s ON s.doc_id = r.doc_id AND s.k = r.k + 1)
+        SELECT doc_id, chunk, count(*) AS atoms, sha256(string_agg(text, chr(10) || chr(10) ORDER BY position)) AS content_sha256 FROM r JOIN s USING (doc_id, k) GROUP BY doc_id, chunk""",
     "provider_models": """WITH m AS (SELECT n_regionkey AS id, n_name, n_name || ':' || CASE WHEN n_nationkey % 2 = 0 THEN 'chat' ELSE 'embed' END AS m FROM nation WHERE n_nationkey % 5 <> 0)
         SELECT r_regionkey AS id, r_name AS name, string_agg(m, ',' ORDER BY n_name) AS models FROM region LEFT JOIN m ON id = r_regionkey GROUP BY ALL""",
     "tenant_join": """SELECT n_name, count(*) AS orders, round(sum(revenue), 2) AS revenue FROM (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem GROUP BY ALL)
