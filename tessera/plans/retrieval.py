@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import evaluate, rerank, retrieval
-from tessera.session import table
+from tessera.session import table, written
 
 TOP_K = 20
 
@@ -78,7 +78,7 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sparse": lambda: _sparse(spark, sf_dir),
         "dense": lambda: retrieval.dense(_item_vectors(spark, sf_dir), _vectors(spark, sf_dir), TOP_K),
     }
-    return retrieval.recall(sources, list(sources), TOP_K)[0]
+    return retrieval.recall(sources, list(sources), TOP_K, settle=written)[0]
 
 
 def hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,3 +116,35 @@ def test_tables_cut_by_pages_are_joined(spark):
     got = page_tables.merged(df).collect()
     for d, t in texts.items():
         assert sorted(r.line for r in got if r.doc_id == d) == [k for k in range(len(t)) if k not in gone[d]], d
+
+
+def test_images_are_matched_as_in_turns(spark):
+    from tessera.operators import matching
+
+    r = random.Random(9)
+    places, images = [], []
+    for d in range(8):
+        for k in range(r.randint(0, 9)):
+            kind = r.choice("spn")
+            places.append((d, k, r.choice([40, 100, 200, 300]) if kind == "s" else None, r.choice([100, 150, 200]) if kind == "s" else None, r.randint(1, 3) if kind == "p" else None))
+        for k in range(r.randint(0, 8)):
+            images.append((d, k, r.choice([0, 90, 100, 250, 400]), r.choice([80, 100, 200]), r.randint(1, 3)))
+    want = []
+    for d in range(8):
+        remaining = [i for i in images if i[0] == d]
+        for _, k, w, h, page in (p for p in places if p[0] == d):
+            best = None
+            if w and h:
+                sized = [(abs(i[2] / i[3] - w / h) / (w / h), i) for i in remaining if i[2] and i[3]]
+                if w >= 64 and h >= 64 and sized:
+                    off, found = min(sized, key=lambda x: x[0])
+                    best = found if off <= 0.35 else None
+            elif page:
+                best = next((i for i in remaining if i[4] == page), None)
+            else:
+                best = remaining[0] if remaining else None
+            if best:
+                remaining.remove(best)
+                want.append((d, k, best[1]))
+    got = matching.matched(matching.preferences(spark.createDataFrame(places, "doc_id long, place long, width long, height long, page long"), spark.createDataFrame(images, "doc_id long, image long, width long, height long, page long")))
+    assert rows(got) == sorted(want, key=repr)
