@@ -59,4 +59,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         .agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("rule_verdict") == "block").alias("b"), "rule", "rule_verdict")).alias("best"))
         .select("host", "path", "best.rule", "best.rule_verdict")
     )
-    return rows.join(hits, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
+    # urls without a host fit nothing and stay out of the join, where they would all have one key; AQE splits a frequent url
+    judged = rows.where("host <> ''").join(hits, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
+    return judged.unionByName(rows.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))

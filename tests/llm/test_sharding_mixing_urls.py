@@ -199,3 +199,13 @@ def test_equal_large_documents_are_drawn_one_by_one(make):
     got = mixing.mix(make(rows)).collect()
     mine = [r for r in got if r.source == "a"]
     assert abs(sum(r.taken for r in mine) - mine[0].target) <= 50
+
+
+def test_urls_without_a_host_stay_out_of_the_join(spark):
+    pages = spark.createDataFrame([(k, None if k % 3 == 0 else "no scheme" if k % 3 == 1 else "http:///en/x" if k % 2 else "https://www.example.com/en/") for k in range(600)], "page_id long, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(pages, rules).collect()}
+    assert len(got) == 600
+    for k in range(600):
+        want = ("", "", None, "allow") if k % 3 < 2 else ("", "/en/x", None, "allow") if k % 2 else ("www.example.com", "/en/", "www.example.com/en/", "allow")
+        assert got[k] == want
