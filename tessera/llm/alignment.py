@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,40 +14,23 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tessera.llm.common import cut_lineage
-from tessera.llm.tokens import Bpe, Known, byte_bpe, lists, loaded, pieces, vocabulary
+from tessera.llm.tokens import Bpe, byte_bpe, lists, loaded, pieces, vocabulary
 
 #: A table of at most so many id pairs, of 24 bytes each, is broadcast; a larger one is joined by a shuffle.
 BROADCAST_PAIRS = 500_000
 #: Bytes of text laid out in owner arrays at once; where a longer text has no common token end, the stretch grows.
 STRETCH = 1 << 20
-#: The first blank after another character.
-STRETCHES = re.compile(r"(?<=[^ ]) ")
 _EMPTY = np.zeros(0, np.int32)
 
 
-class Pieces(Known):
-    """A sentencepiece vocabulary with byte fallback; what it knows are the ids of stretches between blanks.
-
-    If no piece holds a blank after another character, no piece crosses from a stretch into the blank behind it, and the
-    model, which puts a blank before whatever it encodes, gives the same ids for each stretch alone as within its text.
-    """
+class Pieces:
+    """A sentencepiece vocabulary with byte fallback."""
 
     def __init__(self, data: bytes):
-        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
         names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.bytes_of = [bytes([int(n[3:5], 16)]) if self.model.is_byte(k) else n.replace("▁", " ").encode() for k, n in enumerate(names)]
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int32)
-        self.apart = not any("▁" in n.lstrip("▁") for n in names)
-
-    def fresh(self, stretch: str) -> tuple[int, ...]:
-        return tuple(self.model.encode(stretch))
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text, as the model gives them."""
-        if not self.apart or text[-1:] == " " or text.isspace():
-            return self.model.encode(text)
-        return list(itertools.chain.from_iterable(map(self.__getitem__, STRETCHES.split(text) if "  " in text or text[:1] == " " else text.split(" "))))
 
 
 def owners(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,16 +108,14 @@ def aligned(docs: DataFrame, text: str = "text", path_a: str | None = None, path
             for batch in pieces(whole, at):
                 numbers, groups, linked = np.zeros((4, batch.num_rows), np.int64), [], ([], [], [])
                 texts = [x or "" for x in batch.column(at).to_pylist()]
-                for k, x in enumerate(texts):
+                for k, (x, ids_b) in enumerate(zip(texts, side_b.model.encode(texts, num_threads=1), strict=True)):
                     plain = (" " + x).encode()
-                    ids_a, ids_b = (side_a.encode(" " + x, specials=False), side_b.encode(x)) if x else ([], [])
-                    same = x and b"".join(map(side_b.bytes_of.__getitem__, ids_b)) == plain and b"".join(map(side_a.bytes_of.__getitem__, ids_a)) == plain
-                    if not same:
+                    if not x or b"".join(map(side_b.bytes_of.__getitem__, ids_b)) != plain:  # A's tokens are cut from these bytes
                         groups.append("")
                         for side in linked:
                             side.append(_EMPTY)
                         continue
-                    a, b = np.array(ids_a, np.int32), np.array(ids_b, np.int32)
+                    a, b = np.array(side_a.encode(" " + x, specials=False), np.int32), np.array(ids_b, np.int32)
                     la, lb, ga, gb = owners(side_a.lengths[a], side_b.lengths[b])
                     numbers[:, k] = len(a), len(b), len(ga), len(la)
                     groups.append(spelled(a, b, ga, gb, *tables))
