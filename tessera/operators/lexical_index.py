@@ -60,8 +60,8 @@ def search(
     check_request(top_k)
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = written(asked.withColumn("bucket", bucket(F.col("term"))))
-    sizes = spark.read.parquet(f"{path}/batches")
-    batches = [r[0] for r in sizes.select(F.col("batch").cast("string")).distinct().collect()]  # one for each append
+    sizes = spark.read.schema("field string, n long, total long, batch string").parquet(f"{path}/batches")
+    batches = [r[0] for r in sizes.select("batch").distinct().collect()]  # one for each append
     buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]  # BUCKETS at most
     stats = sizes.groupBy("field").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))  # a row a field
     terms = _read(spark, path, "terms", batches, buckets).groupBy("field", "term").agg(F.sum("df").alias("df"), F.max("most").alias("most"), F.min("shortest").alias("shortest"))

@@ -52,11 +52,12 @@ def centroids(index: DataFrame, lists: int | None = None, sample: int = SAMPLE,
 
 
 def build(path: str, index: DataFrame, lists: int | None = None) -> None:
-    """Write the index (chunk_id, doc_id, dataset_id, vector) as two tables: vectors by list, and centroids."""
+    """Write the index (chunk_id, doc_id, dataset_id, vector) as tables: vectors by list, centroids, and an empty one of its columns."""
     spark, (c, probes) = index.sparkSession, centroids(index, lists)
     spark.createDataFrame([(k, [float(x) for x in v], probes) for k, v in enumerate(c)], "list int, centroid array<double>, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
     shared = spark.sparkContext.broadcast(c)
     rows = index.select("chunk_id", "doc_id", "dataset_id", "vector")
+    rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -79,7 +80,8 @@ def search(
     there are lists the result is that of retrieval.dense. Empty index: no hits.
     """
     check_request(top_k, threshold, 1.0)
-    stored = spark.read.parquet(f"{path}/vectors")
+    columns = spark.read.parquet(f"{path}/columns").withColumn("list", F.lit(0)).schema
+    stored = spark.read.schema(columns).parquet(f"{path}/vectors")
     visible = in_scope(stored, None, dataset_ids, doc_ids)
     if (dataset_ids is not None or doc_ids) and visible.limit(few + 1).count() <= few:
         return dense(queries, visible, top_k, threshold, by)

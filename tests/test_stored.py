@@ -71,6 +71,19 @@ def test_dense_index_finds_nearly_all_and_all_with_every_list(spark, data):
     assert spark.read.parquet(f"{path}/vectors").count() == index.count()
 
 
+def test_empty_indexes_have_no_hits(spark, data):
+    index, chunks = R._vectors(spark, data), R._chunks(spark, data)
+    dense, lexical = fresh_folder(spark), fresh_folder(spark)
+    vector_index.build(dense, index.limit(0))
+    queries = index.limit(3).select(F.col("doc_id").alias("query_id"), "vector")
+    assert vector_index.search(spark, dense, queries, 5).count() == 0
+    lexical_index.append(lexical, chunks.limit(0), fields(), "01")
+    asked = R._asked(spark, data).select("query_id", R.coarse(F.col("text")).alias("terms"))
+    assert lexical_index.search(spark, lexical, asked, BOOSTS, 5).count() == 0
+    lexical_index.append(lexical, chunks.limit(50), fields(), "02")
+    assert lexical_index.search(spark, lexical, asked, BOOSTS, 5).count() > 0
+
+
 def test_replacement_leaves_other_partitions_alone(spark):
     path = fresh_folder(spark)
     old = spark.createDataFrame([(d, k, f"old {d} {k}", d % 4) for d in range(40) for k in range(3)], "doc_id long, chunk_index long, content string, bucket_id long")
