@@ -23,8 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or "/tmp/checkpoints").rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df`, written once as a table in the shared folder and read again.
+def cut_lineage(df: DataFrame, options: dict | None = None) -> DataFrame:
+    """`df`, written once as a table in the shared folder, with the writer's `options`, and read again.
 
     A lost executor then costs no more than a read, and later plans know the table's true size: checkpoint() would carry
     estimates on, which are multiplied by each join and, in a loop, grow beyond all memory. What an application wrote goes
@@ -36,7 +36,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         _ROOTS.add(root)
         atexit.register(_remove, spark, root)
     path = f"{root}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +19,10 @@ from tessera.llm.tokens import lists, pieces
 
 #: Buckets of features; words in the longest run; words that a document needs to be drawn; percent drawn; seed; smoothing.
 BUCKETS, RUN, WORDS, PERCENT, SEED = 10_000, 2, 20, 25, 7
-#: Rows and stored numbers of a block of the matrix at most (a row holds at most as many as there are buckets).
+#: Rows and stored numbers of the matrix that are worked on at once, at most (a row holds at most as many numbers as there are buckets).
 BLOCK_ROWS, BLOCK_COUNTS = 1024, 1 << 17
+#: Bytes of a row group of the kept matrix: what a task holds when it reads or writes one, however large its files are.
+GROUP = 4 << 20
 #: Bytes of a text whose words are held at once.
 STRETCH = 1 << 20
 #: Lower case for A-Z; a space for every other ASCII character that is no digit or letter.
@@ -59,51 +62,49 @@ def row_of(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, i
 
 
 def matrix(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), buckets: int = BUCKETS) -> DataFrame:
-    """The document-by-bucket counts as CSR blocks: `keep` (arrays), words, offsets, buckets, counts (arrays), a row a block.
+    """The document-by-bucket counts, a row a document: `keep`, words, buckets, counts (arrays); Arrow's lists are CSR blocks.
 
-    Row k of a block has counts[offsets[k]:offsets[k + 1]] in the buckets beside them. Null and empty texts are rows
-    without counts. Blocks are bounded in rows and numbers; each is made of rows that lie together, so nothing is shuffled.
+    Null and empty texts are rows without counts. They are made where the documents lie, so nothing is shuffled, and handed
+    on in blocks that are bounded in rows and numbers. A reader holds rows by the thousand, so that a row is no block.
     """
     docs = docs.select(*keep, F.col(text).alias("_text"))
     at = len(keep)
-    schema = T.StructType(
-        [*[T.StructField(f.name, T.ArrayType(f.dataType)) for f in docs.schema.fields[:at]], T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.IntegerType())), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
-    )
-
-    def block(kept: list[pa.Array], rows: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
-        whole = [pa.concat_arrays(list(parts)) for parts in zip(*kept, strict=True)]
-        ends = np.cumsum([0, *[len(r[0]) for r in rows]])
-        columns = [*[pa.ListArray.from_arrays(pa.array([0, len(w)], pa.int32()), w) for w in whole], lists([np.array([r[2] for r in rows], np.int32)]), lists([ends.astype(np.int32)]), lists([np.concatenate([r[0] for r in rows])]), lists([np.concatenate([r[1] for r in rows]).astype(np.int32)])]
-        return pa.RecordBatch.from_arrays(columns, schema.names)
+    numbers = [T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*docs.schema.fields[:at], T.StructField("words", T.IntegerType()), *numbers])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, rows, held = [], [], 0
         for batch in (b for whole in batches for b in pieces(whole, at)):
+            start, rows, held = 0, [], 0
             for k, s in enumerate(batch.column(at)):
                 rows.append(row_of(s.as_py(), buckets))
-                kept.append([c.slice(k, 1) for c in batch.columns[:at]])
                 held += len(rows[-1][0])
-                if len(rows) == BLOCK_ROWS or held > BLOCK_COUNTS - buckets:
-                    yield block(kept, rows)
-                    kept, rows, held = [], [], 0
-        if rows:
-            yield block(kept, rows)
+                if len(rows) == BLOCK_ROWS or held > BLOCK_COUNTS - buckets or k + 1 == batch.num_rows:
+                    columns = [*[c.slice(start, len(rows)) for c in batch.columns[:at]], pa.array([r[2] for r in rows], pa.int32()), lists([r[0] for r in rows]), lists([r[1].astype(np.int32) for r in rows])]
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+                    start, rows, held = k + 1, [], 0
 
     return docs.mapInArrow(run, schema)
 
 
-def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Sums of the matrix by bucket. Each block is summed in its task; what comes to the driver has `buckets` rows at most."""
+def blocks(batch: pa.RecordBatch, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch of rows of the matrix by blocks of BLOCK_ROWS."""
+    rows = rows or BLOCK_ROWS
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+def column_sums(counted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Sums of the matrix by bucket. Each task sums its rows; what comes to the driver has `buckets` rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in (b for whole in batches for b in blocks(whole)):
             at, n = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()
-            total += np.bincount(at, n, buckets).astype(np.int64)  # of a batch, exact in doubles
+            total += np.bincount(at, n, buckets).astype(np.int64)  # of a block, exact in doubles
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    sums = blocks.select("buckets", "counts").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = counted.select("buckets", "counts").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
     for r in sums.collect():
         out[r.bucket] = r.n
@@ -117,23 +118,21 @@ def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.array([math.floor(1000 * math.log(x)) for x in ratio.tolist()], np.int64)
 
 
-def weighed(blocks: DataFrame, gain: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def weighed(counted: DataFrame, gain: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_words, n_features, weight (long) of every row of the matrix: its product with the gains, over its features, floored."""
-    shared = blocks.sparkSession.sparkContext.broadcast(gain)  # a number a bucket
-    kinds = [T.StructField(n, blocks.schema[n].dataType.elementType) for n in keep]
-    schema = T.StructType([*kinds, *[T.StructField(n, T.LongType()) for n in ("n_words", "n_features", "weight")]])
+    shared, at = counted.sparkSession.sparkContext.broadcast(gain), len(keep)  # a number a bucket
+    schema = T.StructType([*[counted.schema[n] for n in keep], *[T.StructField(n, T.LongType()) for n in ("n_words", "n_features", "weight")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                kept = [batch.column(c)[k].values for c in range(len(keep))]
-                words, ends, at, n = (batch.column(len(keep) + c)[k].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4))
-                features, products = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * shared.value[at])]
-                n_features, product = np.diff(features[ends]), np.diff(products[ends])
-                weight = np.where(n_features > 0, product // np.maximum(n_features, 1), 0)
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(words), pa.array(n_features), pa.array(weight)], schema.names)
+        for batch in (b for whole in batches for b in blocks(whole)):
+            ends = np.r_[0, np.cumsum(pc.list_value_length(batch.column(at + 1)).to_numpy(zero_copy_only=False).astype(np.int64))]
+            n = batch.column(at + 2).flatten().to_numpy().astype(np.int64)
+            features, products = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * shared.value[batch.column(at + 1).flatten().to_numpy()])]
+            n_features, product = np.diff(features[ends]), np.diff(products[ends])
+            weight = np.where(n_features > 0, product // np.maximum(n_features, 1), 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], batch.column(at).cast(pa.int64()), pa.array(n_features), pa.array(weight)], schema.names)
 
-    return blocks.select(*keep, "words", "offsets", "buckets", "counts").mapInArrow(run, schema)
+    return counted.select(*keep, "words", "buckets", "counts").mapInArrow(run, schema)
 
 
 def resampled(docs: DataFrame, target: DataFrame, text: str = "text", percent: int = PERCENT, least: int = WORDS, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
@@ -150,11 +149,11 @@ def resampled(docs: DataFrame, target: DataFrame, text: str = "text", percent: i
     score are counted and those above summed. Of one score, runs of one doc_id in one partition are counted and summed
     alike, and only the rows of a run are numbered by sorting, so that many equal rows never meet in one task.
     """
-    blocks = cut_lineage(matrix(docs, text, buckets=buckets))
-    gain = gains(column_sums(blocks, buckets), column_sums(matrix(target, text, (), buckets), buckets))
+    counted = cut_lineage(matrix(docs, text, buckets=buckets), {"parquet.block.size": GROUP})
+    gain = gains(column_sums(counted, buckets), column_sums(matrix(target, text, (), buckets), buckets))
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
-    scored = weighed(blocks, gain).withColumn("score", F.col("weight") + noise)
+    scored = weighed(counted, gain).withColumn("score", F.col("weight") + noise)
     scored = cut_lineage(scored.select("doc_id", "n_features", "weight", F.col("score").cast("long").alias("score"), (F.col("n_words") >= least).alias("able"), F.monotonically_increasing_id().alias("_row")))
     tallies = scored.where("able").groupBy("score").agg(F.count("*").alias("n"))
     above = F.sum("n").over(W.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")

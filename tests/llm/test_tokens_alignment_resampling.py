@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -232,3 +233,16 @@ def test_equal_rows_get_ranks_of_their_own(make):
     text = " ".join(f"w{k}" for k in range(30))
     rows = resampling.resampled(make([(None, text)] * 60 + [(k, text) for k in range(40)]), make([(1, text)])).collect()
     assert sorted(r.rank for r in rows if r.rank) == list(range(1, 26))
+
+
+def test_kept_matrix_is_read_in_bounded_groups(spark, make, monkeypatch, tmp_path):
+    """A task holds a row group of the matrix and no more: rows are documents, and groups have a size of their own."""
+    texts = [(k, " ".join(f"w{(k * 7919 + j * 104729) % 1000003}" for j in range(400))) for k in range(3000)]
+    kept = []
+    monkeypatch.setattr(resampling, "GROUP", 1 << 16)
+    plain = resampling.cut_lineage
+    monkeypatch.setattr(resampling, "cut_lineage", lambda df, *a: kept.append(plain(df, *a)) or kept[-1])
+    docs = make(texts).coalesce(1)
+    assert rows_of(resampling.resampled(docs, make([(1, texts[0][1])]))) == brute_resampling(texts, [texts[0][1]])
+    groups = [m.row_group(g) for f in kept[0].inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://").replace("file:", "")).metadata] for g in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 3000 and len(groups) > 3 and max(sum(g.column(c).total_uncompressed_size for c in range(g.num_columns)) for g in groups) < 4 << 20
