@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.retrieval import BLOCK, check_request, dense, in_scope, merged_top
+from tessera.operators.retrieval import BLOCK, Best, check_request, dense, hit_type, id_array, in_scope, merged_top, strips, unit
 
 #: Rows that centroids are fitted to, lists at most, rounds of fitting.
 SAMPLE, LISTS, ROUNDS = 16_384, 1024, 8
@@ -19,10 +19,6 @@ RECALL, NEIGHBOURS, TRIALS = 0.98, 20, 512
 FEW = 10_000
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
-
-
 def centroids(index: DataFrame, lists: int | None = None, sample: int = SAMPLE, seed: int = 7) -> tuple[np.ndarray, int]:
     """Directions about which the vectors lie, by spherical k-means on `sample` rows, and how many of their lists to probe.
 
@@ -34,14 +30,14 @@ def centroids(index: DataFrame, lists: int | None = None, sample: int = SAMPLE,
     rows = index.select("vector").orderBy(F.xxhash64(F.lit(seed), "chunk_id")).limit(sample).collect()
     if not rows:
         return np.zeros((0, 0)), 0
-    v = _unit(np.array([r.vector for r in rows], np.float64))
+    v = unit(np.array([r.vector for r in rows], np.float64))
     k = min(lists or max(1, min(LISTS, round(index.count() ** 0.5))), len(v))
     c = v[np.random.default_rng(seed).choice(len(v), k, replace=False)]
     for _ in range(ROUNDS):
         near = (v @ c.T).argmax(1)
         sums = np.zeros_like(c)
         np.add.at(sums, near, v)
-        c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 1e-10, _unit(sums), c)
+        c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 1e-10, unit(sums), c)
     tried, near = v[:TRIALS], (v @ c.T).argmax(1)
     likeness = tried @ v.T
     np.fill_diagonal(likeness, -2.0)
@@ -56,16 +52,16 @@ def build(path: str, index: DataFrame, lists: int | None = None) -> None:
     spark, (c, probes) = index.sparkSession, centroids(index, lists)
     spark.createDataFrame([(k, [float(x) for x in v], probes) for k, v in enumerate(c)], "list int, centroid array<double>, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
     shared = spark.sparkContext.broadcast(c)
-    rows = index.select("chunk_id", "doc_id", "dataset_id", "vector")
+    rows = index.select("chunk_id", "doc_id", "dataset_id", "vector").where(F.col("vector").isNotNull())
+    names = [*rows.columns, "list"]
     rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                yield f.assign(list=(_unit(np.array(f["vector"].tolist(), np.float64)) @ shared.value.T).argmax(1).astype(np.int32))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, v in strips(batches, 3):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array((v @ shared.value.T).argmax(1), pa.int32())], names)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    dealt = rows.mapInPandas(run, f"{kinds}, list int").repartition("list", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))  # a common direction in several files
+    dealt = rows.mapInArrow(run, f"{kinds}, list int").repartition("list", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))  # a common direction in several files
     dealt.write.mode("overwrite").partitionBy("list").parquet(f"{path}/vectors")
 
 
@@ -89,31 +85,28 @@ def search(
     c, probes = np.array([r.centroid for r in listed]), probes or (listed[0].probes if listed else 1)
     total, best = queries.count(), None
     blocks = max(1, -(-total // BLOCK))
-    kinds = {f.name: f.dataType.simpleString() for f in stored.schema}
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {kinds['chunk_id']}, doc_id {kinds['doc_id']}, dataset_id {kinds['dataset_id']}, score double"
+    schema = hit_type(queries, stored)
     for b in range(blocks):
         rows = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).select("query_id", "vector").collect()  # a block
         if not rows or not len(c):
             continue
-        q = _unit(np.array([r.vector for r in rows], np.float64))
+        q = unit(np.array([r.vector for r in rows], np.float64))
         near = np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :probes]
         asked = {int(k): np.flatnonzero((near == k).any(1)) for k in np.unique(near)}
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), q, asked))
+        shared = spark.sparkContext.broadcast((id_array([r.query_id for r in rows], schema["query_id"].dataType), q, asked))
 
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q, asked = shared.value
-            for f in frames:
-                v = _unit(np.array(f["vector"].tolist(), np.float64)) if len(f) else None
-                for keys, at in (f.groupby(["list", *by], dropna=False).indices if len(f) else {}).items():
-                    mine = asked[int(keys[0] if isinstance(keys, tuple) else keys)]
-                    part = np.clip(v[at] @ q[mine].T, -1.0, 1.0)
-                    keep = min(top_k, len(at))
-                    edge = np.partition(part, len(at) - keep, axis=0)[len(at) - keep]
-                    row, col = np.nonzero((part >= edge) & (part >= threshold))
-                    taken = f.iloc[at[row]]
-                    yield pd.DataFrame({"query_id": ids[mine[col]], "chunk_id": taken["chunk_id"].to_numpy(), "doc_id": taken["doc_id"].to_numpy(), "dataset_id": taken["dataset_id"].to_numpy(), "score": part[row, col]})
-
-        found = visible.where(F.col("list").isin(sorted(asked))).select("chunk_id", "doc_id", "dataset_id", "vector", "list").mapInPandas(run, schema)
+            best = Best(ids, top_k)
+            for part, v in strips(batches, 3):
+                lists = part.column(4).to_numpy()
+                for k in np.unique(lists):
+                    at, mine = np.flatnonzero(lists == k), asked[int(k)]
+                    scores = np.clip(v[at] @ q[mine].T, -1.0, 1.0)
+                    best.add([c.take(pa.array(at)) for c in part.columns[:3]], scores, scores >= threshold, mine)
+            yield from best.rows()
+
+        found = visible.where(F.col("list").isin(sorted(asked))).select("chunk_id", "doc_id", "dataset_id", "vector", "list").mapInArrow(run, schema)
         best = found if best is None else best.unionByName(found)
     if best is None:
         return dense(queries, stored, top_k, threshold, by)
