@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tessera.operators.retrieval import K1, B, check_request, in_scope, merged_top, postings, small_side
+from tessera.operators.retrieval import K1, check_request, in_scope, matched, okapi, postings, small_side
 from tessera.session import written
 
 #: Buckets of terms, and parts that each bucket is written in, so that one very common term fills no single file.
 BUCKETS, PARTS = 64, 8
-#: Hits below a bound by less than this are kept: sums of the same parts in another order differ by less.
-SLACK = 1e-6
 
 
 def bucket(term: Column) -> Column:
@@ -25,13 +22,13 @@ def append(path: str, chunks: DataFrame, fields: dict[str, Column], batch: str)
 
     Three tables: postings and terms, by batch and bucket, and batches, which has a row for each field of a whole batch
     and is written last. So a batch counts once it is whole; repeating an append that broke off replaces what it left.
-    A chunk belongs in one batch. Of each term there are its chunks, its most occurrences and the shortest chunk that
-    holds it, which bound what it can add to a score.
+    A chunk belongs in one batch. Postings are written once, and the chunks of each term are counted from what was written.
     """
-    listed = written(postings(chunks, fields).withColumn("bucket", bucket(F.col("term"))))
+    spark, kept = chunks.sparkSession, f"{path}/postings/batch={batch}"
+    listed = postings(chunks, fields).withColumn("bucket", bucket(F.col("term")))
     place = [F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS))]
-    listed.repartition(*place).sortWithinPartitions("bucket", "field", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
-    terms = listed.groupBy("bucket", "field", "term").agg(F.count("*").alias("df"), F.max("tf").alias("most"), F.min("len").alias("shortest"))
+    listed.repartition(*place).sortWithinPartitions("bucket", "field", "term").write.mode("overwrite").partitionBy("bucket").parquet(kept)
+    terms = spark.read.schema("field string, term string, bucket int").parquet(kept).groupBy("bucket", "field", "term").agg(F.count("*").alias("df"))
     terms.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/batch={batch}")
     sizes = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.size(t).cast("long").alias("len")) for n, t in fields.items()]))
     whole = chunks.select(sizes.alias("s")).where("s.len > 0").groupBy("s.field").agg(F.count("*").alias("n"), F.sum("s.len").alias("total"))
@@ -41,7 +38,7 @@ def append(path: str, chunks: DataFrame, fields: dict[str, Column], batch: str)
 def _read(spark: SparkSession, path: str, name: str, batches: list[str], buckets: list[int]) -> DataFrame:
     schema = {
         "postings": "dataset_id long, doc_id long, chunk_id string, field string, term string, tf long, len int, batch string, bucket int",
-        "terms": "field string, term string, df long, most long, shortest int, batch string, bucket int",
+        "terms": "field string, term string, df long, batch string, bucket int",
     }[name]
     return spark.read.schema(schema).parquet(f"{path}/{name}").where(F.col("batch").isin(batches) & F.col("bucket").isin(buckets))
 
@@ -52,45 +49,24 @@ def search(
 ) -> DataFrame:
     """Best `top_k` chunks of each query (query_id, terms), as retrieval.bm25 finds them over all chunks of the index.
 
-    Only the asked terms' buckets are read, and no text. Statistics are those of the whole index, whatever the scope. A
-    first pass scores the rarer half of each query's terms alone, whose k-th best score bounds the result from below. Terms
-    that even together can't reach it are looked up only for chunks that hold another term. This drops no hit, as all
-    bounds are of whole terms. Empty index or no known term: no hits.
+    Only the asked terms' buckets are read, and no text. Statistics are those of the whole index, whatever the scope. The
+    asked postings of a chunk are brought together, and scores are summed where the chunk is, see retrieval.matched: what
+    is shuffled follows the postings, not chunks times queries. Empty index or no known term: no hits.
     """
     check_request(top_k)
+    names = list(boosts)
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = written(asked.withColumn("bucket", bucket(F.col("term"))))
     sizes = spark.read.schema("field string, n long, total long, batch string").parquet(f"{path}/batches")
     batches = [r[0] for r in sizes.select("batch").distinct().collect()]  # one for each append
     buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]  # BUCKETS at most
-    stats = sizes.groupBy("field").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))  # a row a field
-    terms = _read(spark, path, "terms", batches, buckets).groupBy("field", "term").agg(F.sum("df").alias("df"), F.max("most").alias("most"), F.min("shortest").alias("shortest"))
-    boost = F.element_at(F.create_map(*[x for k, v in boosts.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("field"))
+    number = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))])
+    stats = written(sizes.groupBy("field").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean")).withColumn("f", number[F.col("field")]).where("f is not null"))  # a row a field
+    known = written(asked.select("term").distinct().withColumn("t", F.monotonically_increasing_id()))
+    terms = _read(spark, path, "terms", batches, buckets).groupBy("field", "term").agg(F.sum("df").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-
-    def part(tf: str, length: str) -> Column:
-        return F.col("w") * F.col(tf) / (F.col(tf) + K1 * (1 - B + B * F.col(length) / F.col("mean")))
-
-    known = terms.join(small_side(asked), "term").join(F.broadcast(stats), "field").withColumn("w", idf * boost * F.col("times") * (K1 + 1))
-    known = known.select("query_id", "term", "field", "df", "w", "mean", part("most", "shortest").alias("reach"))
-    rarer = F.percent_rank().over(W.partitionBy("query_id", "field").orderBy("df", "term")) < 0.5
-    upto = F.sum("reach").over(W.partitionBy("query_id", "field").orderBy("reach", "term").rowsBetween(W.unboundedPreceding, W.currentRow))
-    weights = written(known.withColumn("rare", rarer).withColumn("upto", upto))  # a query's terms
+    weights = terms.join(small_side(asked), "term").join(F.broadcast(stats), "field").join(small_side(known), "term").select("query_id", "f", "t", (idf * F.col("times") * (K1 + 1)).alias("w"))
     lists = in_scope(_read(spark, path, "postings", batches, buckets), None, dataset_ids, doc_ids)
-    key = ["query_id", "dataset_id", "doc_id", "chunk_id"]
-
-    def scored(of: DataFrame, only: DataFrame | None = None) -> DataFrame:
-        found = lists.join(small_side(of), ["term", "field"])
-        found = found if only is None else found.join(only, ["query_id", "chunk_id"], "left_semi")
-        return found.select(*key, "field", part("tf", "len").alias("part"))
-
-    def best(parts: DataFrame) -> DataFrame:
-        return parts.groupBy(*key, "field").agg(F.sum("part").alias("score")).groupBy(*key).agg(F.max("score").alias("score"))
-
-    first = best(scored(weights.where("rare"))).withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc()))).where(F.col("_r") == top_k)
-    bounds = first.select("query_id", F.col("score").alias("bound"))
-    weights = weights.join(bounds, "query_id", "left").withColumn("needed", F.col("bound").isNull() | (F.col("upto") >= F.col("bound") - SLACK))
-    weights = written(weights.drop("bound", "upto", "rare", "reach", "df"))
-    needed = written(scored(weights.where("needed")))
-    rest = scored(weights.where(~F.col("needed")), needed.select("query_id", "chunk_id").distinct())
-    return merged_top(best(needed.unionByName(rest)), top_k, by)
+    found = lists.withColumn("f", number[F.col("field")]).where("f is not null").join(small_side(known), "term")
+    listed = found.groupBy("chunk_id", "doc_id", "dataset_id").agg(F.collect_list(F.struct("f", "t", F.col("tf").cast("double").alias("v"), "len")).alias("p"))
+    return matched(listed, weights, [float(boosts[n]) for n in names], okapi(stats, len(names)), top_k, None, by)
