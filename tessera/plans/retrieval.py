@@ -118,9 +118,9 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of dense retrieval where vectors of the query's label are relevant."""
     ranked = _dense(spark, sf_dir).select("query_id", "chunk_id", F.col("source_rank").alias("rank"))
     v = _vectors(spark, sf_dir)
-    asked = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "dataset_id")
-    relevant = asked.join(v.select("chunk_id", "dataset_id"), "dataset_id").select("query_id", "chunk_id")
-    m = evaluate.metrics(ranked, relevant, 10)
+    label = F.col("dataset_id").alias("label")
+    asked = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), label)
+    m = evaluate.means(evaluate.per_label(ranked, asked, v.select("chunk_id", label), 10))
     return m.select("queries", *[F.round(c, 9).alias(c) for c in ("top1", "recall", "mrr", "ndcg")])
 
 

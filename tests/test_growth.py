@@ -45,3 +45,14 @@ def test_scores_do_not_leave_their_task(spark):
     finally:
         retrieval.merged_top = plain
     assert max(handed) <= 6 * 5 * 8
+
+
+def test_labels_give_the_metrics_of_all_relevant_pairs(spark):
+    r = random.Random(5)
+    asked = [(k, r.choice([1, 2, 3, None])) for k in range(12)]
+    items = [(f"c{k}", r.choice([1, 2, 4, None])) for k in range(40)]
+    ranked = spark.createDataFrame([(q, c, k + 1) for q, _ in asked for k, (c, _) in enumerate(r.sample(items, 15))], "query_id long, chunk_id string, rank int")
+    pairs = spark.createDataFrame([(q, c) for q, a in asked for c, b in items if a is not None and a == b], "query_id long, chunk_id string")
+    left = spark.createDataFrame(asked, "query_id long, label long"), spark.createDataFrame(items, "chunk_id string, label long")
+    rounded = [sorted(tuple(round(v, 9) for v in row) for row in df.collect()) for df in (evaluate.per_label(ranked, *left, 10), evaluate.per_query(ranked, pairs, 10))]
+    assert rounded[0] == rounded[1]
