@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
-from tessera.operators import boxes, evaluate, retrieval
+from tessera.operators import boxes, evaluate, markdown, retrieval
 
 
 def test_a_task_keeps_the_best_of_each_query_only():
@@ -56,3 +57,14 @@ def test_labels_give_the_metrics_of_all_relevant_pairs(spark):
     left = spark.createDataFrame(asked, "query_id long, label long"), spark.createDataFrame(items, "chunk_id string, label long")
     rounded = [sorted(tuple(round(v, 9) for v in row) for row in df.collect()) for df in (evaluate.per_label(ranked, *left, 10), evaluate.per_query(ranked, pairs, 10))]
     assert rounded[0] == rounded[1]
+
+
+def test_boxes_of_small_pages_need_no_rounds(spark, monkeypatch):
+    r = random.Random(9)
+    made = [(page, k, x := r.randrange(900), y := r.randrange(900), x + r.randrange(120), y + 60) for page in range(30) for k in range(3 * page + 1)]
+    table = spark.createDataFrame(made, "page long, id long, x0 long, y0 long, x1 long, y1 long")
+    want = sorted(boxes.in_rounds(table, 24, 100).collect())
+    assert sorted(boxes.merged(table, 24, 100).collect()) == want
+    monkeypatch.setattr(boxes, "touching", lambda a, b, *_: a.limit(0).selectExpr("page", "id a", "id b"))
+    monkeypatch.setattr(boxes, "FEW", 1000)
+    assert sorted(boxes.merged(table, 24, 100).collect()) == want
