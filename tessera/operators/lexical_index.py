@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.operators.retrieval import K1, check_request, in_scope, matched, okapi, postings, small_side
 from tessera.session import written
 
-#: Buckets of terms, and parts that each bucket is written in, so that one very common term fills no single file.
-BUCKETS, PARTS = 64, 8
+#: Buckets of terms.
+BUCKETS = 64
 
 
 def bucket(term: Column) -> Column:
@@ -22,12 +22,12 @@ def append(path: str, chunks: DataFrame, fields: dict[str, Column], batch: str)
 
     Three tables: postings and terms, by batch and bucket, and batches, which has a row for each field of a whole batch
     and is written last. So a batch counts once it is whole; repeating an append that broke off replaces what it left.
-    A chunk belongs in one batch. Postings are written once, and the chunks of each term are counted from what was written.
+    A chunk belongs in one batch. Postings are written once, each task its own into every bucket, so that they are never
+    shuffled; the chunks of each term are counted from what was written.
     """
     spark, kept = chunks.sparkSession, f"{path}/postings/batch={batch}"
     listed = postings(chunks, fields).withColumn("bucket", bucket(F.col("term")))
-    place = [F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS))]
-    listed.repartition(*place).sortWithinPartitions("bucket", "field", "term").write.mode("overwrite").partitionBy("bucket").parquet(kept)
+    listed.sortWithinPartitions("bucket", "field", "term").write.mode("overwrite").partitionBy("bucket").parquet(kept)
     terms = spark.read.schema("field string, term string, bucket int").parquet(kept).groupBy("bucket", "field", "term").agg(F.count("*").alias("df"))
     terms.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/batch={batch}")
     sizes = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.size(t).cast("long").alias("len")) for n, t in fields.items()]))
