@@ -18,8 +18,8 @@ K, SKETCHES, TAKEN = 5, 48, 2
 SIMILARITY = 0.8
 #: How many turns lie between the two sketches by which texts are paired again, round by round.
 STEPS = (5, 11)
-#: Texts and words, at most about, in a block of those that share a sketch.
-BLOCK, BLOCK_WORDS = 4000, 2_000_000
+#: Texts and words, at most about, in a block of those that share a sketch; texts of a sketch that aren't parted by length.
+BLOCK, BLOCK_WORDS, WHOLE = 4000, 2_000_000, 1000
 #: So many tasks share the texts of one class when they are told its head.
 SALTS = 16
 KEY = ["key_hash", "key_crc", "key_bytes"]
@@ -259,27 +259,34 @@ def _untried(distinct: DataFrame, labels: DataFrame, texts: DataFrame, least: fl
     """All pairs (a, b) of texts that have a sketch in common, aren't connected yet and could be alike.
 
     Only sketches with several components are looked at. Nothing that could be alike is left out: of two alike texts the
-    shorter has `least` of the longer's words, so both stand in one of two neighbouring bands of lengths, and hashes of their
-    words align as well (see `possible`). Texts of a sketch and band are dealt to blocks of BLOCK texts or
-    BLOCK_WORDS words or so, each pair of blocks by itself, so that no group is gathered and no pair is a row before it
-    passes.
+    shorter has `least` of the longer's words, and hashes of their words align as well (see `possible`). A sketch of up to
+    WHOLE texts is one block, each text in it once. Those of more are parted by length, where both texts stand in one of two
+    neighbouring bands, and the texts of a band dealt to blocks of BLOCK texts or BLOCK_WORDS words or so, each pair of
+    blocks by itself. So no group is gathered, no pair is a row before it passes, and a text's words are joined to its rows
+    once, when it is known where they go.
     """
     known = distinct.join(labels.withColumnRenamed("v", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     entries = known.select("tid", "label", F.explode(F.array_distinct("sketches")).alias("sketch"))
     several = entries.groupBy("sketch").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sketch")
-    left = cut_lineage(entries.join(several, "sketch"))
-    shared = left.groupBy("tid").agg(F.collect_list("sketch").alias("shared"))  # SKETCHES at most
+    left = entries.join(several, "sketch")
+    shared = cut_lineage(left.groupBy("tid").agg(F.first("label").alias("label"), F.collect_list("sketch").alias("shared")))  # SKETCHES at most
     sized = cut_lineage(worded(texts.join(shared, "tid", "left_semi")).join(shared, "tid"))
     band = F.floor(F.log("n") / F.lit(-np.log(min(least, 0.99)))) if least > 0 else F.lit(0).cast("long")
-    banded = left.join(sized.select("tid", "n", band.alias("at")), "tid").withColumn("band", F.explode(F.array("at", F.col("at") + 1)))
+    members = sized.select("tid", "label", "n", band.alias("at"), F.explode("shared").alias("sketch"))
+    groups = cut_lineage(members.groupBy("sketch").agg(((F.count("*") <= WHOLE) & (F.sum("n") <= BLOCK_WORDS)).alias("whole")))
+    keys = ["sketch", "band", "i", "j"]
+    zero = F.lit(0).cast("long")
+    once = members.join(groups.where("whole"), "sketch", "left_semi").select("sketch", F.lit(-1).cast("long").alias("band"), zero.alias("i"), zero.alias("j"), zero.alias("own"), F.lit(True).alias("late"), "tid")
+    banded = members.join(groups.where("not whole"), "sketch", "left_semi").withColumn("band", F.explode(F.array("at", F.col("at") + 1)))
     needed = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_WORDS))
-    counts = banded.groupBy("sketch", "band").agg(needed.alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("at").alias("most"))
-    # a band without texts that are late in it has no pair of its own: they meet in the band before
-    blocked = banded.join(counts.where("low <> high and most = band").select("sketch", "band", "blocks"), ["sketch", "band"])
+    late = F.col("at") == F.col("band")
+    counts = banded.groupBy("sketch", "band").agg(needed.alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.when(late, F.col("n"))).alias("least_late"))
+    # a band without texts that are late in it has no pair of its own: they meet in the band before; nor has a text that
+    # is too short for the shortest of the late ones
+    blocked = banded.join(counts.where("low <> high").select("sketch", "band", "blocks", "least_late"), ["sketch", "band"]).where(late | (F.col("n") >= F.floor(least * F.col("least_late"))))
     blocked = blocked.withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    keys = ["sketch", "band", "i", "j"]
-    placed = blocked.select("sketch", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", (F.col("at") == F.col("band")).alias("late"), "tid", "label", "n")
-    dealt = placed.join(sized.select("tid", "held", "shared"), "tid").select(*keys, "tid", "label", "n", "late", "own", "held", "shared").repartition(*keys).sortWithinPartitions(*keys)
+    placed = once.unionByName(blocked.select("sketch", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", late.alias("late"), "tid"))
+    dealt = placed.join(sized.select("tid", "label", "n", "held", "shared"), "tid").select(*keys, "tid", "label", "n", "late", "own", "held", "shared").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None

@@ -105,6 +105,28 @@ def test_a_shared_passage_hides_no_near_copies(make):
     assert all(got[k] == k for k in texts if k % 2 == 0)
 
 
+def test_a_text_is_dealt_once_for_a_sketch(spark, monkeypatch):
+    """Texts with a passage in common: a row for each text and sketch, where it was a row for each of two bands of lengths."""
+    rnd = random.Random(11)
+    passage = prose(rnd, 60)
+    rows = [passage + prose(rnd, rnd.randrange(5, 90)) for _ in range(80)]
+    rows += [edited(rnd, rows[k], 0.05) for k in range(0, 80, 4)]
+    hashed = [np.array([neardup.xxhash.xxh64_intdigest(w) for w in r], np.uint64) for r in rows]
+    keys = [neardup.order_minhash(neardup.labelled_kmers(h)).tolist() for h in hashed]
+    sharing = spark.createDataFrame([(k, key) for k, key in enumerate(keys)], "tid long, sketches array<long>")
+    texts = spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], "tid long, text string")
+    labels = spark.createDataFrame([], "v long, label long")
+    plain, dealt = type(texts).mapInArrow, []
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda self, *a, **k: ("held" in self.columns and dealt.append(self.count())) or plain(self, *a, **k))
+    met = Counter(s for key in keys for s in set(key))
+    alike = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if set(keys[a]) & set(keys[b]) and neardup.similarity(rows[a], rows[b])}
+    found = {(r.a, r.b) for r in neardup._untried(sharing, labels, texts, 0.8).collect()}
+    assert dealt == [sum(n for n in met.values() if n > 1)] and alike <= found
+    monkeypatch.setattr(neardup, "WHOLE", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    assert {(r.a, r.b) for r in neardup._untried(sharing, labels, texts, 0.8).collect()} == found
+
+
 def test_recall_of_aligned_pairs(make):
     """All pairs of which 0.8 or more of the words align are the truth, without any condition on k-mers."""
     rnd, pairs = random.Random(77), []
