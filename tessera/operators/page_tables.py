@@ -30,29 +30,32 @@ def merged(lines: DataFrame, by: str = "doc_id") -> DataFrame:
 
     A table is a header, a rule and all rows that follow. The next one is a part of it if only blank lines lie between and
     the headers are equal; of several parts each is held against the one before it. Headers without a rule begin no table.
-    Runs of rows are islands of a running count; the line before a table that isn't blank, and its header, come from
-    lags, so that nothing is gathered: windows stream one document's lines. Null contents are blank.
+    All columns come from running frames of one order: runs of rows are islands, a run's first header with a rule opens its
+    table, and what the table before it was is the last value so far. So lines are sorted once, nothing is gathered or
+    joined, and windows stream one document's lines. Null contents are blank.
     """
     order = W.partitionBy(by).orderBy("line")
+    sofar, before = order.rowsBetween(W.unboundedPreceding, W.currentRow), order.rowsBetween(W.unboundedPreceding, -1)
     text = F.coalesce(F.col("content"), F.lit(""))
-    rows = lines.withColumns({"_row": is_row(text), "_full": strip(text) != ""})
-    rows = rows.withColumns({"_start": F.col("_row") & F.coalesce(F.lead(is_rule(text)).over(order), F.lit(False)), "_new": F.col("_row") & ~F.coalesce(F.lag("_row").over(order), F.lit(False))})
-    full = F.when(F.col("_full"), F.col("line"))
+    last = lambda of, value, frame: F.last(F.when(F.col(of), value), True).over(frame)
+    rows = lines.withColumns({"_row": is_row(text), "_full": strip(text) != "", "_rule": is_rule(text)})
     rows = rows.withColumns({
-        "_run": F.count_if("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)),
-        "_before": F.last(full, True).over(order.rowsBetween(W.unboundedPreceding, -1)),
-        "_next": F.first(full, True).over(order.rowsBetween(1, W.unboundedFollowing)),
+        "_start": F.col("_row") & F.coalesce(F.lead("_rule").over(order), F.lit(False)),
+        "_new": F.col("_row") & ~F.coalesce(F.lag("_row").over(order), F.lit(False)),
+        "_two": F.coalesce(F.lead("_row").over(order), F.lit(False)),
+    }).drop("_rule")
+    rows = rows.withColumns({"_starts": F.count_if("_start").over(sofar), "_run": last("_new", F.col("line"), sofar), "_above": last("_full", F.col("line"), before)})
+    rows = rows.withColumn("_base", last("_new", F.col("_starts") - F.col("_start").cast("long"), sofar))
+    rows = rows.withColumn("_opens", F.col("_start") & (F.col("_starts") == F.col("_base") + 1)).drop("_starts", "_base", "_start", "_new")
+    rows = rows.withColumn("_first", last("_opens", F.col("line"), sofar))
+    rows = rows.withColumn("_of", F.col("_row") & F.coalesce(F.col("_first") >= F.col("_run"), F.lit(False))).drop("_run", "_row")
+    rows = rows.withColumn("_head", F.when(F.col("_opens"), header(text)))
+    joins = (last("_of", F.col("line"), before) == F.col("_above")) & (last("_opens", F.col("_head"), before) == F.col("_head")) & last("_opens", F.col("_two"), before) & F.col("_two")
+    rows = rows.withColumn("_joins", F.col("_opens") & F.coalesce(joins, F.lit(False))).drop("_above", "_two", "_head")
+    quoted = f"`{by.replace('`', '``')}`"
+    rows = rows.withColumns({
+        "_part": last("_opens", F.col("_joins"), sofar),
+        "_next": F.expr(f"lead(if(_full, _joins, null)) IGNORE NULLS OVER (PARTITION BY {quoted} ORDER BY line)"),
     })
-    run = W.partitionBy(by, "_run", "_row")
-    rows = rows.withColumn("_first", F.when(F.col("_row"), F.min(F.when(F.col("_start"), F.col("line"))).over(run)))
-    of_table = F.col("_row") & (F.col("line") >= F.col("_first"))
-    heads = rows.where(of_table).groupBy(by, "_first").agg(
-        F.max("line").alias("_last"), F.count("*").alias("_n"), F.min_by(header(text), "line").alias("_header"), F.min_by("_before", "line").alias("_above")
-    )
-    tables = W.partitionBy(by).orderBy("_first")
-    lag = lambda c: F.lag(c).over(tables)
-    joins = (lag("_last") == F.col("_above")) & (lag("_header") == F.col("_header")) & (lag("_n") >= 2) & (F.col("_n") >= 2)
-    parts = heads.withColumn("_joins", joins).where("_joins").select(F.col(by).alias("_by"), F.col("_first").alias("_part"))
-    at = F.when(of_table, F.col("_first")).when(~F.col("_full"), F.col("_next"))
-    met = rows.withColumn("_at", at).join(parts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_at") == F.col("_part")), "left")
-    return met.where(F.col("_part").isNull() | (F.col("_full") & (F.col("line") >= F.col("_part") + 2))).select(*lines.columns)
+    gone = F.when(F.col("_of"), F.col("_part") & (F.col("line") < F.col("_first") + 2)).otherwise(~F.col("_full") & F.coalesce(F.col("_next"), F.lit(False)))
+    return rows.where(~gone).select(*lines.columns)

@@ -83,10 +83,10 @@ def joined_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "lineitem")
     cut = F.when(F.col("l_partkey") % 3 == 0, F.array(F.lit(""), F.lit(" "))).when(F.col("l_partkey") % 3 == 1, F.array(F.lit("text"))).otherwise(F.array().cast("array<string>"))
     own = F.array(F.concat(F.lit("| "), "l_returnflag", F.when(F.col("l_suppkey") % 2 == 0, " ").otherwise("<br>"), F.lit("| part |")), F.lit("|:--- | ---:|"), F.concat(F.lit(" | x | "), F.col("l_partkey").cast("string"), F.lit(" | ")))
-    turn = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))
-    lines = i.withColumn("turn", turn).select("l_orderkey", "turn", F.posexplode(F.concat(own, cut)).alias("p", "content"))
-    lines = lines.select("l_orderkey", (F.col("turn") * 10 + F.col("p")).alias("line"), "content")
-    lines = lines.withColumn("line", F.row_number().over(W.partitionBy("l_orderkey").orderBy("line")))
+    turns = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    sized = i.withColumn("above", F.coalesce(F.sum(F.size(F.concat(own, cut))).over(turns.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    lines = sized.select("l_orderkey", "above", F.posexplode(F.concat(own, cut)).alias("p", "content"))
+    lines = lines.select("l_orderkey", (F.col("above") + F.col("p") + 1).cast("int").alias("line"), "content")
     kept = page_tables.merged(lines, "l_orderkey")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n")  # an order's
     return kept.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.sha2(whole, 256).alias("text_sha256"))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from tessera.operators import boxes, evaluate, markdown, retrieval
+from tessera.operators import boxes, evaluate, markdown, page_tables, retrieval
 
 
 def test_a_task_keeps_the_best_of_each_query_only():
@@ -74,3 +74,34 @@ def test_pages_are_worked_on_in_portions():
     frames = [pd.DataFrame({"k": range(n)}) for n in (0, 5, 1000)]
     got = list(markdown.portions(iter(frames)))
     assert max(map(len, got)) <= markdown.ROWS and [k for f in got for k in f["k"]] == [k for f in frames for k in f["k"]]
+
+
+def test_lines_of_cut_tables_are_sorted_once(spark):
+    """No join, no second sort; against a plain walk over the lines of each document."""
+    r = random.Random(3)
+    kinds = ["| a | b |", "|a<br>|b|", "| c | d |", "|---|---|", "|---|", "| x | 1 |", "| x | 1 |", "", " ", None, "text"]
+    docs = {k: [r.choice(kinds) for _ in range(r.randrange(1, 40))] for k in range(300)}
+    lines = spark.createDataFrame([(k, n, c) for k, d in docs.items() for n, c in enumerate(d)], "doc_id long, line long, content string")
+    row, rule = (lambda c: (c or "").count("|") > 2), (lambda c: (c or "").startswith("|--"))
+    want = []
+    for k, d in docs.items():
+        gone, at, above = set(), 0, None  # above: the last line, header and size of the table before
+        while at < len(d):
+            if not (row(d[at]) and at + 1 < len(d) and rule(d[at + 1])):
+                at += 1
+                continue
+            end = at
+            while end < len(d) and row(d[end]):
+                end += 1
+            head = d[at].strip("|").replace("<br>", "").replace(" ", "")
+            blank = at
+            while blank and not (d[blank - 1] or "").strip():
+                blank -= 1
+            if above and above[0] == blank - 1 and above[1] == head and above[2] >= 2 and end - at >= 2:
+                gone |= {*range(blank, at + 2)}
+            above, at = (end - 1, head, end - at), end
+        want += [(k, n, c) for n, c in enumerate(d) if n not in gone]
+    kept = page_tables.merged(lines)
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr) and len(want) < lines.count()
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Join" not in plan and plan.count("Sort ") == 1
