@@ -128,7 +128,7 @@ def sparse_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical vectors of all documents, the 32 heaviest terms each, ties by term."""
     from pyspark.sql import Window as W
 
-    v = retrieval.lexical_vectors(table(spark, sf_dir, "documents"), "doc_id")
+    v = retrieval.lexical_vectors(table(spark, sf_dir, "documents"), "doc_id", top=32)
     w = v.withColumn("weight", F.round("weight", 9))
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("weight").desc(), "token_id"))
     return w.withColumn("_r", rank).where("_r <= 32").drop("_r")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import random
 
 import numpy as np
@@ -105,3 +106,22 @@ def test_lines_of_cut_tables_are_sorted_once(spark):
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr) and len(want) < lines.count()
     plan = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert "Join" not in plan and plan.count("Sort ") == 1
+
+
+def test_terms_are_counted_in_portions(spark, monkeypatch):
+    """No table of all terms of a task; a row hands on its heaviest terms only, the same as a window over all would keep."""
+    r = random.Random(2)
+    texts = [(k, " ".join(f"w{int(r.random() ** 3 * 60)}" for _ in range(r.randrange(0, 120)))) for k in range(200)] + [(7, "a a b"), (8, None), (9, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    want = []
+    for k, t in texts:
+        n = collections.Counter((t or "").split())
+        size = sum(v * v for v in n.values()) ** 0.5
+        want.append((k, sorted(((-v, w, v / size) for w, v in n.items()))))
+    monkeypatch.setattr(retrieval, "PORTION", 300)
+    for top in (None, 5):
+        v = retrieval.lexical_vectors(df, "doc_id", top=top)
+        assert "Aggregate" not in v._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, v.collect())) == sorted((k, w, s) for k, ws in want for _, w, s in ws[:top])
+    batch = pa.RecordBatch.from_arrays([pa.array([["a"] * n for n in (3, 0, 500, 200, 90, 20)])], ["t"])
+    assert [p.num_rows for p in retrieval.portions(batch)] == [2, 1, 2, 1]
