@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,15 +87,26 @@ def lexical_terms(text: Column) -> Column:
 
 
 def kgram_coverage(a: Column, b: Column, k: int = 12) -> Column:
-    """Share of the distinct k-grams of `a`, without white space, that `b` has as well."""
+    """Share of the distinct k-grams of `a`, without white space, that `b` has as well.
 
-    def grams(x: Column) -> Column:
-        bare = F.regexp_replace(x, r"(?U)\s+", "")
-        found = F.when(F.length(bare) <= k, F.array(bare)).otherwise(F.regexp_extract_all(bare, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
-        return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(found))
+    A text shorter than k is one gram. Grams are slices in a set, in Arrow batches: as an array of strings that a regular
+    expression finds at every character they cost nearly three times as much.
+    """
+
+    def grams(text: str) -> set[str]:
+        return {text[i : i + k] for i in range(max(1, len(text) - k + 1))} if text else set()
+
+    def share(x: str | None, y: str | None) -> float | None:
+        mine = None if x is None else grams(x)
+        if not mine:
+            return None if mine is None else 0.0
+        return None if y is None else len(mine & grams(y)) / len(mine)
+
+    @F.arrow_udf("double")
+    def covered(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([share(s.as_py(), t.as_py()) for s, t in zip(x, y, strict=True)], pa.float64())
 
-    mine = grams(a)
-    return F.when(F.size(mine) == 0, 0.0).otherwise(F.size(F.array_intersect(mine, grams(b))) / F.size(mine))
+    return covered(*[F.regexp_replace(c, r"(?U)\s+", "") for c in (a, b)])
 
 
 def bucket_of(user_id: Column, buckets: int = 128) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
+from tessera.functions import text
 from tessera.operators import boxes, evaluate, markdown, page_tables, retrieval
 
 
@@ -125,3 +126,20 @@ def test_terms_are_counted_in_portions(spark, monkeypatch):
         assert sorted(map(tuple, v.collect())) == sorted((k, w, s) for k, ws in want for _, w, s in ws[:top])
     batch = pa.RecordBatch.from_arrays([pa.array([["a"] * n for n in (3, 0, 500, 200, 90, 20)])], ["t"])
     assert [p.num_rows for p in retrieval.portions(batch)] == [2, 1, 2, 1]
+
+
+def test_grams_are_no_arrays_of_strings(spark):
+    """Blanks of all kinds, characters beyond the first plane, short, empty and null texts, against plain Python."""
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab 　\n\U0001f600") for _ in range(n)) for n in (0, 1, 5, 11, 12, 13, 40, 300)] + [" \n"]
+    pairs = [(a, b) for a in [*texts, None] for b in [*texts, None]]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", text.kgram_coverage(retrieval.F.col("a"), retrieval.F.col("b")).alias("c"))
+
+    def grams(t):
+        t = "".join(t.split())
+        return {t[i : i + 12] for i in range(max(1, len(t) - 11))} if t else set()
+
+    for a, b, c in df.collect():
+        want = None if a is None else 0.0 if not grams(a) else None if b is None else len(grams(a) & grams(b)) / len(grams(a))
+        assert c == want
+    assert "array_distinct" not in df._jdf.queryExecution().executedPlan().toString()
