@@ -78,11 +78,11 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sparse": lambda: _sparse(spark, sf_dir),
         "dense": lambda: retrieval.dense(_item_vectors(spark, sf_dir), _vectors(spark, sf_dir), TOP_K),
     }
-    return retrieval.recall(sources, list(sources), TOP_K, settle=written)[0]
+    return retrieval.recall(sources, list(sources), TOP_K, "strict", settle=written)[0]
 
 
 def hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three retrievers for every benchmark item, fused by reciprocal rank."""
+    """Three retrievers for every benchmark item, fused by reciprocal rank; if one of them fails, so does the query."""
     hits = _fused(spark, sf_dir)
     scores = [F.round(F.col("scores")[s], 6).alias(f"score_{s}") for s in ("bm25", "sparse", "dense")]
     return hits.select("query_id", "chunk_id", F.round("fused_score", 9).alias("fused_score"), *scores, F.col("rrf_rank").cast("long").alias("rrf_rank"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, html, markdown, rerank, retrieval
+from tessera.plans import retrieval as R
 
 HIT = "query_id string, source string, source_rank int, chunk_id string, doc_id long, dataset_id long, score double"
 SOURCES = ["dense", "sparse", "bm25"]
@@ -39,6 +40,25 @@ def test_recall_policies(spark):
     assert retrieval.scope([], [1, 2]) == [1, 2]
 
 
+@pytest.mark.parametrize("source", ["bm25", "sparse", "dense"])
+@pytest.mark.parametrize("early", [True, False])
+def test_hybrid_recall_has_no_result_without_a_source(spark, data, monkeypatch, source, early):
+    """A source whose plan can't be made, or can't be run."""
+    hits = spark.createDataFrame([(1, 1, "cA", 1, 1, 0.9)], "query_id long, source_rank int, chunk_id string, doc_id long, dataset_id long, score double")
+    for s in ("bm25", "sparse", "dense"):
+        monkeypatch.setattr(retrieval, s, lambda *a: hits)
+    assert R.hybrid_recall(spark, data).count() == 1
+
+    def broken(*a):
+        if early:
+            raise OSError("down")
+        return hits.withColumn("score", F.raise_error("down").cast("double"))
+
+    monkeypatch.setattr(retrieval, source, broken)
+    with pytest.raises(retrieval.RecallFailed, match=source):
+        R.hybrid_recall(spark, data)
+
+
 def test_dense_against_brute_force(spark):
     rows = [(str(k), k, k % 3, [float(k % 5) - 2, float(k % 7) - 3, 1.0]) for k in range(60)]
     index = spark.createDataFrame(rows, "chunk_id string, doc_id long, dataset_id long, vector array<double>")
