@@ -50,6 +50,25 @@ def test_scores_do_not_leave_their_task(spark):
     assert max(handed) <= 6 * 5 * 8
 
 
+def test_a_posting_meets_only_the_weights_of_its_term(spark, monkeypatch):
+    """Against plain sums over two fields, in blocks of queries and strips of postings."""
+    r = random.Random(11)
+    chunks = [(f"c{k}", k, k % 2, [(r.randrange(2), t, 1.0 + r.randrange(4), 9) for t in r.sample(range(60), r.randrange(1, 25))]) for k in range(150)]
+    weights = [(q, f, t, r.choice([0.5, 1.0, -0.25])) for q in range(30) for f in (0, 1) for t in r.sample(range(0, 64, 2), 4)]
+    listed = spark.createDataFrame(chunks, "chunk_id string, doc_id long, dataset_id long, p array<struct<f: int, t: long, v: double, len: int>>")
+    asked = spark.createDataFrame(weights, "query_id long, f int, t long, w double")
+    want = []
+    for q in range(30):
+        for c, _, _, p in chunks:
+            sums = [sum(w * v / n for x, f, t, w in weights if x == q and f == g for h, u, v, n in p if h == g and u == t) for g in (0, 1)]
+            best = max([s * b for s, b in zip(sums, (2.0, 1.0), strict=True) if s > 1e-12], default=None)
+            want += [(q, c, round(best, 6))] if best else []
+    monkeypatch.setattr(retrieval, "QUERIES", 7)
+    monkeypatch.setattr(retrieval, "POSTINGS", 100)
+    got = retrieval.matched(listed, asked, [2.0, 1.0], lambda f, v, n: v / n, 1000)
+    assert sorted((x.query_id, x.chunk_id, round(x.score, 6)) for x in got.collect()) == sorted(want)
+
+
 def test_labels_give_the_metrics_of_all_relevant_pairs(spark):
     r = random.Random(5)
     asked = [(k, r.choice([1, 2, 3, None])) for k in range(12)]

@@ -57,6 +57,35 @@ def test_index_in_scope_keeps_the_whole_statistics(spark, data):
     assert lexical_index.search(spark, path, asked, BOOSTS, 5, dataset_ids=[]).count() == 0
 
 
+def test_append_makes_a_text_into_terms_once_and_packs_postings(spark, monkeypatch):
+    """Null, empty and repeated texts, repeated chunks, null terms, in parts of some chunks; as the scan of all chunks finds them."""
+    r = random.Random(7)
+    texts = [" ".join(f"w{int(r.random() ** 2 * 40)}" for _ in range(r.randrange(0, 60))) for _ in range(300)] + [None, "", "w1", "w1", "w1 w1 w2"]
+    made = [(k % 3 if k % 7 else None, k, f"c{k % 302}", t) for k, t in enumerate(texts)]
+    chunks = spark.createDataFrame(made, "dataset_id long, doc_id long, chunk_id string, text string").coalesce(2)
+    calls = spark.sparkContext.accumulator(0)
+
+    def words(t):
+        calls.add(1)
+        return None if t is None else t.split()
+
+    counted = {"coarse": F.udf(words, "array<string>")("text"), "fine": F.when(F.col("text") != "", F.split("text", "[ 3]"))}
+    monkeypatch.setattr(lexical_index, "PART", 500)
+    path = fresh_folder(spark)
+    lexical_index.append(path, chunks, counted, "all")
+    assert calls.value == len(texts)
+    kept = lexical_index._read(spark, path, "postings", ["all"], list(range(lexical_index.BUCKETS)))
+    sizes = kept.selectExpr("sum(size(at)) n", "count(*) packed", "count(distinct part) parts", "max(size(at)) most").first()
+    assert sizes.packed < sizes.n / 2 and sizes.parts > 10 and sizes.most < 50
+    asked = spark.createDataFrame([(k, [f"w{r.randrange(45)}" for _ in range(9)] + ["w1", None]) for k in range(8)], "query_id long, terms array<string>")
+    plain = {"coarse": F.split("text", " +"), "fine": counted["fine"]}
+    plain["coarse"] = F.filter(plain["coarse"], lambda w: w != "")
+    want = rows(R._rounded(retrieval.bm25(asked, chunks, plain, BOOSTS, 400)))
+    assert rows(R._rounded(lexical_index.search(spark, path, asked, BOOSTS, 400))) == want and len(want) > 1000
+    swapped = dict(reversed(BOOSTS.items()))
+    assert rows(R._rounded(lexical_index.search(spark, path, asked, swapped, 400))) == want
+
+
 def test_dense_index_finds_nearly_all_and_all_with_every_list(spark, data):
     index, path = R._vectors(spark, "/root/testdata/sf0.01"), fresh_folder(spark)
     vector_index.build(path, index)
